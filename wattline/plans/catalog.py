@@ -1,4 +1,4 @@
 """Importing this module fills the registry."""
 
-from wattline.plans import network_queries, readings_queries  # noqa: F401
+from wattline.plans import network_queries, readings_queries, relation_queries, spatial_queries  # noqa: F401
 from wattline.plans.registry import CHECKS, QUERIES, runner  # noqa: F401

@@ -122,7 +122,7 @@ SELECT h.meter_id, h.hour, round(k,8) AS actual_usage_kwh,
  round((SELECT max(b.k) FROM h b WHERE b.meter_id=h.meter_id AND b.hour=h.hour-INTERVAL 24 HOUR),8) AS usage_lag_24h,
  round((SELECT max(b.k) FROM h b WHERE b.meter_id=h.meter_id AND b.hour=h.hour-INTERVAL 168 HOUR),8) AS usage_lag_168h,
  round(avg(k) OVER d,8) AS usage_avg_24h, round(max(k) OVER d,8) AS usage_max_24h, round(avg(k) OVER w,8) AS usage_avg_7d,
- dayofweek(h.hour) AS day_of_week, dayofweek(h.hour) IN (0,8) AS is_weekend, cast(h.hour AS date)='2024-01-01' AS is_holiday, month(h.hour) AS month,
+ dayofweek(h.hour) AS day_of_week, dayofweek(h.hour) IN (0,6) AS is_weekend, cast(h.hour AS date)='2024-01-01' AS is_holiday, month(h.hour) AS month,
  round(temperature_f,8) AS temperature_f, round(humidity_pct,8) AS humidity_pct
 FROM h LEFT JOIN weather ON weather.hour=h.hour
 WINDOW d AS (PARTITION BY h.meter_id ORDER BY h.hour RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING),
