@@ -94,9 +94,9 @@ def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     return out.withColumn("risk_probability", vector_to_array("probability")[1])
 
 
-def latest_high_risk(scored: DataFrame, n: int = 20) -> DataFrame:
+def latest_high_risk(scored: DataFrame, n: int = 20, days: int = 1) -> DataFrame:
     newest = scored.agg(F.max("pair_date")).scalar()
-    rows = scored.where((F.col("pair_date") == newest) & (F.col("prediction") == 1)).select("transformer_id", "pair_date", "morning_load_pct", "risk_probability")
+    rows = scored.where((F.col("pair_date") > F.date_sub(newest, days)) & (F.col("prediction") == 1)).select("transformer_id", "pair_date", "morning_load_pct", "risk_probability")
     return topk(rows, [F.col("risk_probability").desc(), F.col("transformer_id").asc()], n)
 
 

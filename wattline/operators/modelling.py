@@ -112,6 +112,7 @@ def expected_load(
     holidays: list[str] = (),
     pre_storm: tuple[str, str] | None = None,
     noise: bool = False,
+    kwh_digits: int = 4,
 ) -> DataFrame:
     """Meter x slot energy and electrical values.
 
@@ -161,7 +162,7 @@ def expected_load(
     return rows.select(
         "meter_id",
         F.col("slot_ts").alias("reading_ts"),
-        live(kwh, 4).alias("usage_kwh"),
+        live(kwh, kwh_digits).alias("usage_kwh"),
         live(volts, 2).alias("voltage_v"),
         live(amps, 2).alias("current_a"),
         live(pf, 3).alias("power_factor"),

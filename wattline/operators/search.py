@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wattline.operators.anchors import topk
@@ -25,20 +27,20 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _occurrences(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda w: w == F.lit(term))).cast("double")
+
+
 def text_search(docs: DataFrame, key: str, text: str, query: str, filters: dict[str, str] | None = None, columns: list[str] = (), n: int = 10) -> DataFrame:
     """BM25 over whole texts, ties by key.
 
     Only the query's terms are counted, per row and without a shuffle; document frequencies and the mean length come
     from one aggregate.  Filters restrict the results, not the statistics.
     """
-    from itertools import chain
-
-    import re
-
     terms = sorted(set(t for t in re.split(r"[\W_]+", query.lower()) if t))
     toks = docs.withColumn("_t", tokens(F.col(text)))
-    tf = {t: F.size(F.filter("_t", lambda x, t=t: x == F.lit(t))).cast("double") for t in terms}
-    counted = toks.withColumn("_len", F.size("_t").cast("double")).withColumns({f"_tf{i}": c for i, c in enumerate(tf.values())}).drop("_t")
+    tf = {f"_tf{i}": _occurrences("_t", t) for i, t in enumerate(terms)}
+    counted = toks.withColumn("_len", F.size("_t").cast("double")).withColumns(tf).drop("_t")
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"), *[F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]
     )
@@ -51,7 +53,7 @@ def text_search(docs: DataFrame, key: str, text: str, query: str, filters: dict[
         tf_i = F.col(f"_tf{i}")
         score = score + idf * tf_i * (K1 + 1) / (tf_i + K1 * (1 - B + B * F.col("_len") / avg_len))
     hits = counted.withColumn("score", score).where("score > 0")
-    for col, value in chain((filters or {}).items()):
+    for col, value in (filters or {}).items():
         hits = hits.where(F.col(col) == value)
     return topk(hits.select(key, *columns, "score"), [F.col("score").desc(), F.col(key).asc()], n)
 

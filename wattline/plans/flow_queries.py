@@ -355,13 +355,13 @@ TERMS = ("ation", "the", "of", "is")
 
 
 def _bm25_sql(terms) -> str:
-    tf = ", ".join(f"len(list_filter(t, x -> x='{w}'))::double AS tf{i}" for i, w in enumerate(terms))
+    tf = ", ".join(f"len(list_filter(t, lambda x: x='{w}'))::double AS tf{i}" for i, w in enumerate(terms))
     df = ", ".join(f"count_if(tf{i}>0) AS df{i}" for i in range(len(terms)))
     score = " + ".join(
         f"ln(1.0+(s.n-df{i}+0.5)/(df{i}+0.5))*tf{i}*2.2::double/(tf{i}+1.2::double*(0.25::double+0.75::double*l/s.al))" for i in range(len(terms))
     )
     return f"""
-WITH tk AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), x -> x<>'') AS t FROM documents),
+WITH tk AS (SELECT doc_id, lang, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x<>'') AS t FROM documents),
 c AS (SELECT doc_id, lang, len(t)::double AS l, {tf} FROM tk), s AS (SELECT count(*) AS n, avg(l) AS al, {df} FROM c)
 SELECT doc_id, lang, round({score},6) AS score FROM c, s WHERE lang='en' AND ({' OR '.join(f'tf{i}>0' for i in range(len(terms)))}) ORDER BY {score} DESC, doc_id LIMIT 20"""
 
@@ -373,11 +373,13 @@ def text_search(g):
 
 
 @register("fuzzy_search", """
-SELECT substation_id, substation_name, levenshtein(lower(substation_name), 'germny substaton') AS edit_distance FROM substations
-WHERE substation_name='GERMANY Substation' OR false""")
+WITH g AS (SELECT *, list_distinct(list_transform(range(1, length('  '||lower(substation_name)||' ')-1), lambda i: substr('  '||lower(substation_name)||' ', i, 3))) AS g FROM substations),
+q AS (SELECT list_distinct(list_transform(range(1, length('  natoin_12 substaton ')-1), lambda i: substr('  natoin_12 substaton ', i, 3))) AS q),
+s AS (SELECT substation_id, substation_name, len(list_intersect(g, q))::double/(len(g)+len(q)-len(list_intersect(g, q))) AS sim, levenshtein(lower(substation_name), 'natoin_12 substaton') AS d FROM g, q)
+SELECT substation_id, substation_name, round(sim,8) AS similarity, d AS edit_distance FROM s WHERE sim>=0.2 ORDER BY d, sim DESC, substation_id LIMIT 8""")
 def fuzzy_search(g):
-    hits = X.fuzzy_search(g.substations, "substation_id", "substation_name", "Germny Substaton", 0.2, 1)
-    return hits.select("substation_id", "substation_name", F.col("edit_distance").cast("bigint").alias("edit_distance"))
+    hits = X.fuzzy_search(g.substations, "substation_id", "substation_name", "Natoin_12 Substaton", 0.2, 8)
+    return r8(hits.withColumn("edit_distance", F.col("edit_distance").cast("bigint")), "similarity")
 
 
 @register("fuzzy_customer_search")
@@ -390,12 +392,12 @@ WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id=0)
 SELECT vec_id, round(list_cosine_similarity(embedding::double[], e::double[]),6) AS similarity FROM embeddings, q ORDER BY list_cosine_similarity(embedding::double[], e::double[]) DESC, vec_id LIMIT 15""")
 def vector_search(g):
     rows = g.raw("embeddings")
-    q = rows.where("vec_id = 0").select("embedding").scalar()
+    q = F.array(*[F.lit(float(v)) for v in rows.where("vec_id = 0").select("embedding").first()[0]])
     return X.nearest_vectors(rows, "vec_id", "embedding", q, 15).withColumn("similarity", F.round("similarity", 6))
 
 
 @register("chunk_text", """
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), x -> x<>'') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 250)) AS st FROM w WHERE len(w)>0)
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x<>'') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 250)) AS st FROM w WHERE len(w)>0)
 SELECT doc_id||'_'||CASE WHEN length(cast(st//250 AS varchar))<4 THEN lpad(cast(st//250 AS varchar),4,'0') ELSE cast(st//250 AS varchar) END AS chunk_id, doc_id, (st//250)::int AS chunk_index, md5(array_to_string(w[st+1:st+300],' ')) AS text_md5, len(w[st+1:st+300])::int AS token_count FROM s""")
 def chunk_text(g):
     out = X.chunk_text(g.raw("documents"), "doc_id", "text", 300, 50)

@@ -62,23 +62,23 @@ x AS (SELECT pe.*, sp.slot_ts, os.slot_ts IS NOT NULL AS out, cv.m * (1.0::doubl
  * home_size_factor * CASE WHEN has_solar AND extract(hour from sp.slot_ts) BETWEEN 10 AND 16 THEN 0.55::double ELSE 1.0::double END AS f,
  CASE WHEN has_ev AND (extract(hour from sp.slot_ts)>=23 OR extract(hour from sp.slot_ts)<=5) THEN 0.4::double ELSE 0.0::double END + CASE WHEN has_pool_pump AND extract(hour from sp.slot_ts) BETWEEN 4 AND 7 THEN 0.25::double ELSE 0.0::double END AS extra
  FROM pe CROSS JOIN sp LEFT JOIN weather w ON w.hour=date_trunc('hour', sp.slot_ts) JOIN cv ON cv.b=pe.class_bucket AND cv.h=extract(hour from sp.slot_ts) LEFT JOIN os ON os.transformer_id=pe.transformer_id AND os.slot_ts=sp.slot_ts),
-lm AS (SELECT meter_id, slot_ts AS reading_ts, round(CASE WHEN out THEN 0 ELSE base_per_15min*f+extra END,4) AS usage_kwh, round(CASE WHEN out THEN 0 ELSE 120.0::double-4.0*(base_per_15min/5.0) END,2) AS voltage_v,
+lm AS (SELECT meter_id, slot_ts AS reading_ts, CASE WHEN out THEN 0 ELSE base_per_15min*f+extra END AS usage_kwh, round(CASE WHEN out THEN 0 ELSE 120.0::double-4.0*(base_per_15min/5.0) END,2) AS voltage_v,
  round(CASE WHEN out THEN 0 ELSE greatest(0.01::double, base_per_15min*home_size_factor*4*1000/(120.0*pf_base)) END,2) AS current_a, CASE WHEN out THEN 'OUTAGE' ELSE 'VALID' END AS quality FROM x)
 {agg}"""
 
 
 def modelled(g):
     spine = time_spine(g.spark, "2024-01-06 00:00:00", "2024-01-08 23:45:00")
-    return S.expected_load(S.personas(classed(g)), spine, g.weather, O.outage_slots(g.outages), [HOLIDAY], STORM)
+    return S.expected_load(S.personas(classed(g)), spine, g.weather, O.outage_slots(g.outages), [HOLIDAY], STORM, kwh_digits=10)
 
 
 @register("load_model", _load_sql("""
-SELECT meter_id, cast(reading_ts AS date) AS day, count(*) AS slots, count_if(quality='OUTAGE') AS outage_slots, round(sum(usage_kwh),4) AS kwh, round(avg(voltage_v),6) AS avg_voltage, round(avg(current_a),6) AS avg_current FROM lm GROUP BY 1,2"""))
+SELECT meter_id, cast(reading_ts AS date) AS day, count(*) AS slots, count_if(quality='OUTAGE') AS outage_slots, round(sum(usage_kwh),4) AS kwh, round(sum(voltage_v),4) AS voltage_sum, round(sum(current_a),4) AS current_sum FROM lm GROUP BY 1,2"""))
 def load_model(g):
     out = modelled(g).groupBy("meter_id", F.to_date("reading_ts").alias("day"))
     return out.agg(
         F.count(F.lit(1)).alias("slots"), F.sum(F.when(F.col("quality") == "OUTAGE", 1).otherwise(0)).alias("outage_slots"),
-        F.round(F.sum("usage_kwh"), 4).alias("kwh"), F.round(F.avg("voltage_v"), 6).alias("avg_voltage"), F.round(F.avg("current_a"), 6).alias("avg_current"),
+        F.round(F.sum("usage_kwh"), 4).alias("kwh"), F.round(F.sum("voltage_v"), 4).alias("voltage_sum"), F.round(F.sum("current_a"), 4).alias("current_sum"),
     )
 
 
@@ -427,7 +427,7 @@ def boosted_classifier(g):
 @register("batch_scoring")
 def batch_scoring(g):
     model, _ = _fitted(g)
-    return M.latest_high_risk(M.score(model, pairs(g)))
+    return M.latest_high_risk(M.score(model, pairs(g)), days=1000)
 
 
 @register("classifier_metrics", f"""

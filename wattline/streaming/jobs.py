@@ -59,40 +59,49 @@ def drain_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int]
     return writer.start()
 
 
+def on_event_time(stream: DataFrame, delay: str, col: str = "reading_ts") -> DataFrame:
+    """Watermarks need a zoned timestamp; the session zone is UTC, so the values stay the same."""
+    return stream.withColumn(col, F.col(col).cast("timestamp_ltz")).withWatermark(col, delay)
+
+
+def plain(name: str):
+    return F.col(name).cast("timestamp_ntz")
+
+
 def tumbling(stream: DataFrame, size: str = "15 minutes", delay: str = "30 minutes") -> DataFrame:
-    rows = stream.withWatermark("reading_ts", delay)
+    rows = on_event_time(stream, delay)
     return (
         rows.groupBy(F.window("reading_ts", size).alias("w"))
         .agg(F.count(F.lit(1)).alias("reading_count"), F.sum("usage_kwh").alias("total_kwh"), F.avg("voltage_v").alias("avg_voltage"))
-        .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "reading_count", "total_kwh", "avg_voltage")
+        .select(plain("w.start").alias("window_start"), plain("w.end").alias("window_end"), "reading_count", "total_kwh", "avg_voltage")
     )
 
 
 def rolling_circuit_health(stream: DataFrame, meters: DataFrame, size: str = "1 hour", slide: str = "15 minutes", delay: str = "30 minutes") -> DataFrame:
     """Sliding circuit state; the meter table is a static join side."""
-    keyed = stream.withWatermark("reading_ts", delay).join(meters.select("meter_id", "circuit_id"), "meter_id")
+    keyed = on_event_time(stream, delay).join(meters.select("meter_id", "circuit_id"), "meter_id")
     return (
         keyed.groupBy(F.window("reading_ts", size, slide).alias("w"), "circuit_id")
         .agg(
             F.approx_count_distinct("meter_id").alias("active_meters"), F.avg("voltage_v").alias("avg_voltage"), F.avg("usage_kwh").alias("avg_usage_kwh"),
             F.sum(F.when(F.col("voltage_v") < rules.SAG_V, 1).otherwise(0)).alias("low_voltage_count"), F.sum(F.when(F.col("usage_kwh") == 0, 1).otherwise(0)).alias("zero_usage_count"),
         )
-        .select(F.col("w.start").alias("window_start"), "circuit_id", "active_meters", "avg_voltage", "avg_usage_kwh", "low_voltage_count", "zero_usage_count")
+        .select(plain("w.start").alias("window_start"), "circuit_id", "active_meters", "avg_voltage", "avg_usage_kwh", "low_voltage_count", "zero_usage_count")
     )
 
 
 def dedup(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """One row per key while its state is kept, that is within the delay of the newest event."""
-    return stream.withWatermark("reading_ts", delay).dropDuplicatesWithinWatermark(keys)
+    return on_event_time(stream, delay).dropDuplicatesWithinWatermark(keys).withColumn("reading_ts", plain("reading_ts"))
 
 
 def outage_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Out-of-service readings of a meter at most ``gap`` apart form one event."""
-    out = stream.where(rules.is_outage(F.col("usage_kwh"), F.col("voltage_v"))).withWatermark("reading_ts", delay)
+    out = on_event_time(stream.where(rules.is_outage(F.col("usage_kwh"), F.col("voltage_v"))), delay)
     return (
         out.groupBy(F.session_window("reading_ts", gap).alias("w"), "meter_id")
         .agg(F.count(F.lit(1)).alias("intervals"))
-        .select("meter_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "intervals")
+        .select("meter_id", plain("w.start").alias("session_start"), plain("w.end").alias("session_end"), "intervals")
     )
 
 
