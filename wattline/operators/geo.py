@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from wattline.functions import geometry as G
 from wattline.operators.anchors import topk
 
-SALTS = 8
+# A square with more right-hand rows than this is split.
+CROWDED = 10_000
+# A first square of the nearest search holds at most about this many targets.
+FEW_TARGETS = 200
 
 
 def in_envelope(df: DataFrame, lat0: float, lat1: float, lon0: float, lon1: float) -> DataFrame:
@@ -46,22 +49,36 @@ def max_abs_lat(*dfs: DataFrame) -> float:
     return max((df.agg(F.max(F.abs("lat"))).first()[0] or 0.0) for df in dfs) + 0.5
 
 
-def within_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius_km: float, salts: int = SALTS) -> DataFrame:
+def within_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: str, radius_km: float, crowded: int = CROWDED) -> DataFrame:
     """All pairs within the radius.
 
     The left side is listed in the 3 x 3 squares round it, the right side in its own square; squares are as wide as
-    the radius, so no pair is missed.  A crowded square is split: right rows carry one of ``salts`` values, left rows
-    all of them.
+    the radius, so no pair is missed.  The squares are counted first: empty ones drop their left rows before the
+    join, and a crowded one is split into parts that meet the left rows one by one.
     """
     top = max_abs_lat(left, right)
     i, j = _square(F.col("lat"), F.col("lon"), radius_km, top)
-    r = right.select(F.col(right_key), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), i.alias("_i"), j.alias("_j"), F.pmod(F.xxhash64(right_key), F.lit(salts)).alias("_salt"))
-    a = _nine(left.select(left_key, "lat", "lon"), radius_km, top).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    r = right.select(F.col(right_key), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), i.alias("_i"), j.alias("_j"))
+    parts = r.groupBy("_i", "_j").agg(F.ceil(F.count(F.lit(1)) / crowded).alias("_parts"))
+    r = r.join(parts, ["_i", "_j"]).withColumn("_part", F.pmod(F.xxhash64(right_key), F.col("_parts"))).drop("_parts")
+    a = _nine(left.select(left_key, "lat", "lon"), radius_km, top).join(parts, ["_i", "_j"])
+    a = a.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
     d = G.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-    pairs = a.join(r, ["_i", "_j", "_salt"]).withColumn("distance_km", d)
+    pairs = a.join(r, ["_i", "_j", "_part"]).withColumn("distance_km", d)
     return pairs.where(F.col("distance_km") <= radius_km).select(left_key, right_key, "distance_km")
 
 
+def _first_size(spots: DataFrame, top: float, size: float, floor_km: float = 1e-4) -> float:
+    """Square side at which no square holds many targets; measured, not guessed."""
+    while size > floor_km:
+        i, j = _square(F.col("lat"), F.col("lon"), size, top)
+        fullest = spots.groupBy(i.alias("i"), j.alias("j")).count().agg(F.max("count")).first()[0] or 0
+        if fullest <= FEW_TARGETS:
+            break
+        size /= 4
+    return size
+
+
 def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, start_km: float = 0.05, max_km: float = 21000.0, growth: float = 4.0) -> DataFrame:
     """Nearest target of every point, exactly, without listing distant pairs.
 
@@ -74,7 +91,7 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, st
     spots = cut(targets.groupBy("lat", "lon").agg(F.min(target_key).alias(target_key)))
     left = cut(points.select(key, "lat", "lon"))
     top = max_abs_lat(left, spots)
-    done, size = None, start_km
+    done, size = None, _first_size(spots, top, start_km)
     while True:
         last = size >= max_km
         i, j = _square(F.col("lat"), F.col("lon"), size, top)
@@ -133,11 +150,23 @@ def hex_rollup(df: DataFrame, fine: int = 8, coarse: int = 5) -> DataFrame:
     )
 
 
-def cell_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, res: int) -> DataFrame:
-    """Pairs of two point sets in one cell."""
+def cell_join(a: DataFrame, b: DataFrame, a_key: str, b_key: str, res: int, n: int = 100) -> DataFrame:
+    """The first ``n`` pairs (by a key, b key) of two point sets in one cell.
+
+    Only the first ``n`` matched rows of the left side can appear, so they are picked before the pairs are formed and
+    a crowded cell never lists all of its pairs.
+    """
     left = with_cell(a.select(a_key, "lat", "lon"), res).drop("lat", "lon")
     right = with_cell(b.select(b_key, "lat", "lon"), res).drop("lat", "lon")
-    return left.join(right, "cell")
+    first = topk(left.join(right.select("cell"), "cell", "left_semi"), [F.col(a_key).asc()], n)
+    return topk(first.join(right, "cell"), [F.col(a_key).asc(), F.col(b_key).asc()], n)
+
+
+def cell_pair_counts(a: DataFrame, b: DataFrame, res: int) -> DataFrame:
+    """Rows of both sides and number of pairs per shared cell, without listing pairs."""
+    left = with_cell(a, res).groupBy("cell").agg(F.count(F.lit(1)).alias("left_rows"))
+    right = with_cell(b, res).groupBy("cell").agg(F.count(F.lit(1)).alias("right_rows"))
+    return left.join(right, "cell").withColumn("pairs", F.col("left_rows") * F.col("right_rows"))
 
 
 def k_ring(df: DataFrame, lat: float, lon: float, k: int, res: int) -> DataFrame:
@@ -154,10 +183,14 @@ def meters_near(df: DataFrame, lat: float, lon: float, radius_m: float, res: int
 
 
 def hex_ratio(meters: DataFrame, transformers: DataFrame, res: int) -> DataFrame:
-    m = with_cell(meters, res).groupBy("cell").agg(F.count(F.lit(1)).alias("meter_count"))
-    t = with_cell(transformers, res).groupBy("cell").agg(F.count(F.lit(1)).alias("transformer_count"))
-    return t.join(m, "cell", "left").select(
-        "cell", "transformer_count", F.coalesce("meter_count", F.lit(0)).alias("meter_count"), (F.coalesce("meter_count", F.lit(0)) / F.col("transformer_count")).alias("meters_per_transformer")
+    """Meters per transformer for every cell that has meters."""
+    m = with_cell(meters, res).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("meter_count"), F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon")
+    )
+    t = with_cell(transformers, res).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return m.join(t, "cell", "left").select(
+        "cell", "meter_count", F.coalesce("n", F.lit(0)).alias("transformer_count"),
+        F.round(F.col("meter_count") / F.nullif("n", F.lit(0)), 1).alias("meters_per_transformer"), "mean_lat", "mean_lon",
     )
 
 

@@ -132,11 +132,14 @@ def degree_reach(edges: DataFrame, heavy: int = 1000) -> DataFrame:
     if hubs.isEmpty():
         two = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n2"))
     else:
-        beside = links.join(hubs, F.col("dst") == F.col("hub")).select(F.col("src").alias("node"), "hub")
-        # the hubs next to a node number at most 2E/heavy, and are named by one digest
-        sets = beside.groupBy("node").agg(F.sort_array(F.collect_set("hub")).alias("hub_set")).withColumn("set_id", F.sha2(F.concat_ws("|", "hub_set"), 256))
-        sets = cut(sets)
-        members = sets.select("set_id", "hub_set").dropDuplicates(["set_id"]).select("set_id", F.explode("hub_set").alias("hub"))
+        beside = cut(links.join(hubs, F.col("dst") == F.col("hub")).select(F.col("src").alias("node"), "hub"))
+        # nodes with the same hubs beside them share a fingerprint; one of them stands for the set
+        marks = beside.groupBy("node").agg(
+            F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("hub")).alias("_x"), F.bit_xor(F.xxhash64("hub", F.lit("second"))).alias("_y")
+        )
+        sets = cut(marks.withColumn("set_id", F.concat_ws(":", "_c", "_x", "_y")).select("node", "set_id"))
+        heads = sets.groupBy("set_id").agg(F.min("node").alias("node"))
+        members = heads.join(beside, "node").select("set_id", "hub")
         covered = cut(members.join(links.select(F.col("src").alias("hub"), F.col("dst").alias("far")), "hub").select("set_id", "far").distinct())
         cover_size = covered.groupBy("set_id").agg(F.count(F.lit(1)).alias("cover"))
         # from the cover of a node remove itself and its direct neighbours

@@ -25,11 +25,10 @@ def positioned(
     """
     keys = list(keys or [])
     running = running or {}
-    spark = df.sparkSession
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = [chunks] if chunks else []  # without a number the engine joins small ranges at run time
     by_range = [F.col(k).asc() for k in keys] + order
     # The chunk numbers are read twice below, so they have to be fixed before.
-    placed = cut(df.repartitionByRange(n, *by_range).withColumn("_chunk", F.spark_partition_id()))
+    placed = cut(df.repartitionByRange(*size, *by_range).withColumn("_chunk", F.spark_partition_id()))
 
     group = keys or [F.lit(0)]
     totals = placed.groupBy(*keys, "_chunk").agg(

@@ -12,6 +12,7 @@ from wattline.operators import maintenance as T
 from wattline.operators import relations as J
 from wattline.operators import search as X
 from wattline.plans.network_queries import r8
+from wattline.plans.oracle import u
 from wattline.plans.registry import register
 from wattline.session import scratch_path
 from wattline.sources import files as IO
@@ -69,10 +70,10 @@ def parquet_export(g):
     return g.spark.read.parquet(path)
 
 
-@register("sample_export")
+@register("sample_export", f"SELECT outage_id, cause FROM outages ORDER BY {u("outage_id||'3'")}, outage_id LIMIT 100")
 def sample_export(g):
     path = scratch_path(g.spark, "sample")
-    IO.export(IO.sample_rows(g.readings, 100, "meter_id", 3), path)
+    IO.export(IO.sample_rows(g.outages.select("outage_id", "cause"), 100, "outage_id", 3), path)
     return g.spark.read.parquet(path)
 
 
@@ -382,9 +383,14 @@ def fuzzy_search(g):
     return r8(hits.withColumn("edit_distance", F.col("edit_distance").cast("bigint")), "similarity")
 
 
-@register("fuzzy_customer_search")
+@register("fuzzy_customer_search", """
+WITH g AS (SELECT *, list_distinct(list_transform(range(1, length('  '||lower(full_name)||' ')-1), lambda i: substr('  '||lower(full_name)||' ', i, 3))) AS g FROM customers),
+q AS (SELECT list_distinct(list_transform(range(1, length('  custmer#00000012 ')-1), lambda i: substr('  custmer#00000012 ', i, 3))) AS q),
+s AS (SELECT customer_id, full_name, len(list_intersect(g, q))::double/(len(g)+len(q)-len(list_intersect(g, q))) AS sim, levenshtein(lower(full_name), 'custmer#00000012') AS d FROM g, q)
+SELECT customer_id, full_name, round(sim,8) AS similarity, d AS edit_distance FROM s WHERE sim>=0.3 ORDER BY d, sim DESC, customer_id LIMIT 10""")
 def fuzzy_customer_search(g):
-    return X.fuzzy_search(g.customers, "customer_id", "full_name", "Custmer#00000012", 0.3, 10)
+    hits = X.fuzzy_search(g.customers, "customer_id", "full_name", "Custmer#00000012", 0.3, 10)
+    return r8(hits.withColumn("edit_distance", F.col("edit_distance").cast("bigint")), "similarity")
 
 
 @register("vector_search", """
@@ -397,10 +403,10 @@ def vector_search(g):
 
 
 @register("chunk_text", """
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x<>'') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 250)) AS st FROM w WHERE len(w)>0)
-SELECT doc_id||'_'||CASE WHEN length(cast(st//250 AS varchar))<4 THEN lpad(cast(st//250 AS varchar),4,'0') ELSE cast(st//250 AS varchar) END AS chunk_id, doc_id, (st//250)::int AS chunk_index, md5(array_to_string(w[st+1:st+300],' ')) AS text_md5, len(w[st+1:st+300])::int AS token_count FROM s""")
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x<>'') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 1300)) AS st FROM w WHERE len(w)>0)
+SELECT doc_id||'_'||CASE WHEN length(cast(st//1300 AS varchar))<4 THEN lpad(cast(st//1300 AS varchar),4,'0') ELSE cast(st//1300 AS varchar) END AS chunk_id, doc_id, (st//1300)::int AS chunk_index, md5(array_to_string(w[st+1:st+1500],' ')) AS text_md5, len(w[st+1:st+1500])::int AS token_count FROM s""")
 def chunk_text(g):
-    out = X.chunk_text(g.raw("documents"), "doc_id", "text", 300, 50)
+    out = X.chunk_text(g.raw("documents"), "doc_id", "text")
     return out.select("chunk_id", "doc_id", "chunk_index", F.md5("chunk_text").alias("text_md5"), "token_count")
 
 

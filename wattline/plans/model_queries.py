@@ -129,7 +129,7 @@ def topology_expansion(g):
     return per.join(poles, "circuit_id", "left").withColumn("pole_count", F.coalesce("pole_count", F.lit(0)))
 
 
-@register("chunked_backfill")
+@register("chunked_backfill", "SELECT day, 96*(SELECT count(*) FROM meters) AS row_count, true AS passed FROM (VALUES ('2024-01-03'),('2024-01-04')) v(day)")
 def chunked_backfill(g):
     from wattline.plans.backfill import backfill
     from wattline.session import scratch_path
@@ -145,7 +145,7 @@ def chunked_backfill(g):
     def gate(rows, day):
         return Q.validate_chunk(rows, g.meters, g.transformers.withColumn("rated_kva", F.lit(1e9)), f"{day} 00:00:00", f"{day} 23:45:00", n * 96)
 
-    return backfill(g.spark, ["2024-01-03", "2024-01-04"], build, gate, scratch_path(g.spark, "backfill")).drop("logged_at")
+    return backfill(g.spark, ["2024-01-03", "2024-01-04"], build, gate, scratch_path(g.spark, "backfill")).select("day", "row_count", F.col("status").isin("PASS", "WARN").alias("passed"))
 
 
 # ---------------------------------------------------------------- quality

@@ -171,9 +171,9 @@ def join_random_relink(g):
 
 @register("join_self_siblings", """
 SELECT a.transformer_id, b.transformer_id AS sibling_id FROM transformers a JOIN transformers b ON a.substation_id=b.substation_id AND a.transformer_id<>b.transformer_id
-WHERE a.transformer_id IN (SELECT transformer_id FROM transformers ORDER BY health_score, transformer_id LIMIT 5)""")
+WHERE a.transformer_id IN (SELECT transformer_id FROM transformers ORDER BY health_score, transformer_id LIMIT 1)""")
 def join_self_siblings(g):
-    wanted = topk(g.transformers.select("transformer_id", "health_score"), [F.col("health_score").asc(), F.col("transformer_id").asc()], 5)
+    wanted = topk(g.transformers.select("transformer_id", "health_score"), [F.col("health_score").asc(), F.col("transformer_id").asc()], 1)
     return J.siblings(g.transformers, wanted)
 
 
@@ -293,10 +293,12 @@ def conditional_pivot(g):
 
 
 @register("ordered_collect", """
-SELECT substation_id, list(circuit_id ORDER BY circuit_id) AS circuit_ids FROM circuits WHERE status='OUTAGE' GROUP BY 1""")
+WITH c AS (SELECT substation_id, cause, count(*) AS n FROM outages GROUP BY 1,2) SELECT substation_id, list(cause||'='||n ORDER BY cause) AS causes FROM c GROUP BY 1""")
 def ordered_collect(g):
-    out = g.circuits.where("status = 'OUTAGE'").groupBy("substation_id")
-    return out.agg(F.sort_array(F.collect_list(F.struct("circuit_id"))).alias("s")).select("substation_id", F.transform("s", lambda x: x["circuit_id"]).alias("circuit_ids"))
+    # one array entry per cause, counted before it is collected
+    counts = g.outages.groupBy("substation_id", "cause").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.groupBy("substation_id").agg(F.sort_array(F.collect_list(F.struct("cause", "n"))).alias("s"))
+    return rows.select("substation_id", F.transform("s", lambda x: F.concat_ws("=", x["cause"], x["n"])).alias("causes"))
 
 
 @register("distinct_listagg", "SELECT transformer_id, string_agg(DISTINCT segment, ', ' ORDER BY segment) AS segments FROM meters GROUP BY 1")

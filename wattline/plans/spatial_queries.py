@@ -63,20 +63,42 @@ def hex_density(g):
     return r8(geo.hex_density(g.transformers, 7), "avg_health")
 
 
-@register("hex_rollup")
+def _parent_sql(res: int) -> str:
+    """Cell of the centre of a resolution-8 cell (q, r)."""
+    e = G.EDGE_M[8] / 1000.0
+    lat = f"({G.ORIGIN_LAT}::double+({e * 1.5!r}::double*r)/{G.KM_PER_DEGREE!r}::double)"
+    lon = f"({G.ORIGIN_LON}::double+({e * 3 ** 0.5!r}::double*(q+r/2))/{G._LON_KM!r}::double)"
+    return cell_sql(lat, lon, res)
+
+
+@register("hex_rollup", f"""
+WITH b AS (SELECT {cell_sql('lat', 'lon', 8)} AS cell, count(*) AS n, sum(rated_kva) AS kva FROM transformers GROUP BY 1), s AS (SELECT *, split_part(cell,':',2)::bigint AS q, split_part(cell,':',3)::bigint AS r FROM b),
+l AS (SELECT 8 AS resolution, cell AS c, n, kva FROM s UNION ALL SELECT 7, {_parent_sql(7)}, n, kva FROM s UNION ALL SELECT 6, {_parent_sql(6)}, n, kva FROM s UNION ALL SELECT 5, {_parent_sql(5)}, n, kva FROM s),
+p AS (SELECT resolution, c, sum(n) AS n, sum(kva) AS kva FROM l GROUP BY 1,2)
+SELECT resolution, count(*) AS cell_count, sum(n)::bigint AS total_transformers, round(avg(n),2) AS avg_per_cell, sum(kva)::bigint AS total_kva FROM p GROUP BY 1""")
 def hex_rollup(g):
     return geo.hex_rollup(g.transformers)
 
 
 @register("hex_same_cell_join", f"""
-SELECT t.transformer_id, p.pole_id, {cell_sql('t.lat', 't.lon', 9)} AS cell FROM transformers t JOIN poles p ON {cell_sql('t.lat', 't.lon', 9)}={cell_sql('p.lat', 'p.lon', 9)}""")
+SELECT m.meter_id, t.transformer_id, {cell_sql('m.lat', 'm.lon', 9)} AS cell FROM meters m JOIN transformers t ON {cell_sql('m.lat', 'm.lon', 9)}={cell_sql('t.lat', 't.lon', 9)} ORDER BY 1, 2 LIMIT 100""")
 def hex_same_cell_join(g):
-    return geo.cell_join(g.transformers, g.poles, "transformer_id", "pole_id", 9)
+    return geo.cell_join(g.meters, g.transformers, "meter_id", "transformer_id", 9)
 
 
-@register("hex_kring")
+@register("hex_cell_pair_counts", f"""
+WITH m AS (SELECT {cell_sql('lat', 'lon', 8)} AS cell, count(*) AS a FROM meters GROUP BY 1), t AS (SELECT {cell_sql('lat', 'lon', 8)} AS cell, count(*) AS b FROM transformers GROUP BY 1)
+SELECT m.cell, a AS left_rows, b AS right_rows, a*b AS pairs FROM m JOIN t ON t.cell=m.cell""")
+def hex_cell_pair_counts(g):
+    return geo.cell_pair_counts(g.meters, g.transformers, 8)
+
+
+@register("hex_kring", f"""
+WITH c AS (SELECT {cell_sql(str(LAT), str(LON), 7)} AS c0), m AS (SELECT transformer_id, {cell_sql('lat', 'lon', 7)} AS cell FROM transformers),
+d AS (SELECT m.*, split_part(cell,':',2)::bigint-split_part(c0,':',2)::bigint AS dq, split_part(cell,':',3)::bigint-split_part(c0,':',3)::bigint AS dr FROM m, c)
+SELECT transformer_id, cell FROM d WHERE greatest(abs(dq), abs(dr), abs(dq+dr))<=5""")
 def hex_kring(g):
-    return geo.k_ring(g.meters, LAT, LON, 6, 8).select("meter_id", "cell")
+    return geo.k_ring(g.transformers, LAT, LON, 5, 7).select("transformer_id", "cell")
 
 
 @register("meters_near", f"""
@@ -103,10 +125,10 @@ def nearest_match(g):
 
 
 @register("hex_ratio", f"""
-WITH m AS (SELECT {cell_sql('lat', 'lon', 7)} AS cell, count(*) AS n FROM meters GROUP BY 1), t AS (SELECT {cell_sql('lat', 'lon', 7)} AS cell, count(*) AS n FROM transformers GROUP BY 1)
-SELECT t.cell, t.n AS transformer_count, coalesce(m.n,0) AS meter_count, round(coalesce(m.n,0)/t.n,8) AS meters_per_transformer FROM t LEFT JOIN m ON m.cell=t.cell""")
+WITH m AS (SELECT {cell_sql('lat', 'lon', 7)} AS cell, count(*) AS n, avg(lat) AS a, avg(lon) AS o FROM meters GROUP BY 1), t AS (SELECT {cell_sql('lat', 'lon', 7)} AS cell, count(*) AS n FROM transformers GROUP BY 1)
+SELECT m.cell, m.n AS meter_count, coalesce(t.n,0) AS transformer_count, round(m.n/nullif(t.n,0),1) AS meters_per_transformer, round(a,8) AS mean_lat, round(o,8) AS mean_lon FROM m LEFT JOIN t ON t.cell=m.cell""")
 def hex_ratio(g):
-    return r8(geo.hex_ratio(g.meters, g.transformers, 7), "meters_per_transformer")
+    return r8(geo.hex_ratio(g.meters, g.transformers, 7), "mean_lat", "mean_lon")
 
 
 @register("territory_coverage", f"""
@@ -215,10 +237,10 @@ def downstream_assets(g):
 
 @register("bfs_waves", f"""
 WITH RECURSIVE {EDGES},
-w AS (SELECT substation_id AS node, 0 AS depth FROM substations WHERE k%5=0 UNION SELECT b.dst, w.depth+1 FROM w JOIN b ON b.src=w.node WHERE w.depth<3)
+w AS (SELECT circuit_id AS node, 0 AS depth FROM circuits WHERE status='OUTAGE' UNION SELECT b.dst, w.depth+1 FROM w JOIN b ON b.src=w.node WHERE w.depth<3)
 SELECT node, min(depth) AS depth FROM w GROUP BY 1""")
 def bfs_waves(g):
-    seeds = g.substations.where("k % 5 = 0").select(F.col("substation_id").alias("node"))
+    seeds = g.circuits.where("status = 'OUTAGE'").select(F.col("circuit_id").alias("node"))
     return graph.bfs(_edges(g), seeds, 3)
 
 
@@ -245,15 +267,25 @@ def pagerank(g):
     return graph.pagerank(_edges(g), 5).withColumn("pagerank", F.round("pagerank", 10))
 
 
-@register("eigenvector_centrality")
+def _eigen_sql(rounds: int) -> str:
+    steps = ["x0 AS (SELECT DISTINCT src AS node, 1.0::double AS x FROM b)"]
+    for i in range(rounds):
+        steps.append(f"s{i + 1} AS (SELECT v.node, any_value(v.x)+sum(p.x) AS x FROM x{i} v JOIN b ON b.dst=v.node JOIN x{i} p ON p.node=b.src GROUP BY 1)")
+        steps.append(f"x{i + 1} AS (SELECT node, x/(SELECT sqrt(sum(x*x)) FROM s{i + 1}) AS x FROM s{i + 1})")
+    return f"WITH {EDGES}, " + ", ".join(steps) + f" SELECT node, round(x,10) AS eigenvector FROM x{rounds}"
+
+
+@register("eigenvector_centrality", _eigen_sql(4))
 def eigenvector_centrality(g):
-    return graph.eigenvector(_edges(g), 5)
+    return graph.eigenvector(_edges(g), 4).withColumn("eigenvector", F.round("eigenvector", 10))
 
 
-@register("sampled_closeness")
+@register("sampled_closeness", f"""
+WITH RECURSIVE {EDGES}, w AS (SELECT substation_id AS source, substation_id AS node, 0 AS depth FROM substations UNION SELECT w.source, b.dst, w.depth+1 FROM w JOIN b ON b.src=w.node WHERE w.depth<3),
+m AS (SELECT source, node, min(depth) AS depth FROM w GROUP BY 1,2)
+SELECT node, count(*) AS sources_reached, round(avg(depth),8) AS mean_distance FROM m GROUP BY 1""")
 def sampled_closeness(g):
-    seeds = g.substations.where("k % 8 = 0").select(F.col("substation_id").alias("node"))
-    return graph.closeness(_edges(g), seeds, 3)
+    return r8(graph.closeness(_edges(g), g.substations.select(F.col("substation_id").alias("node")), 3), "mean_distance")
 
 
 def _with_ties(g):
@@ -283,16 +315,18 @@ def wavefront_cascade(g):
     return graph.wavefront(g.substations).withColumn("distance_km", F.round("distance_km", 6))
 
 
-@register("wavefront_arrays")
+@register("wavefront_arrays", f"""
+WITH {WAVE} SELECT scenario_id, list(substation_id ORDER BY hop) AS cascade_order, list(least(ceil(km/8.0),5)::bigint ORDER BY hop) AS waves FROM hp WHERE hop<=total_nodes GROUP BY 1""")
 def wavefront_arrays(g):
-    return graph.wavefront_summary(graph.wavefront(g.substations))
+    out = graph.wavefront_summary(graph.wavefront(g.substations))
+    return out.select("scenario_id", F.col("cascade_order.substation_id").alias("cascade_order"), F.col("cascade_order.wave_depth").alias("waves"))
 
 
 @register("nearest_rank", f"""
-WITH z AS (SELECT * FROM substations WHERE k<4)
+WITH z AS (SELECT * FROM substations)
 SELECT z.substation_id AS anchor_id, t.transformer_id, row_number() OVER (PARTITION BY z.substation_id ORDER BY {hav('z.lat','z.lon','t.lat','t.lon')}, t.transformer_id) AS hop FROM z CROSS JOIN transformers t""")
 def nearest_rank(g):
-    anchors = g.substations.where("k < 4").select(F.col("substation_id").alias("anchor_id"), "lat", "lon")
+    anchors = g.substations.select(F.col("substation_id").alias("anchor_id"), "lat", "lon")
     return graph.nearest_rank(anchors, g.transformers, "anchor_id", "transformer_id").select("anchor_id", "transformer_id", "hop")
 
 
