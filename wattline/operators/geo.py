@@ -68,13 +68,19 @@ def within_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return pairs.where(F.col("distance_km") <= radius_km).select(left_key, right_key, "distance_km")
 
 
-def _first_size(spots: DataFrame, top: float, size: float, floor_km: float = 1e-4) -> float:
-    """Square side at which no square holds many targets; measured, not guessed."""
-    while size > floor_km:
-        i, j = _square(F.col("lat"), F.col("lon"), size, top)
+def _first_size(spots: DataFrame, top: float, size: float, largest: float, floor_km: float = 1e-4) -> float:
+    """Largest square side, in steps of four, at which no square holds many targets; measured, not guessed."""
+
+    def fits(side: float) -> bool:
+        i, j = _square(F.col("lat"), F.col("lon"), side, top)
         fullest = spots.groupBy(i.alias("i"), j.alias("j")).count().agg(F.max("count")).first()[0] or 0
-        if fullest <= FEW_TARGETS:
-            break
+        return fullest <= FEW_TARGETS
+
+    if fits(size):
+        while size * 4 <= largest and fits(size * 4):
+            size *= 4
+        return size
+    while size > floor_km and not fits(size):
         size /= 4
     return size
 
@@ -91,7 +97,7 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, st
     spots = cut(targets.groupBy("lat", "lon").agg(F.min(target_key).alias(target_key)))
     left = cut(points.select(key, "lat", "lon"))
     top = max_abs_lat(left, spots)
-    done, size = None, _first_size(spots, top, start_km)
+    done, size = None, _first_size(spots, top, start_km, max_km)
     while True:
         last = size >= max_km
         i, j = _square(F.col("lat"), F.col("lon"), size, top)

@@ -9,7 +9,7 @@ from wattline.functions.geometry import offset_lat, offset_lon
 from wattline.functions.hashing import keyed_normal, keyed_uniform, uniform_int
 from wattline.functions.rules import class_bucket
 from wattline.operators.ordering import positioned
-from wattline.operators.relations import expand
+from wattline.operators.relations import expand, folded_spine, spread
 
 # kWh per 15-minute slot by customer class.
 BASE_KWH = {
@@ -56,9 +56,10 @@ def _lookup(key: Column, table: dict[str, float], default: float | None = None)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def _curve(bucket: Column, hour: Column, table: dict[str, list[float]]) -> Column:
-    pairs = [x for name, row in table.items() for x in (F.lit(name), F.array(*[F.lit(float(v)) for v in row]))]
-    return F.element_at(F.element_at(F.create_map(*pairs), bucket), hour + 1)
+def _lookup_curve(name: Column, table: dict[str, list[float]]) -> Column:
+    """The 24 values of a class as an array column."""
+    pairs = [x for k, row in table.items() for x in (F.lit(k), F.array(*[F.lit(float(v)) for v in row]))]
+    return F.element_at(F.create_map(*pairs), name)
 
 
 # Customer class of each market segment of the derived tables.
@@ -116,25 +117,41 @@ def expected_load(
 ) -> DataFrame:
     """Meter x slot energy and electrical values.
 
-    The spine is exploded per meter, weather joins by hour and outages by (transformer, slot); everything else is
-    column arithmetic on the row, so the expansion needs no shuffle of its own.
+    Outage slots are folded per transformer (at most one entry per slot of the spine) and joined to the meters before
+    these are exploded, so the expanded rows meet nothing but the hourly weather and are never shuffled by key.
     """
-    slots = expand(people, spine, "slot_ts").withColumn("_hour", F.date_trunc("HOUR", "slot_ts").cast(NTZ))
-    w = weather.select(F.col("hour").alias("_hour"), "temperature_f", "humidity_pct")
-    rows = slots.join(w, "_hour", "left").join(
-        outage_slots.select("transformer_id", "slot_ts").withColumn("_out", F.lit(True)), ["transformer_id", "slot_ts"], "left"
+    steps = folded_spine(spine, "slot_ts")
+    first, last = (spine.agg(f("slot_ts")).scalar() for f in (F.min, F.max))
+    dark = (
+        outage_slots.where((F.col("slot_ts") >= first) & (F.col("slot_ts") <= last))
+        .groupBy("transformer_id")
+        .agg(F.collect_set("slot_ts").alias("_dark"))
     )
-    b, hour = F.col("class_bucket"), F.hour("slot_ts")
+    none = F.array().cast(f"array<{NTZ}>")
+    b = F.col("class_bucket")
+    # class-dependent numbers are looked up once per meter, not once per slot
+    per_meter = {"_dark": F.coalesce("_dark", none), "_curve": _lookup_curve(b, DIURNAL)}
+    per_meter |= {f"_{n}": _lookup(b, t) for n, t in (("cool", COOLING), ("heat", HEATING), ("damp", HUMIDITY), ("sat", SATURDAY), ("sun", SUNDAY), ("feast", HOLIDAY))}
+    ready = spread(people.join(dark, "transformer_id", "left").withColumns(per_meter)).withColumn("_steps", steps)
+
+    def tagged(slots: Column, out: bool) -> Column:
+        return F.transform(slots, lambda s: F.struct(s.alias("slot_ts"), F.lit(out).alias("_out")))
+
+    both = F.concat(tagged(F.array_except("_steps", "_dark"), False), tagged(F.array_intersect("_steps", "_dark"), True))
+    slots = ready.withColumn("_slot", F.explode(both)).drop("_steps", "_dark").select("*", "_slot.*").drop("_slot")
+    w = weather.select(F.col("hour").alias("_hour"), "temperature_f", "humidity_pct")
+    rows = slots.withColumn("_hour", F.date_trunc("HOUR", "slot_ts").cast(NTZ)).join(w, "_hour", "left")
+    hour = F.hour("slot_ts")
     temp = F.coalesce("temperature_f", F.lit(85.0)) + F.col("microclimate_offset_f")
     hvac = (
         F.lit(1.0)
-        + _lookup(b, COOLING) * F.greatest(F.lit(0.0), temp - 72.0)
-        + _lookup(b, HEATING) * F.greatest(F.lit(0.0), F.lit(60.0) - temp)
-        + _lookup(b, HUMIDITY) * (F.coalesce("humidity_pct", F.lit(70.0)) - 50.0)
+        + F.col("_cool") * F.greatest(F.lit(0.0), temp - 72.0)
+        + F.col("_heat") * F.greatest(F.lit(0.0), F.lit(60.0) - temp)
+        + F.col("_damp") * (F.coalesce("humidity_pct", F.lit(70.0)) - 50.0)
     )
     dow = F.dayofweek("slot_ts")
-    week = F.when(dow == 1, _lookup(b, SUNDAY)).when(dow == 7, _lookup(b, SATURDAY)).otherwise(1.0)
-    feast = F.when(F.to_date("slot_ts").cast("string").isin(list(holidays) or ["none"]), _lookup(b, HOLIDAY)).otherwise(1.0)
+    week = F.when(dow == 1, F.col("_sun")).when(dow == 7, F.col("_sat")).otherwise(1.0)
+    feast = F.when(F.to_date("slot_ts").cast("string").isin(list(holidays) or ["none"]), F.col("_feast")).otherwise(1.0)
     storm = F.lit(1.0)
     if pre_storm is not None:
         span = F.col("slot_ts").between(*[F.lit(x).cast(NTZ) for x in pre_storm])
@@ -143,7 +160,7 @@ def expected_load(
     key = F.concat_ws("@", "meter_id", F.date_format("slot_ts", "yyyyMMddHHmm"))
     shake = F.exp(F.lit(0.13) * keyed_normal(key, "kwh")) if noise else F.lit(1.0)
     kwh = (
-        F.col("base_per_15min") * _curve(b, hour, DIURNAL) * hvac * week * feast * storm * F.col("home_size_factor") * solar * shake
+        F.col("base_per_15min") * F.element_at("_curve", hour + 1) * hvac * week * feast * storm * F.col("home_size_factor") * solar * shake
         + F.when(F.col("has_ev") & ((hour >= 23) | (hour <= 5)), 0.40).otherwise(0.0)
         + F.when(F.col("has_pool_pump") & hour.between(4, 7), 0.25).otherwise(0.0)
     )
@@ -154,7 +171,7 @@ def expected_load(
         volts = volts + F.lit(0.8) * keyed_normal(key, "v")
         amps = F.greatest(F.lit(0.01), amps + F.lit(0.3) * keyed_normal(key, "a"))
         pf = F.least(F.lit(0.999), F.greatest(F.lit(0.700), F.col("pf_base") + F.lit(0.015) * keyed_normal(key, "pf")))
-    out = F.col("_out").isNotNull()
+    out = F.col("_out")
 
     def live(value: Column, digits: int) -> Column:
         return F.round(F.when(out, 0.0).otherwise(value), digits)
@@ -184,11 +201,12 @@ def simple_load(meters: DataFrame, spine: DataFrame) -> DataFrame:
 
 def profile_load(meters: DataFrame, spine: DataFrame, base_kwh: Column) -> DataFrame:
     """Segment profile by hour x season x commercial weekend."""
-    rows = expand(meters.withColumn("_base", base_kwh).select("meter_id", "profile", "_base"), spine, "slot_ts")
+    ready = meters.withColumns({"_base": base_kwh, "_curve": _lookup_curve(F.col("profile"), PROFILES)})
+    rows = expand(ready.select("meter_id", "profile", "_base", "_curve"), spine, "slot_ts")
     month = F.month("slot_ts")
     season = F.when(month.isin(6, 7, 8), 1.4).when(month.isin(12, 1, 2), 1.1).otherwise(1.0)
     weekend = F.when((F.col("profile") == "COMMERCIAL") & is_weekend(F.col("slot_ts")), 0.3).otherwise(1.0)
-    kwh = F.col("_base") * _curve(F.col("profile"), F.hour("slot_ts"), PROFILES) * season * weekend
+    kwh = F.col("_base") * F.element_at("_curve", F.hour("slot_ts") + 1) * season * weekend
     return rows.select("meter_id", F.col("slot_ts").alias("reading_ts"), F.round(kwh, 3).alias("usage_kwh"))
 
 

@@ -46,16 +46,21 @@ def left_join_window(left: DataFrame, right: DataFrame, key: str, ts_col: str, l
     return left.join(right.where(F.col(ts_col) >= lo), key, "left")
 
 
-def expand(entities: DataFrame, spine: DataFrame, column: str) -> DataFrame:
-    """Entity x spine.  The spine is folded to one array and exploded per entity: a map-side step, no shuffle.
-
-    The spine's size depends on the time range only; it is checked before it is folded.
-    """
-    rows = spine.limit(BROADCAST_ROWS + 1).count()
-    if rows > BROADCAST_ROWS:
+def folded_spine(spine: DataFrame, column: str) -> Column:
+    """The spine as one array.  Its size depends on the time range only, and is checked before it is folded."""
+    if spine.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
         raise ValueError(f"spine has more than {BROADCAST_ROWS} rows; expand it range by range")
-    steps = spine.agg(F.sort_array(F.collect_list(column)).alias("s")).scalar()
-    return entities.withColumn(column, F.explode(steps))
+    return spine.agg(F.sort_array(F.collect_list(column)).alias("s")).scalar()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows evenly before they multiply; a narrow table would otherwise expand in very few tasks."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def expand(entities: DataFrame, spine: DataFrame, column: str) -> DataFrame:
+    """Entity x spine: the folded spine is exploded per entity, so the expanded rows are not shuffled."""
+    return spread(entities).withColumn(column, F.explode(folded_spine(spine, column)))
 
 
 def with_weather(df: DataFrame, ts_col: str, weather: DataFrame) -> DataFrame:

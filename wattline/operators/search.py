@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wattline.operators.anchors import topk
+from wattline.session import cut
 
 K1 = 1.2
 B = 0.75
@@ -24,23 +25,31 @@ def meter_text(context: DataFrame) -> DataFrame:
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed a single time per row: a one-element explode keeps the optimizer from copying
+    the expression into every place that uses it."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term))).cast("double")
+    return (F.size(words) - F.size(F.array_remove(words, term))).cast("double")
 
 
 def text_search(docs: DataFrame, key: str, text: str, query: str, filters: dict[str, str] | None = None, columns: list[str] = (), n: int = 10) -> DataFrame:
     """BM25 over whole texts, ties by key.
 
-    Only the query's terms are counted, per row and without a shuffle; document frequencies and the mean length come
-    from one aggregate.  Filters restrict the results, not the statistics.
+    Only the query's terms are counted, per row and without a shuffle, in one pass whose small result is kept;
+    document frequencies and the mean length come from one aggregate over it.  Filters restrict the results, not the statistics.
     """
     terms = sorted(set(t for t in re.split(r"[\W_]+", query.lower()) if t))
-    toks = docs.withColumn("_t", tokens(F.col(text)))
-    tf = {f"_tf{i}": _occurrences("_t", t) for i, t in enumerate(terms)}
-    counted = toks.withColumn("_len", F.size("_t").cast("double")).withColumns(tf).drop("_t")
+    keep = list(dict.fromkeys([key, *columns, *(filters or {})]))
+    toks = once(docs.select(*keep, text), "_t", tokens(F.col(text))).drop(text) if text not in keep else once(docs.select(*keep), "_t", tokens(F.col(text)))
+    counts = F.struct(F.size("_t").cast("double").alias("_len"), *[_occurrences("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms)])
+    # one pass over the texts; what is kept per document is a few numbers
+    counted = cut(once(toks, "_c", counts).select(*keep, "_c.*"))
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"), *[F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]
     )
@@ -92,7 +101,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, query: Column, k: int
 def chunk_text(docs: DataFrame, key: str, text: str, size: int = 1500, overlap: int = 200) -> DataFrame:
     """Word chunks of ``size`` words every ``size - overlap`` words, over the whole text."""
     step = max(1, size - overlap)
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.col(text), r"\s+"), "")
     rows = docs.withColumn("_w", words).where(F.size("_w") > 0)
     starts = F.sequence(F.lit(0), F.size("_w") - 1, F.lit(step))
     out = rows.select(key, "_w", F.posexplode(starts).alias("chunk_index", "_s"))

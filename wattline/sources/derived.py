@@ -1,7 +1,8 @@
 """Grid tables derived from a folder of star-schema Parquet files.
 
 Mapping: nation -> substations, supplier -> circuits, part -> transformers, customer -> meters and customers,
-events -> readings, lineitem -> hourly load, orders -> outages.  Every table is a lazy DataFrame.
+events -> readings, lineitem -> hourly load, orders -> outages.  Every table is a lazy DataFrame; the column
+expressions are SQL text, so that building a plan costs one call per table.
 """
 
 from __future__ import annotations
@@ -9,17 +10,12 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from wattline.functions.calendar import NTZ, ts
-from wattline.functions.hashing import uniform
 
-
-def _id(prefix: str, width: int, col: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(col.cast("string"), width, "0"))
-
-
-def _u(prefix: str, key: Column, suffix: str) -> Column:
-    return uniform(F.concat(F.lit(prefix), key.cast("string"), F.lit(suffix)))
+def _u(key: str) -> str:
+    """Keyed uniform in [0, 1) of a text expression."""
+    return f"(cast(conv(substring(md5({key}), 1, 13), 16, 10) as bigint) / 4503599627370496.0D)"
 
 
 def _rows(df: DataFrame) -> Column:
@@ -27,96 +23,96 @@ def _rows(df: DataFrame) -> Column:
     return df.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class GridTables:
     """The derived tables of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A source table; its schema is read from the footer once per process, later reads start no job."""
+        if name not in self._raw:
+            path = f"{self.folder}/{name}.parquet"
+            if path not in _SCHEMAS:
+                _SCHEMAS[path] = self.spark.read.parquet(path).schema
+            self._raw[name] = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return self._raw[name]
 
     @cached_property
     def substations(self) -> DataFrame:
-        k = F.col("n_nationkey")
-        return self.raw("nation").select(
-            _id("SUB-", 4, k + 1).alias("substation_id"),
-            F.concat(F.col("n_name"), F.lit(" Substation")).alias("substation_name"),
-            (F.lit(29.4) + F.lit(0.8) * _u("S", k, "lat")).alias("lat"),
-            (F.lit(-95.8) + F.lit(0.9) * _u("S", k, "lon")).alias("lon"),
-            (F.lit(100) + (k * 37) % 400).alias("capacity_mva"),
-            F.col("n_regionkey").alias("region_id"),
-            k.alias("k"),
+        return self.raw("nation").selectExpr(
+            "concat('SUB-', lpad(cast(n_nationkey + 1 as string), 4, '0')) AS substation_id",
+            "concat(n_name, ' Substation') AS substation_name",
+            f"29.4D + 0.8D * {_u("concat('S', cast(n_nationkey as string), 'lat')")} AS lat",
+            f"-95.8D + 0.9D * {_u("concat('S', cast(n_nationkey as string), 'lon')")} AS lon",
+            "100 + (n_nationkey * 37) % 400 AS capacity_mva",
+            "n_regionkey AS region_id",
+            "n_nationkey AS k",
         )
 
     @cached_property
     def circuits(self) -> DataFrame:
-        s = self.substations.select("substation_id", "lat", "lon", F.col("k").alias("s_k"))
-        k = F.col("s_suppkey")
-        return (
-            self.raw("supplier")
-            .join(s, F.col("s_nationkey") == F.col("s_k"))
-            .select(
-                _id("FDR-", 5, k).alias("circuit_id"),
-                "substation_id",
-                F.col("lat").alias("s_lat"),
-                F.col("lon").alias("s_lon"),
-                k.alias("k"),
-                F.when(k % 50 == 7, "OUTAGE").otherwise("ENERGIZED").alias("status"),
-            )
+        s = self.substations.selectExpr("substation_id", "lat AS s_lat", "lon AS s_lon", "k AS s_nationkey")
+        return self.raw("supplier").join(s, "s_nationkey").selectExpr(
+            "concat('FDR-', lpad(cast(s_suppkey as string), 5, '0')) AS circuit_id",
+            "substation_id",
+            "s_lat",
+            "s_lon",
+            "s_suppkey AS k",
+            "CASE WHEN s_suppkey % 50 = 7 THEN 'OUTAGE' ELSE 'ENERGIZED' END AS status",
         )
 
     @cached_property
     def transformers(self) -> DataFrame:
-        c = self.circuits.select("circuit_id", "substation_id", "s_lat", "s_lon", F.col("k").alias("c_k"))
-        k = F.col("p_partkey")
-        parts = self.raw("part").withColumn("circuit_k", k % _rows(self.raw("supplier")))
-        return parts.join(c, F.col("circuit_k") == F.col("c_k")).select(
-            _id("XF-", 6, k).alias("transformer_id"),
+        c = self.circuits.selectExpr("circuit_id", "substation_id", "s_lat", "s_lon", "k AS circuit_k")
+        parts = self.raw("part").withColumn("circuit_k", F.col("p_partkey") % _rows(self.raw("supplier")))
+        return parts.join(c, "circuit_k").selectExpr(
+            "concat('XF-', lpad(cast(p_partkey as string), 6, '0')) AS transformer_id",
             "circuit_id",
             "substation_id",
-            k.alias("k"),
-            (F.col("s_lat") + F.lit(0.04) * (_u("T", k, "lat") - F.lit(0.5))).alias("lat"),
-            (F.col("s_lon") + F.lit(0.04) * (_u("T", k, "lon") - F.lit(0.5))).alias("lon"),
-            (F.col("p_size") * 10).alias("rated_kva"),
-            (F.lit(1972) + k % 54).alias("install_year"),
-            (F.lit(28) + (k * 37) % 72).cast("double").alias("health_score"),
-            (F.lit(30) + (k * 13) % 90).cast("double").alias("load_utilization_pct"),
-            F.col("p_brand").alias("manufacturer"),
-            F.col("p_type").alias("role"),
+            "p_partkey AS k",
+            f"s_lat + 0.04D * ({_u("concat('T', cast(p_partkey as string), 'lat')")} - 0.5D) AS lat",
+            f"s_lon + 0.04D * ({_u("concat('T', cast(p_partkey as string), 'lon')")} - 0.5D) AS lon",
+            "p_size * 10 AS rated_kva",
+            "1972 + p_partkey % 54 AS install_year",
+            "cast(28 + (p_partkey * 37) % 72 as double) AS health_score",
+            "cast(30 + (p_partkey * 13) % 90 as double) AS load_utilization_pct",
+            "p_brand AS manufacturer",
+            "p_type AS role",
         )
 
     @cached_property
     def meters(self) -> DataFrame:
-        t = self.transformers.select(
-            "transformer_id", "circuit_id", "substation_id",
-            F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col("k").alias("t_k"),
+        t = self.transformers.selectExpr(
+            "transformer_id", "circuit_id", "substation_id", "lat AS t_lat", "lon AS t_lon", "k AS transformer_k"
         )
-        k = F.col("c_custkey")
-        custs = self.raw("customer").withColumn("transformer_k", k % _rows(self.raw("part")))
-        return custs.join(t, F.col("transformer_k") == F.col("t_k")).select(
-            _id("MTR-", 8, k).alias("meter_id"),
+        custs = self.raw("customer").withColumn("transformer_k", F.col("c_custkey") % _rows(self.raw("part")))
+        return custs.join(t, "transformer_k").selectExpr(
+            "concat('MTR-', lpad(cast(c_custkey as string), 8, '0')) AS meter_id",
             "transformer_id",
             "circuit_id",
             "substation_id",
-            k.alias("k"),
-            (F.col("t_lat") + F.lit(0.006) * (_u("M", k, "lat") - F.lit(0.5))).alias("lat"),
-            (F.col("t_lon") + F.lit(0.006) * (_u("M", k, "lon") - F.lit(0.5))).alias("lon"),
-            F.col("c_mktsegment").alias("segment"),
-            F.concat(F.lit("County"), (F.col("c_nationkey") % 5).cast("string")).alias("county"),
+            "c_custkey AS k",
+            f"t_lat + 0.006D * ({_u("concat('M', cast(c_custkey as string), 'lat')")} - 0.5D) AS lat",
+            f"t_lon + 0.006D * ({_u("concat('M', cast(c_custkey as string), 'lon')")} - 0.5D) AS lon",
+            "c_mktsegment AS segment",
+            "concat('County', cast(c_nationkey % 5 as string)) AS county",
         )
 
     @cached_property
     def customers(self) -> DataFrame:
-        k = F.col("c_custkey")
-        return self.raw("customer").select(
-            _id("CUST-", 8, k).alias("customer_id"),
-            F.col("c_name").alias("full_name"),
-            _id("MTR-", 8, k).alias("meter_id"),
-            F.col("c_mktsegment").alias("segment"),
-            F.concat(F.lit("City"), F.col("c_nationkey").cast("string")).alias("city"),
-            F.when(k % 20 == 0, "CLOSED").otherwise("ACTIVE").alias("account_status"),
+        return self.raw("customer").selectExpr(
+            "concat('CUST-', lpad(cast(c_custkey as string), 8, '0')) AS customer_id",
+            "c_name AS full_name",
+            "concat('MTR-', lpad(cast(c_custkey as string), 8, '0')) AS meter_id",
+            "c_mktsegment AS segment",
+            "concat('City', cast(c_nationkey as string)) AS city",
+            "CASE WHEN c_custkey % 20 = 0 THEN 'CLOSED' ELSE 'ACTIVE' END AS account_status",
         )
 
     @cached_property
@@ -125,87 +121,75 @@ class GridTables:
 
     @cached_property
     def hourly_load(self) -> DataFrame:
-        t = self.transformers.select("transformer_id", "rated_kva", F.col("k").alias("t_k"))
+        """One row per transformer and hour: lines are combined by part before they meet the transformers."""
+        t = self.transformers.selectExpr("transformer_id", "rated_kva", "k AS l_partkey")
         per_hour = (
             self.raw("lineitem")
-            .select(
+            .selectExpr(
                 "l_partkey",
-                (F.col("l_shipdate") + F.make_interval(hours=F.col("l_linenumber"))).cast(NTZ).alias("load_hour"),
-                (F.col("l_quantity") * 5).alias("kw"),
+                "cast(l_shipdate + make_interval(0, 0, 0, 0, l_linenumber, 0, 0) as timestamp_ntz) AS load_hour",
+                "l_quantity * 5 AS kw",
             )
             .groupBy("l_partkey", "load_hour")
             .agg(F.sum("kw").alias("load_kw"))
         )
-        return per_hour.join(t, F.col("l_partkey") == F.col("t_k")).select(
-            "transformer_id",
-            "load_hour",
-            "load_kw",
-            "rated_kva",
-            (F.col("load_kw") / F.col("rated_kva") * 100).alias("load_factor_pct"),
+        return per_hour.join(t, "l_partkey").selectExpr(
+            "transformer_id", "load_hour", "load_kw", "rated_kva", "load_kw / rated_kva * 100 AS load_factor_pct"
         )
 
     @cached_property
     def outages(self) -> DataFrame:
-        t = self.transformers.select("transformer_id", "circuit_id", "substation_id", F.col("k").alias("t_k"))
-        k = F.col("o_orderkey")
-        start_min = k * 97 % 43200
-        base = ts("2024-01-01 00:00:00")
-        rows = self.raw("orders").where(k % 5 == 0).withColumn("transformer_k", k % _rows(self.raw("part")))
-        return rows.join(t, F.col("transformer_k") == F.col("t_k")).select(
-            F.concat(F.lit("OUT-"), k.cast("string")).alias("outage_id"),
+        t = self.transformers.selectExpr("transformer_id", "circuit_id", "substation_id", "k AS transformer_k")
+        rows = self.raw("orders").where("o_orderkey % 5 = 0")
+        rows = rows.withColumn("transformer_k", F.col("o_orderkey") % _rows(self.raw("part")))
+        at = "cast(timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast({} as int), 0) as timestamp_ntz)"
+        return rows.join(t, "transformer_k").selectExpr(
+            "concat('OUT-', cast(o_orderkey as string)) AS outage_id",
             "transformer_id",
             "circuit_id",
             "substation_id",
-            (base + F.make_interval(mins=start_min.cast("int"))).cast(NTZ).alias("start_ts"),
-            (base + F.make_interval(mins=(start_min + 5 + k % 600).cast("int"))).cast(NTZ).alias("end_ts"),
-            F.when(F.col("o_orderpriority") == "1-URGENT", "WEATHER")
-            .when(F.col("o_orderpriority") == "2-HIGH", "TRANSFORMER_OVERLOAD")
-            .when(F.col("o_orderpriority") == "3-MEDIUM", "VEGETATION")
-            .otherwise("OTHER")
-            .alias("cause"),
-            F.when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("RESTORED").alias("status"),
-            (F.col("o_custkey") % 150).alias("customers"),
+            f"{at.format('o_orderkey * 97 % 43200')} AS start_ts",
+            f"{at.format('o_orderkey * 97 % 43200 + 5 + o_orderkey % 600')} AS end_ts",
+            "CASE o_orderpriority WHEN '1-URGENT' THEN 'WEATHER' WHEN '2-HIGH' THEN 'TRANSFORMER_OVERLOAD'"
+            " WHEN '3-MEDIUM' THEN 'VEGETATION' ELSE 'OTHER' END AS cause",
+            "CASE o_orderstatus WHEN 'O' THEN 'ACTIVE' ELSE 'RESTORED' END AS status",
+            "o_custkey % 150 AS customers",
         )
 
     @cached_property
     def weather(self) -> DataFrame:
         """One row per hour of January 2024."""
-        hours = self.spark.sql(
-            "SELECT explode(sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-31 23:00:00',"
-            " interval 1 hour)) AS hour"
-        )
-        key = F.date_format("hour", "yyyy-MM-dd HH:mm:ss")
-        wave = F.sin(F.lit(2.0) * F.pi() * F.hour("hour") / F.lit(24.0))
-        return hours.select(
-            "hour",
-            (F.lit(60.0) + F.lit(20.0) * wave + F.lit(10.0) * uniform(key)).alias("temperature_f"),
-            (F.lit(40.0) + F.lit(40.0) * uniform(F.concat(key, F.lit("h")))).alias("humidity_pct"),
+        text = "date_format(hour, 'yyyy-MM-dd HH:mm:ss')"
+        return self.spark.sql(
+            f"""SELECT hour, 60.0D + 20.0D * sin(2.0D * pi() * hour(hour) / 24.0D) + 10.0D * {_u(text)} AS temperature_f,
+                       40.0D + 40.0D * {_u(f"concat({text}, 'h')")} AS humidity_pct
+                FROM (SELECT explode(sequence(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-31 23:00:00',
+                                              interval 1 hour)) AS hour)"""
         )
 
     @cached_property
     def poles(self) -> DataFrame:
         """A pole for every transformer whose keyed uniform is below 0.68."""
-        k = F.col("k")
-        return self.transformers.where(_u("P", k, "has") < 0.68).select(
-            _id("POLE-", 6, k).alias("pole_id"),
+        return self.transformers.where(f"{_u("concat('P', cast(k as string), 'has')")} < 0.68D").selectExpr(
+            "concat('POLE-', lpad(cast(k as string), 6, '0')) AS pole_id",
             "transformer_id",
             "circuit_id",
             "substation_id",
-            (F.col("lat") + F.lit(0.004) * (_u("P", k, "lat") - F.lit(0.5))).alias("lat"),
-            (F.col("lon") + F.lit(0.004) * (_u("P", k, "lon") - F.lit(0.5))).alias("lon"),
-            (F.lit(30) + k % 26).alias("height_ft"),
+            f"lat + 0.004D * ({_u("concat('P', cast(k as string), 'lat')")} - 0.5D) AS lat",
+            f"lon + 0.004D * ({_u("concat('P', cast(k as string), 'lon')")} - 0.5D) AS lon",
+            "30 + k % 26 AS height_ft",
         )
 
 
 def readings_of(events: DataFrame) -> DataFrame:
     """Readings from the event table, batch or streaming."""
-    level = F.get_json_object("props", "$.k").cast("int")
-    dead = (F.col("event_type") == "error") & (level < 10)
-    return events.select(
-        _id("MTR-", 8, F.col("user_id")).alias("meter_id"),
-        F.col("ts").cast(NTZ).alias("reading_ts"),
-        F.when(dead, F.lit(0.0)).otherwise(F.col("value") / 100).alias("usage_kwh"),
-        F.when(dead, F.lit(0.0)).otherwise(F.lit(105.0) + level * F.lit(0.25)).alias("voltage_v"),
-        (F.lit(0.85) + (F.col("event_id") % 15) / F.lit(100.0)).alias("power_factor"),
-        F.when(dead, "OUTAGE").when(F.col("event_id") % 50 == 0, "ESTIMATED").otherwise("VALID").alias("quality"),
+    level = "cast(get_json_object(props, '$.k') as int)"
+    dead = f"event_type = 'error' AND {level} < 10"
+    return events.selectExpr(
+        "concat('MTR-', lpad(cast(user_id as string), 8, '0')) AS meter_id",
+        "cast(ts as timestamp_ntz) AS reading_ts",
+        f"CASE WHEN {dead} THEN 0.0D ELSE value / 100 END AS usage_kwh",
+        f"CASE WHEN {dead} THEN 0.0D ELSE 105.0D + {level} * 0.25D END AS voltage_v",
+        "0.85D + (event_id % 15) / 100.0D AS power_factor",
+        f"CASE WHEN {dead} THEN 'OUTAGE' WHEN event_id % 50 = 0 THEN 'ESTIMATED' ELSE 'VALID' END AS quality",
     )
