@@ -4,6 +4,7 @@ from wattline.plans import (  # noqa: F401
     flow_queries,
     model_queries,
     network_queries,
+    procedure_queries,
     readings_queries,
     relation_queries,
     spatial_queries,

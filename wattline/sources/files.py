@@ -105,13 +105,14 @@ def list_docs(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame
     return files.select("path", "length", "modificationTime").where(F.col("path").endswith(suffix)).orderBy("path")
 
 
-def save(df: DataFrame, name: str, mode: str = "append") -> None:
-    """Append to or overwrite a catalog table, columns matched by name."""
+def save(df: DataFrame, name: str, mode: str = "append", path: str | None = None) -> None:
+    """Append to or overwrite a catalog table, columns matched by name; ``path`` places a new table."""
     spark = df.sparkSession
     if mode == "append" and spark.catalog.tableExists(name):
-        df.select(*spark.table(name).columns).write.mode("append").saveAsTable(name)
+        df.select(*spark.table(name).columns).write.mode("append").insertInto(name)
     else:
-        df.write.mode("overwrite").saveAsTable(name)
+        writer = df.write.mode("overwrite")
+        (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
 def build_manifest(tables: dict[str, DataFrame], folder: str) -> DataFrame:
