@@ -53,12 +53,13 @@ def offset_lon(lat: Column, lon: Column, km: Column, bearing: Column) -> Column:
 
 
 def _axial(lat: Column, lon: Column, res: int) -> tuple[Column, Column]:
+    """Fractional axial coordinates."""
     edge_km = EDGE_M[res] / 1000.0
     x = (lon - F.lit(ORIGIN_LON)) * F.lit(_LON_KM)
     y = (lat - F.lit(ORIGIN_LAT)) * F.lit(KM_PER_DEGREE)
     q = (F.lit(_ROOT3 / 3) * x - y / 3) / F.lit(edge_km)
     r = F.lit(2.0 / 3) * y / F.lit(edge_km)
-    return _round_axial(q, r)
+    return q, r
 
 
 def _round_axial(q: Column, r: Column) -> tuple[Column, Column]:
@@ -72,9 +73,14 @@ def _round_axial(q: Column, r: Column) -> tuple[Column, Column]:
 
 
 def cell(lat: Column, lon: Column, res: int) -> Column:
-    """Cell id ``r<res>:<q>:<r>``."""
+    """Cell id ``r<res>:<q>:<r>``.
+
+    The rounding names its inputs about twenty times.  A one-element transform binds them, so that they are computed
+    once and the generated code stays small enough to be compiled.
+    """
     q, r = _axial(lat, lon, res)
-    return cell_id(q, r, res)
+    bound = F.array(F.struct(q.alias("q"), r.alias("r")))
+    return F.transform(bound, lambda z: cell_id(*_round_axial(z["q"], z["r"]), res))[0]
 
 
 def cell_id(q: Column, r: Column, res: int) -> Column:

@@ -105,7 +105,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
         frontier = cut(step.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        reached = cut(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)  # every wave is on file already
     return reached
 
 
@@ -159,18 +159,24 @@ def degree_reach(edges: DataFrame, heavy: int = 1000) -> DataFrame:
     )
 
 
+ROUNDS_PER_CUT = 3
+
+
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """Fixed number of rounds over the undirected graph; contributions are summed before the shuffle."""
-    links = undirected(edges)
-    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-    links = cut(links)
+    """Fixed number of rounds over the undirected graph; contributions are summed before the shuffle.
+
+    A round reads the ranks once, so the plan grows by one join per round; lineage is cut every few rounds.
+    """
+    links = cut(undirected(edges))
+    degree = cut(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d")))
     n = degree.count()
-    ranks = cut(degree.select(F.col("src").alias("node"), F.lit(1.0 / n).alias("rank"), "d"))
-    for _ in range(iterations):
+    ranks = degree.select("node", "d", F.lit(1.0 / n).alias("rank"))
+    for i in range(1, iterations + 1):
         share = ranks.select(F.col("node").alias("src"), (F.col("rank") / F.col("d")).alias("part"))
         sums = links.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("s"))
-        fresh = ranks.select("node", "d").join(sums, "node", "left")
-        ranks = cut(fresh.select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"), "d"))
+        ranks = degree.join(sums, "node", "left").select("node", "d", (F.lit((1 - damping) / n) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
+        if i % ROUNDS_PER_CUT == 0:
+            ranks = cut(ranks)
     return ranks.select("node", F.col("rank").alias("pagerank"))
 
 
@@ -196,7 +202,7 @@ def closeness(edges: DataFrame, sources: DataFrame, max_depth: int = 6) -> DataF
         frontier = cut(step.join(reached.select("source", "node"), ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        reached = cut(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)
     return reached.groupBy("node").agg(F.count(F.lit(1)).alias("sources_reached"), F.avg("depth").alias("mean_distance"))
 
 

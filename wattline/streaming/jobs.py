@@ -111,8 +111,9 @@ STRESS_OUT = "transformer_id string, load_hour timestamp_ntz, load_factor_pct do
 def stress_runs(stream: DataFrame, limit: float = 100.0) -> DataFrame:
     """Running count of consecutive hours above the limit, kept as state per transformer.
 
-    Rows of one batch are put in time order per key; the state is two numbers (last hour, run length).  A key's rows
-    arrive in Arrow batches, so they are gathered per key and micro-batch only; ``maxFilesPerTrigger`` bounds that.
+    Rows of one batch are put in time order per key; the state is two numbers (last hour, run length).  The input has
+    one row per (transformer, hour), so a key brings at most one row per hour of the batch; ``maxFilesPerTrigger``
+    bounds the hours.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
