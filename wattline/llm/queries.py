@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattline.llm import checks, mixing, quality_rules
+from wattline.llm import checks, mixing, piece_codec, quality_classifier, quality_rules, toxicity
 from wattline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,22 @@ def op7_line_frequency_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_source_mix", checks.mixing())
 def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(documents(spark, folder))
+
+
+@query("op2_quality_discriminant")
+def op2_quality_discriminant(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality_classifier.scored(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return out.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op4_toxic_segments")
+def op4_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    out = toxicity.scored(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+@query("op9_piece_encoding")
+def op9_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.digests(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
