@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattline.llm import checks, mixing, piece_codec, quality_classifier, quality_rules, toxicity
+from wattline.llm import checks, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, toxicity
 from wattline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op9_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     return piece_codec.digests(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op1_minhash_odd_sketch")
+def op1_minhash_odd_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, folder)).drop("text_key")
