@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattline.llm import checks, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, toxicity
+from wattline.llm import checks, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, suffix_dedup, toxicity, window_dedup
 from wattline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,13 @@ def op9_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_minhash_odd_sketch")
 def op1_minhash_odd_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, folder)).drop("text_key")
+
+
+@query("op5_doubling_windows")
+def op5_doubling_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return window_dedup.deduplicated_rows(documents(spark, folder)).drop("text_key")
+
+
+@query("op3_sparse_suffixes")
+def op3_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicated_rows(documents(spark, folder))
