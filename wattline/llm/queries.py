@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattline.llm import checks, mixing, near_dedup, piece_codec, quality_classifier, quality_rules, suffix_dedup, toxicity, window_dedup
+from wattline.llm import checks, mixing, near_dedup, onebit_search, page_text, piece_codec, quality_classifier, quality_rules, suffix_dedup, toxicity, window_dedup
 from wattline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,13 @@ def op5_doubling_windows(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_sparse_suffixes")
 def op3_sparse_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicated_rows(documents(spark, folder))
+
+
+@query("op6_onebit_codes")
+def op6_onebit_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return onebit_search.search(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_host_suffix_text")
+def op10_host_suffix_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.main_texts(spark.read.parquet(f"{folder}/pages.parquet"))
