@@ -21,9 +21,10 @@ from wattline.llm.common import number_from_hash, stored, words_of
 
 BLOCK = 128
 SHARD = 256
-BUCKET = 4096
+BUCKET = 1024
 ROUNDS = 8
 CELLS = 4096
+SLOTS_A_TASK = 25_000
 WEIGHTS = (3, 1, 2)
 VOLUME = 1.5
 MOST = 2
@@ -138,7 +139,9 @@ def slots_of(plan: DataFrame) -> DataFrame:
 
 def mixture(plan: DataFrame) -> DataFrame:
     """The mix as blocks: (shard, s, block, turn, taken), where ``taken`` is the number of words read from the start of the block."""
-    df = slots_of(plan).join(plan.drop("source", "target"), "s")
+    total = plan.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("n")).first().n
+    # The rows are small but each is hashed many times: they are dealt to more tasks than their bytes alone would get.
+    df = slots_of(plan).join(plan.drop("source", "target"), "s").repartition(total // SLOTS_A_TASK + 1, "s", "k")
     df = df.withColumn("turn", F.expr("k div blocks")).withColumn("_j", F.expr("k % blocks"))
     df = df.withColumn("block", shuffled_index(F.col("_j"), F.col("blocks"), F.col("s").cast("string"), F.col("turn").cast("string")))
     length = F.when(F.col("block") == F.col("blocks") - 1, BLOCK - F.col("short")).otherwise(F.lit(BLOCK).cast("long"))

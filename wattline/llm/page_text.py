@@ -236,8 +236,11 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(edge, at + RUN, -1)
             free, kept, base = np.cumsum(edge) == 0, [], 0
             for block, is_open in zip(words, opened):
-                rest = [w for i, w in enumerate(block) if free[base + i]]
+                own = free[base : base + len(block)]
                 base += len(block)
+                # A run that only reaches into a block from its neighbours says nothing about it: long stretches and whole blocks count.
+                cuts = np.flatnonzero(np.diff(own.astype(np.int8), prepend=2, append=2))
+                rest = [w for lo, hi in zip(cuts, cuts[1:]) if own[lo] or hi - lo < min(RUN, len(block)) for w in block[lo:hi]]
                 if is_open and rest:
                     kept.append(" ".join(rest))
             texts.append("\n".join(kept))
