@@ -68,23 +68,66 @@ def test_slots_equal_range_join(spark):
 
 @FEW
 @given(st.integers(0, 10**6))
-def test_narrowed_percentiles_match_numpy(spark, seed):
+def test_percentiles_match_numpy(spark, seed):
     rng = np.random.default_rng(seed)
     hot = rng.choice([rng.normal(0, 1, 400), np.repeat(1.5, 400), rng.lognormal(0, 4, 400)])
-    groups = {"hot": hot, "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "neg": -rng.random(33)}
+    groups = {"hot": hot, "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "far": np.concatenate([-rng.random(33), [1e150, 1e300]]), None: rng.random(9)}
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None)], "k string, v double")
-    probs = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.95, "e": 1.0}
-    got = {r["k"]: r for r in quantiles.narrowed_percentiles(df, ["k"], "v", probs).collect()}
+    probs = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.9, "e": 1.0}
+    got = {r["k"]: r for r in quantiles.exact_percentiles(df, ["k"], "v", probs).collect()}
+    assert set(got) == set(groups)
     for k, vs in groups.items():
         for name, p in probs.items():
             assert math.isclose(got[k][name], float(np.quantile(vs, p)), rel_tol=1e-9, abs_tol=1e-9), (k, name)
 
 
-def test_percentile_paths_agree(spark):
-    df = spark.range(5000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1000).cast("double").alias("v"))
-    small = sorted(map(tuple, quantiles.exact_percentiles(df, ["k"], "v", {"m": 0.5, "p": 0.95}).collect()))
-    large = sorted(map(tuple, quantiles.exact_percentiles(df, ["k"], "v", {"m": 0.5, "p": 0.95}, small_group=10).collect()))
-    assert small == large
+def test_positions_keep_null_keys(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3), ("b", 4)], "k string, v int")
+    got = sorted(map(str, map(tuple, ordering.positioned(df, [F.col("v").asc()], ["k"], {"run": "v"}).collect())))
+    assert got == sorted(map(str, [("a", 1, 1, 1), (None, 2, 1, 2), (None, 3, 2, 5), ("b", 4, 1, 4)]))
+
+
+def test_a_value_that_moves_between_columns_is_a_change(spark):
+    old = spark.createDataFrame([(5, None, 7), (6, 1, 1)], "id int, a int, b int")
+    new = spark.createDataFrame([(5, 7, None)], "id int, a int, b int")
+    got = {r["id"]: (r["action"], r["a"], r["b"]) for r in changes.diff_snapshots(old, new, "id").collect()}
+    assert got == {5: ("UPDATE", 7, None), 6: ("DELETE", 1, 1)}
+
+
+def test_a_null_slice_is_replaced(spark):
+    df = spark.createDataFrame([(None, 1), ("x", 2)], "s string, v int")
+    new = spark.createDataFrame([(None, 9)], "s string, v int")
+    assert sorted(r["v"] for r in maintenance.replace_slice(df, new, ["s"]).collect()) == [2, 9]
+
+
+def test_only_times_inside_an_outage_count(spark):
+    at = lambda m: dt.datetime(2024, 1, 1, 10, m)
+    outs = spark.createDataFrame([("t", "WEATHER", at(10), at(40)), ("t", "WEATHER", at(11), at(13)), ("t", "OTHER", at(50), at(45))], "transformer_id string, cause string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    reads = spark.createDataFrame([("m", at(m), 1.0, 0.5) for m in (1, 12, 20, 40, 44)], "meter_id string, reading_ts timestamp_ntz, usage_kwh double, usage_kwh_adjusted double")
+    meters = spark.createDataFrame([("m", "t")], "meter_id string, transformer_id string")
+    marked = {r["reading_ts"].minute: r["slot_quality"] for r in outages.mark_outage(reads, meters, outs).collect()}
+    assert marked == {1: "VALID", 12: "OUTAGE", 20: "OUTAGE", 40: "OUTAGE", 44: "VALID"}
+    assert [tuple(r) for r in outages.outage_loss(reads, meters, outs).collect()] == [("WEATHER", 3, 1, 3.0, 1.5)]
+
+
+def test_a_spine_of_more_than_a_million_steps(spark):
+    spine = spines.time_spine(spark, "2024-01-01 00:00:00", "2024-01-13 00:00:00", "1 second")
+    out = relations.expand(spark.createDataFrame([("a",), ("b",)], "k string"), spine, "slot_ts")
+    assert out.count() == 2 * (12 * 86400 + 1) and out.agg(F.max("slot_ts")).first()[0] == dt.datetime(2024, 1, 13)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from wattline.session import shared_folder
+
+    def fake(master, named):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, other: named), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(fake("spark://host:7077", None))
+    assert shared_folder(fake("spark://host:7077", "s3a://bucket/x/")) == "s3a://bucket/x"
+    assert shared_folder(fake("local[2]", None))
 
 
 def test_positions_with_a_hot_key_equal_a_window(spark):

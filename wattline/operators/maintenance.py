@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wattline.functions.calendar import ts
+from wattline.functions.keys import null_safe_join
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -50,9 +51,9 @@ def backfill(df: DataFrame, col: str, value: Column) -> DataFrame:
 
 
 def replace_slice(df: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop every row of the slices that ``new`` brings, then add ``new``."""
+    """Drop every row of the slices that ``new`` brings, then add ``new``; null names a slice like any other value."""
     slices = new.select(*keys).distinct()
-    return df.join(slices, keys, "left_anti").select(*df.columns).unionByName(new.select(*df.columns))
+    return null_safe_join(df, slices, keys, "left_anti").select(*df.columns).unionByName(new.select(*df.columns))
 
 
 def archive(df: DataFrame, reason: str, as_of: str) -> DataFrame:

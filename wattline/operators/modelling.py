@@ -9,7 +9,7 @@ from wattline.functions.geometry import offset_lat, offset_lon
 from wattline.functions.hashing import keyed_normal, keyed_uniform, uniform_int
 from wattline.functions.rules import class_bucket
 from wattline.operators.ordering import positioned
-from wattline.operators.relations import expand, folded_spine, spread
+from wattline.operators.relations import by_day, expand, with_days
 
 # kWh per 15-minute slot by customer class.
 BASE_KWH = {
@@ -117,22 +117,17 @@ def expected_load(
 ) -> DataFrame:
     """Meter x slot energy and electrical values.
 
-    Outage slots are folded per transformer (at most one entry per slot of the spine) and joined to the meters before
-    these are exploded, so the expanded rows meet nothing but the hourly weather and are never shuffled by key.
+    Rows are meters, then meter-days, then slots. Outage slots are folded per transformer and day (at most one entry per slot of a day)
+    and joined to the meter-days, so the expanded rows meet nothing but the hourly weather and are never shuffled by key.
     """
-    steps = folded_spine(spine, "slot_ts")
-    first, last = (spine.agg(f("slot_ts")).scalar() for f in (F.min, F.max))
-    dark = (
-        outage_slots.where((F.col("slot_ts") >= first) & (F.col("slot_ts") <= last))
-        .groupBy("transformer_id")
-        .agg(F.collect_set("slot_ts").alias("_dark"))
-    )
+    dark = outage_slots.groupBy("transformer_id", F.to_date("slot_ts").alias("_day")).agg(F.collect_set("slot_ts").alias("_dark"))
     none = F.array().cast(f"array<{NTZ}>")
     b = F.col("class_bucket")
     # class-dependent numbers are looked up once per meter, not once per slot
-    per_meter = {"_dark": F.coalesce("_dark", none), "_curve": _lookup_curve(b, DIURNAL)}
+    per_meter = {"_curve": _lookup_curve(b, DIURNAL)}
     per_meter |= {f"_{n}": _lookup(b, t) for n, t in (("cool", COOLING), ("heat", HEATING), ("damp", HUMIDITY), ("sat", SATURDAY), ("sun", SUNDAY), ("feast", HOLIDAY))}
-    ready = spread(people.join(dark, "transformer_id", "left").withColumns(per_meter)).withColumn("_steps", steps)
+    days = with_days(people.withColumns(per_meter), spine, "slot_ts").join(by_day(spine, "slot_ts"), "_day")
+    ready = days.join(dark, ["transformer_id", "_day"], "left").withColumn("_dark", F.coalesce("_dark", none))
 
     def tagged(slots: Column, out: bool) -> Column:
         return F.transform(slots, lambda s: F.struct(s.alias("slot_ts"), F.lit(out).alias("_out")))

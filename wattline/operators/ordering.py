@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wattline.functions.keys import null_safe_join
 from wattline.session import cut
 
 
@@ -50,7 +51,7 @@ def positioned(
             **{f"_run_{o}": F.sum(c).over(upto) for o, c in running.items()},
         }
     )
-    joined = numbered.join(offsets, [*keys, "_chunk"])
+    joined = null_safe_join(numbered, offsets, [*keys, "_chunk"])
     return joined.select(
         *df.columns,
         (F.col("_off") + F.col("_pos")).cast("bigint").alias(position),

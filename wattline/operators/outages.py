@@ -125,15 +125,24 @@ def outage_slots_by_range(outages: DataFrame, spine: DataFrame) -> DataFrame:
     return outages.join(spine, cond).select("transformer_id", "slot_ts").distinct()
 
 
-def mark_outage(readings: DataFrame, meters: DataFrame, slots: DataFrame) -> DataFrame:
-    """Readings with the outage flag of their transformer and slot."""
-    keyed = readings.join(meters.select("meter_id", "transformer_id"), "meter_id").withColumn(
-        "slot_ts", slot(F.col("reading_ts"))
-    )
-    hit = slots.withColumn("_hit", F.lit(True))
-    return keyed.join(hit, ["transformer_id", "slot_ts"], "left").select(
+def slot_spans(outages: DataFrame, keys: list[str], minutes: int = 15) -> DataFrame:
+    """Per key and slot that an outage touches, its intervals: equality joins on the slot find them, the exact times decide."""
+    step = F.expr(f"interval {minutes} minutes")
+    spans = outages.where("start_ts <= end_ts").select(*keys, "start_ts", "end_ts", F.explode(F.sequence(slot(F.col("start_ts"), minutes), F.col("end_ts"), step)).alias("slot_ts"))
+    return spans.groupBy(*keys, "slot_ts").agg(F.collect_set(F.struct("start_ts", "end_ts")).alias("_spans"))
+
+
+def inside(ts_col: str) -> Column:
+    """Whether the time lies in one of ``_spans``, both ends included."""
+    return F.exists("_spans", lambda x: F.col(ts_col).between(x.start_ts, x.end_ts))
+
+
+def mark_outage(readings: DataFrame, meters: DataFrame, outages: DataFrame) -> DataFrame:
+    """Readings with the flag of their transformer: OUTAGE where the reading's time lies inside an outage."""
+    keyed = readings.join(meters.select("meter_id", "transformer_id"), "meter_id").withColumn("slot_ts", slot(F.col("reading_ts")))
+    return keyed.join(slot_spans(outages, ["transformer_id"]), ["transformer_id", "slot_ts"], "left").select(
         "meter_id", "transformer_id", "reading_ts", "slot_ts", "usage_kwh",
-        F.when(F.col("_hit").isNotNull(), "OUTAGE").otherwise("VALID").alias("slot_quality"),
+        F.when(F.coalesce(inside("reading_ts"), F.lit(False)), "OUTAGE").otherwise("VALID").alias("slot_quality"),
     )
 
 
@@ -142,18 +151,10 @@ def outage_loss(final: DataFrame, meters: DataFrame, outages: DataFrame) -> Data
 
     One row per (transformer, slot, cause), so overlapping outages of one cause do not multiply readings.
     """
-    step = F.expr("interval 15 minutes")
-    first = slot(F.col("start_ts"))
-    spans = (
-        outages.select("transformer_id", "cause", first.alias("_from"), "end_ts")
-        .select("transformer_id", "cause", F.explode(F.sequence("_from", F.col("end_ts"), step)).alias("slot_ts"))
-        .distinct()
-    )
-    keyed = final.join(meters.select("meter_id", "transformer_id"), "meter_id").withColumn(
-        "slot_ts", slot(F.col("reading_ts"))
-    )
+    keyed = final.join(meters.select("meter_id", "transformer_id"), "meter_id").withColumn("slot_ts", slot(F.col("reading_ts")))
     return (
-        keyed.join(spans, ["transformer_id", "slot_ts"])
+        keyed.join(slot_spans(outages, ["transformer_id", "cause"]), ["transformer_id", "slot_ts"])
+        .where(inside("reading_ts"))
         .groupBy("cause")
         .agg(
             F.count(F.lit(1)).alias("affected_intervals"),

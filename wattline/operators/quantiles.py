@@ -2,108 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-BINS = 1024
+from wattline.functions.keys import null_safe_join
+from wattline.operators.ordering import positioned
 
-# Groups up to this many rows are safe for Spark's in-memory percentile aggregate.
-SMALL_GROUP = 200_000
 
-
-def _bin(value: Column, low: Column, high: Column) -> Column:
-    scaled = F.floor((value - low) / (high - low) * F.lit(BINS))
-    return F.when(high > low, F.least(F.lit(BINS - 1), scaled)).otherwise(F.lit(0)).cast("int")
-
-
-def _refine(rows: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
-    """One narrowing step.
-
-    ``rows`` carry ``_cell`` (which slice of the group a row is in), ``_lo``, ``_hi`` and ``_base`` (how many rows
-    of the group lie below the slice).  Each slice is cut into equal bins; only bins that hold a wanted rank stay.
-    """
-    binned = rows.withColumn("_bin", _bin(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    counts = binned.groupBy(*keys, "_cell", "_bin").agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_nlo"), F.max("_v").alias("_nhi"), F.first("_base").alias("_base")
-    )
-    # at most BINS rows per slice, whatever the group size
-    before = Window.partitionBy(*keys, "_cell").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("_nbase", F.col("_base") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    hit = (F.col("_rank") >= F.col("_nbase")) & (F.col("_rank") < F.col("_nbase") + F.col("_c"))
-    # several ranks can fall into one bin; one copy of the bin is kept
-    kept = (
-        placed.join(ranks, keys)
-        .where(hit)
-        .groupBy(*keys, "_cell", "_bin", "_nlo", "_nhi", "_nbase")
-        .agg(F.count(F.lit(1)).alias("_hits"))
-        .drop("_hits")
-    )
-    return binned.join(kept, [*keys, "_cell", "_bin"]).select(
-        *keys,
-        "_v",
-        F.concat_ws("/", "_cell", "_bin").alias("_cell"),
-        F.col("_nlo").alias("_lo"),
-        F.col("_nhi").alias("_hi"),
-        F.col("_nbase").alias("_base"),
-    )
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], small_group: int = SMALL_GROUP
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Continuous (interpolated) percentiles per group, one output column per entry of ``probs``.
 
-    The largest group is measured first.  Small groups use the built-in aggregate; otherwise the groups are narrowed.
-    """
-    if largest_group(df, keys) <= small_group:
-        columns = [F.percentile(F.col(value), F.lit(float(p))).alias(name) for name, p in probs.items()]
-        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*columns)
-    return narrowed_percentiles(df, keys, value, probs)
-
-
-def narrowed_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact percentiles of groups of any size.
-
-    Two narrowing scans replace a sort: partial aggregates give the range of each group and a histogram, the wanted
-    ranks pick bins, and only the rows of those bins (about 1/BINS**2 of the data) are counted value by value.
-    Whatever the distribution, the last step works on (value, count) pairs that were combined before the shuffle.
+    Equal values of a group are counted before the shuffle. The (value, count) pairs are range-partitioned with running counts, so a
+    group of any size and any distribution is cut into ranges, and the wanted ranks are picked from them. A null key is a group.
     """
-    whole = "_all"
-    rows = df.select(*keys, F.lit(0).alias(whole), F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    by = [*keys, whole]
-    span = rows.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    spots = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(float(p))).alias("spot"))
-            for name, p in probs.items()
-        ]
-    )
-    wanted = span.select(*by, F.explode(spots).alias("w")).select(
-        *by, F.col("w.name").alias("_name"), F.col("w.spot").alias("_spot")
-    )
-    ranks = wanted.select(
-        *by, F.explode(F.array_distinct(F.array(F.floor("_spot"), F.ceil("_spot")))).alias("_rank")
-    ).distinct()
-    start = rows.join(span.select(*by, "_lo", "_hi"), by).withColumns(
-        {"_cell": F.lit("0"), "_base": F.lit(0).cast("bigint")}
-    )
-    narrow = _refine(_refine(start, by, ranks), by, ranks)
-    pairs = narrow.groupBy(*by, "_cell", "_base", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*by, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = pairs.withColumn("_from", F.col("_base") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    found = pairs.join(ranks, by).where(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_c"))
-    )
-    weight = F.when(
-        F.col("_rank") == F.floor("_spot"), F.lit(1.0) - (F.col("_spot") - F.floor("_spot"))
-    ).otherwise(F.col("_spot") - F.floor("_spot"))
-    touching = (F.col("_rank") == F.floor("_spot")) | (F.col("_rank") == F.ceil("_spot"))
-    points = found.select(*by, "_rank", "_v").join(wanted, by).where(touching)
-    named = {
-        name: F.sum(F.when(F.col("_name") == name, F.col("_v") * weight)).alias(name) for name in probs
-    }
-    return points.groupBy(*by).agg(*named.values()).drop(whole)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+    pairs = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    run = positioned(pairs, [F.col("_v").asc()], keys=keys, running={"_upto": "_c"}, position="_nth")
+    # One row per group; the running counts of its pairs meet it by the group's keys.
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = null_safe_join(run, sizes, keys)
+    picked = {}
+    for name, p in probs.items():
+        spot = (F.col("_n") - 1) * F.lit(float(p))
+        low, high = F.floor(spot), F.ceil(spot)
+        share = spot - low
+
+        def holds(rank):
+            return (rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto"))
+
+        weight = F.when(holds(low), 1.0 - share).otherwise(0.0) + F.when(holds(high), share).otherwise(0.0)
+        touched = holds(low) | holds(high)
+        picked[name] = F.sum(F.when(touched, F.col("_v") * weight)).alias(name)
+    return placed.groupBy(*keys).agg(*picked.values())

@@ -8,15 +8,6 @@ from wattline.functions.calendar import slot, trunc
 from wattline.functions.hashing import keyed_uniform
 from wattline.operators.ordering import positioned
 
-# A side is broadcast by hand only below this many rows; above it Spark's own join choice stands.
-BROADCAST_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side whose row count was checked; beyond the limit the side is returned as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def meter_context(meters: DataFrame, transformers: DataFrame, circuits: DataFrame, substations: DataFrame) -> DataFrame:
     """Left chain meter -> transformer -> circuit -> substation."""
     return (
@@ -46,21 +37,20 @@ def left_join_window(left: DataFrame, right: DataFrame, key: str, ts_col: str, l
     return left.join(right.where(F.col(ts_col) >= lo), key, "left")
 
 
-def folded_spine(spine: DataFrame, column: str) -> Column:
-    """The spine as one array.  Its size depends on the time range only, and is checked before it is folded."""
-    if spine.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"spine has more than {BROADCAST_ROWS} rows; expand it range by range")
-    return spine.agg(F.sort_array(F.collect_list(column)).alias("s")).scalar()
+def by_day(spine: DataFrame, column: str) -> DataFrame:
+    """The spine as one row per day with its steps in order: (_day, _steps)."""
+    return spine.groupBy(F.to_date(column).alias("_day")).agg(F.sort_array(F.collect_set(column)).alias("_steps"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows evenly before they multiply; a narrow table would otherwise expand in very few tasks."""
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+def with_days(entities: DataFrame, spine: DataFrame, column: str) -> DataFrame:
+    """Entity x day of the spine, written out on the entity's own row from the first and last day."""
+    first, last = (spine.agg(f(F.to_date(column))).scalar() for f in (F.min, F.max))
+    return entities.withColumn("_day", F.explode(F.sequence(first, last, F.expr("interval 1 day"))))
 
 
 def expand(entities: DataFrame, spine: DataFrame, column: str) -> DataFrame:
-    """Entity x spine: the folded spine is exploded per entity, so the expanded rows are not shuffled."""
-    return spread(entities).withColumn(column, F.explode(folded_spine(spine, column)))
+    """Entity x spine: days are written out per entity, then the steps of each day; a spine of any length is never held in one row."""
+    return with_days(entities, spine, column).join(by_day(spine, column), "_day").withColumn(column, F.explode("_steps")).drop("_day", "_steps")
 
 
 def with_weather(df: DataFrame, ts_col: str, weather: DataFrame) -> DataFrame:
@@ -223,7 +213,7 @@ def normalize_key(df: DataFrame, col: str, valid: DataFrame, valid_col: str) ->
     scored = F.regexp_extract(k, r"^SUB_(\d+)$", 1)
 
     def padded(prefix: str, digits: Column, width: int) -> Column:
-        number = F.try_cast(F.nullif(digits, F.lit("")), "bigint").cast("string") if hasattr(F, "try_cast") else F.nullif(digits, F.lit("")).try_cast("bigint").cast("string")
+        number = F.nullif(digits, F.lit("")).try_cast("bigint").cast("string")
         return F.concat(F.lit(prefix), F.lpad(number, F.greatest(F.lit(width), F.length(number)), F.lit("0")))
 
     guess = (

@@ -34,6 +34,12 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a small file read by few tasks, dealt to all of them; a scan that is wide already stays as it is."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks // 2 else df
+
+
 def _occurrences(words: str, term: str) -> Column:
     return (F.size(words) - F.size(F.array_remove(words, term))).cast("double")
 
@@ -46,6 +52,7 @@ def text_search(docs: DataFrame, key: str, text: str, query: str, filters: dict[
     """
     terms = sorted(set(t for t in re.split(r"[\W_]+", query.lower()) if t))
     keep = list(dict.fromkeys([key, *columns, *(filters or {})]))
+    docs = dealt(docs.select(*dict.fromkeys([*keep, text])))
     toks = once(docs.select(*keep, text), "_t", tokens(F.col(text))).drop(text) if text not in keep else once(docs.select(*keep), "_t", tokens(F.col(text)))
     counts = F.struct(F.size("_t").cast("double").alias("_len"), *[_occurrences("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms)])
     # one pass over the texts; what is kept per document is a few numbers

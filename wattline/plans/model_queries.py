@@ -54,10 +54,11 @@ def _case(table: dict) -> str:
 def _load_sql(agg: str) -> str:
     t = "(coalesce(w.temperature_f,85.0)+microclimate_offset_f)"
     return f"""
-WITH {PERSONA}, sp AS (SELECT unnest(generate_series(timestamp '2024-01-06 00:00:00', timestamp '2024-01-08 23:45:00', INTERVAL 15 MINUTE)) AS slot_ts),
+WITH {PERSONA}, sp AS (SELECT unnest(generate_series(timestamp '2024-01-07 00:00:00', timestamp '2024-01-15 23:45:00', INTERVAL 15 MINUTE)) AS slot_ts),
 cv AS ({_curve_sql()}), os AS (SELECT DISTINCT transformer_id, sp.slot_ts FROM outages JOIN sp ON sp.slot_ts BETWEEN start_ts AND end_ts),
 x AS (SELECT pe.*, sp.slot_ts, os.slot_ts IS NOT NULL AS out, cv.m * (1.0::double + {_case(S.COOLING)}*greatest(0.0::double,{t}-72) + {_case(S.HEATING)}*greatest(0.0::double,60-{t}) + {_case(S.HUMIDITY)}*(coalesce(w.humidity_pct,70)-50))
  * CASE dayofweek(sp.slot_ts) WHEN 0 THEN {_case(S.SUNDAY)} WHEN 6 THEN {_case(S.SATURDAY)} ELSE 1.0::double END
+ * CASE WHEN cast(sp.slot_ts AS date)=DATE '{HOLIDAY}' THEN {_case(S.HOLIDAY)} ELSE 1.0::double END
  * CASE WHEN sp.slot_ts BETWEEN '{STORM[0]}' AND '{STORM[1]}' AND lat<29.95 THEN 1.15::double ELSE 1.0::double END
  * home_size_factor * CASE WHEN has_solar AND extract(hour from sp.slot_ts) BETWEEN 10 AND 16 THEN 0.55::double ELSE 1.0::double END AS f,
  CASE WHEN has_ev AND (extract(hour from sp.slot_ts)>=23 OR extract(hour from sp.slot_ts)<=5) THEN 0.4::double ELSE 0.0::double END + CASE WHEN has_pool_pump AND extract(hour from sp.slot_ts) BETWEEN 4 AND 7 THEN 0.25::double ELSE 0.0::double END AS extra
@@ -68,7 +69,7 @@ lm AS (SELECT meter_id, slot_ts AS reading_ts, CASE WHEN out THEN 0 ELSE base_pe
 
 
 def modelled(g):
-    spine = time_spine(g.spark, "2024-01-06 00:00:00", "2024-01-08 23:45:00")
+    spine = time_spine(g.spark, "2024-01-07 00:00:00", "2024-01-15 23:45:00")
     return S.expected_load(S.personas(classed(g)), spine, g.weather, O.outage_slots(g.outages), [HOLIDAY], STORM, kwh_digits=10)
 
 
@@ -414,7 +415,7 @@ def scale_encode(g):
 def _fitted(g):
     rows = pairs(g)
     part = M.split_label("transformer_id")
-    model = M.train(rows.where(part == "train"), "high_precision", max_iter=3)
+    model = M.train(rows.where(part == "train"), "high_precision")
     return model, rows.where(part == "test")
 
 

@@ -224,24 +224,18 @@ def join_interval(g):
     return O.outage_slots(g.outages)
 
 
-SLOTS = """spine AS (SELECT unnest(generate_series(timestamp '2024-01-01 00:00:00', timestamp '2024-02-02 00:00:00', INTERVAL 15 MINUTE)) AS slot_ts),
- slots AS (SELECT DISTINCT transformer_id, slot_ts FROM outages JOIN spine ON slot_ts BETWEEN start_ts AND end_ts)"""
-
-
-@register("join_status_lookup", f"""
-WITH {SLOTS}
+@register("join_status_lookup", """
 SELECT r.meter_id, m.transformer_id, r.reading_ts, time_bucket(INTERVAL 15 MINUTE, r.reading_ts) AS slot_ts, r.usage_kwh,
- CASE WHEN s.slot_ts IS NOT NULL THEN 'OUTAGE' ELSE 'VALID' END AS slot_quality
-FROM readings r JOIN meters m ON m.meter_id=r.meter_id LEFT JOIN slots s ON s.transformer_id=m.transformer_id AND s.slot_ts=time_bucket(INTERVAL 15 MINUTE, r.reading_ts)""")
+ CASE WHEN EXISTS (SELECT 1 FROM outages o WHERE o.transformer_id=m.transformer_id AND r.reading_ts BETWEEN o.start_ts AND o.end_ts) THEN 'OUTAGE' ELSE 'VALID' END AS slot_quality
+FROM readings r JOIN meters m ON m.meter_id=r.meter_id""")
 def join_status_lookup(g):
-    return O.mark_outage(g.readings, g.meters, O.outage_slots(g.outages))
+    return O.mark_outage(g.readings, g.meters, g.outages)
 
 
 @register("outage_loss", """
-WITH spine AS (SELECT unnest(generate_series(timestamp '2024-01-01 00:00:00', timestamp '2024-02-02 00:00:00', INTERVAL 15 MINUTE)) AS slot_ts),
-s AS (SELECT DISTINCT transformer_id, cause, slot_ts FROM outages JOIN spine ON slot_ts BETWEEN time_bucket(INTERVAL 15 MINUTE, start_ts) AND end_ts)
-SELECT s.cause, count(*) AS affected_intervals, count(DISTINCT f.meter_id) AS affected_meters, round(sum(usage_kwh),6) AS kwh_at_stake, round(sum(usage_kwh-usage_kwh_adjusted),6) AS lost_kwh
-FROM final f JOIN meters m ON m.meter_id=f.meter_id JOIN s ON s.transformer_id=m.transformer_id AND s.slot_ts=time_bucket(INTERVAL 15 MINUTE, f.reading_ts) GROUP BY 1""")
+WITH s AS (SELECT DISTINCT o.cause, f.meter_id, f.reading_ts, f.usage_kwh, f.usage_kwh_adjusted FROM final f JOIN meters m ON m.meter_id=f.meter_id
+ JOIN outages o ON o.transformer_id=m.transformer_id AND f.reading_ts BETWEEN o.start_ts AND o.end_ts)
+SELECT cause, count(*) AS affected_intervals, count(DISTINCT meter_id) AS affected_meters, round(sum(usage_kwh),6) AS kwh_at_stake, round(sum(usage_kwh-usage_kwh_adjusted),6) AS lost_kwh FROM s GROUP BY 1""")
 def outage_loss(g):
     out = O.outage_loss(R.readings_final(g.readings), g.meters, g.outages)
     return out.withColumns({c: F.round(c, 6) for c in ("kwh_at_stake", "lost_kwh")})

@@ -60,7 +60,7 @@ SELECT 'OUT-'||o_orderkey AS outage_id, t.transformer_id, t.circuit_id, t.substa
  timestamp '2024-01-01 00:00:00'+INTERVAL 1 MINUTE*(o_orderkey*97%43200+5+o_orderkey%600) AS end_ts,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'WEATHER' WHEN '2-HIGH' THEN 'TRANSFORMER_OVERLOAD' WHEN '3-MEDIUM' THEN 'VEGETATION' ELSE 'OTHER' END AS cause,
  CASE o_orderstatus WHEN 'O' THEN 'ACTIVE' ELSE 'RESTORED' END AS status, o_custkey%150 AS customers
- FROM orders CROSS JOIN (SELECT count(*) AS n FROM part) z JOIN transformers t ON t.k=o_orderkey%z.n WHERE o_orderkey%5=0""",
+ FROM orders CROSS JOIN (SELECT count(*) AS n FROM part) z JOIN transformers t ON t.k=o_orderkey%z.n""",
     "weather": f"""
 SELECT hour, 60.0::double+20.0::double*sin(2.0::double*pi()*extract(hour from hour)/24.0::double)
  +10.0::double*{u("strftime(hour,'%Y-%m-%d %H:%M:%S')")} AS temperature_f,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -38,17 +37,21 @@ def pin(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; one is chosen only where it is unset."""
+    """Folder named by ``spark.checkpoint.dir``, with its scheme.
+
+    Where it is unset, a local session gets a temporary folder of its own; on a cluster, whose machines share no such folder, that is
+    an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
         context = spark.sparkContext
         named = context.getCheckpointDir()
         if named is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="wattline-")
             context.setCheckpointDir(named)
-        if os.path.isabs(named.replace("file:", "", 1)):
-            named = named.replace("file:", "", 1)
-    return named
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

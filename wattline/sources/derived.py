@@ -140,8 +140,7 @@ class GridTables:
     @cached_property
     def outages(self) -> DataFrame:
         t = self.transformers.selectExpr("transformer_id", "circuit_id", "substation_id", "k AS transformer_k")
-        rows = self.raw("orders").where("o_orderkey % 5 = 0")
-        rows = rows.withColumn("transformer_k", F.col("o_orderkey") % _rows(self.raw("part")))
+        rows = self.raw("orders").withColumn("transformer_k", F.col("o_orderkey") % _rows(self.raw("part")))
         at = "cast(timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast({} as int), 0) as timestamp_ntz)"
         return rows.join(t, "transformer_k").selectExpr(
             "concat('OUT-', cast(o_orderkey as string)) AS outage_id",

@@ -10,25 +10,21 @@ from wattline.operators.maintenance import latest_per_key
 def diff_snapshots(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Insert, update and delete rows between two versions, decided by a hash of the other columns.
 
-    The full join carries the key and a hash for the old side, so its columns are not shuffled.
+    The hash covers which columns are null, so a value that moves to a neighbouring column is a change. A deleted row keeps its old
+    values. The join carries the key and a hash for the old side; deleted rows come from an anti join with the new keys.
     """
     rest = [c for c in new.columns if c != key]
-    def digest(df):
-        return F.xxhash64(*[F.col(c) for c in rest])
-
-    before = old.select(F.col(key), digest(old).alias("_old_hash"), F.lit(True).alias("_o"))
-    after = new.select("*", digest(new).alias("_new_hash"), F.lit(True).alias("_n"))
-    both = after.join(before, key, "full_outer")
-    action = (
-        F.when(F.col("_o").isNull(), "INSERT").when(F.col("_n").isNull(), "DELETE").when(F.col("_old_hash") != F.col("_new_hash"), "UPDATE")
-    )
-    return (
-        both.withColumn("action", action).where("action IS NOT NULL").withColumn("is_update", F.col("action") == "UPDATE").select(key, *rest, "action", "is_update")
-    )
 
+    def digest():
+        return F.xxhash64(*[F.col(c) for c in rest], *[F.col(c).isNull() for c in rest])
 
-def appended_only(changes: DataFrame) -> DataFrame:
-    return changes.where("action = 'INSERT'")
+    before = old.select(F.col(key), digest().alias("_old_hash"), F.lit(True).alias("_o"))
+    after = new.select("*", digest().alias("_new_hash"), F.lit(True).alias("_n"))
+    both = after.join(before, key, "left")
+    action = F.when(F.col("_o").isNull(), "INSERT").when(F.col("_old_hash") != F.col("_new_hash"), "UPDATE")
+    stay = both.withColumn("action", action).where("action IS NOT NULL").select(key, *rest, "action")
+    gone = old.join(new.select(key), key, "left_anti").select(key, *rest, F.lit("DELETE").alias("action"))
+    return stay.unionByName(gone).withColumn("is_update", F.col("action") == "UPDATE")
 
 
 def stage_changes(changes: DataFrame, key: str, source: str) -> DataFrame:

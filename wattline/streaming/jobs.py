@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -118,15 +119,16 @@ def stress_runs(stream: DataFrame, limit: float = 100.0) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("load_hour")
+        hours = rows["load_hour"].to_numpy("datetime64[h]").astype("int64")
+        over = (rows["load_factor_pct"] > limit).to_numpy()
         last, run = state.get if state.exists else (None, 0)
-        runs = []
-        for at, load in zip(rows["load_hour"], rows["load_factor_pct"]):
-            hour = int(pd.Timestamp(at).value // 3_600_000_000_000)
-            over = load is not None and load > limit
-            run = (run + 1 if last is not None and hour - last == 1 else 1) if over else 0
-            last = hour
-            runs.append(run)
-        state.update((last, run))
+        # A row goes on with the run before it if that is the hour before; a run's length is its place since the last break.
+        follows = np.diff(hours, prepend=hours[0] - 1 if last is None else last) == 1
+        carried = run if follows[0] and last is not None else 0
+        place = np.arange(len(hours))
+        starts = np.maximum.accumulate(np.where(~follows | ~over | ~np.concatenate([[True], over[:-1]]), place, 0))
+        runs = np.where(over, place - starts + np.where(over[starts], 1, 0) + np.where(starts == 0, np.where(over[0], carried, 0), 0), 0)
+        state.update((int(hours[-1]), int(runs[-1])))
         yield pd.DataFrame(
             {"transformer_id": key[0], "load_hour": rows["load_hour"].values, "load_factor_pct": rows["load_factor_pct"].values, "consecutive_hours": runs}
         )
