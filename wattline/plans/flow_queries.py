@@ -197,6 +197,12 @@ def delete_by_scope(g):
     return T.replace_slice(rows, new, ["substation_id"])
 
 
+@register("delete_null_slice", "SELECT meter_id, CASE WHEN k%5<>0 THEN county END AS area, CASE WHEN k%5=0 THEN 'NEW' ELSE segment END AS segment FROM meters")
+def delete_null_slice(g):
+    rows = g.meters.select("meter_id", F.when(F.col("k") % 5 != 0, F.col("county")).alias("area"), "segment")
+    return T.replace_slice(rows, rows.where("area IS NULL").withColumn("segment", F.lit("NEW")), ["area"])
+
+
 @register("archive_then_replace", "SELECT outage_id, status, timestamp '2024-03-01 00:00:00' AS archived_at, 'reload' AS archive_reason FROM outages")
 def archive_then_replace(g):
     path = scratch_path(g.spark, "archive")
@@ -236,6 +242,17 @@ def cdc_diff(g):
     return C.diff_snapshots(_old(g), _new(g), "transformer_id").select("transformer_id", "action", "is_update")
 
 
+@register("cdc_null_move", "SELECT transformer_id, 'UPDATE' AS action, CASE WHEN k%2=1 THEN rated_kva END AS first_kva, CASE WHEN k%2=0 THEN rated_kva END AS second_kva FROM transformers WHERE k%3=0")
+def cdc_null_move(g):
+    """A value moves from one column to its neighbour, which leaves a null behind."""
+    def split(even):
+        return [F.when(F.col("k") % 2 == int(even), F.col("rated_kva")).alias("first_kva"), F.when(F.col("k") % 2 != int(even), F.col("rated_kva")).alias("second_kva")]
+
+    new = g.transformers.select("transformer_id", *split(True))
+    old = g.transformers.where("k % 3 <> 0").select("transformer_id", *split(True)).unionByName(g.transformers.where("k % 3 = 0").select("transformer_id", *split(False)))
+    return C.diff_snapshots(old, new, "transformer_id").select("transformer_id", "action", "first_kva", "second_kva")
+
+
 @register("cdc_stage", """
 SELECT 'transformers' AS source_table, transformer_id AS record_key, CASE WHEN k%40=1 THEN 'INSERT' WHEN k%50=0 THEN 'DELETE' ELSE 'UPDATE' END AS operation, 'PENDING' AS sync_status FROM transformers
 WHERE (k%40=1 AND k%50<>0) OR (k%50=0 AND k%40<>1) OR (k%10=0 AND k%50<>0 AND k%40<>1)""")
@@ -322,8 +339,8 @@ def stream_consecutive(g):
 @register("scheduled_task", "SELECT quality, count(*) AS n FROM readings GROUP BY 1")
 def scheduled_task(g):
     path = scratch_path(g.spark, "batches")
-    query = ST.drain_batches(_stream(g), "task", lambda batch, epoch: batch.write.mode("append").parquet(path))
-    query.awaitTermination()
+    query = ST.drain_batches(_stream(g), "task", lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
+    query.awaitTermination()  # a batch that runs again replaces its own folder
     return g.spark.read.parquet(path).groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -217,6 +217,15 @@ def exact_quantiles(g):
     return _round(out, 8, "p25", "median_kwh", "p99")
 
 
+@register("exact_quantiles_null_group", """
+SELECT CASE WHEN k%7<>0 THEN county END AS county, round(quantile_cont(usage_kwh,0.25),8) AS p25, round(median(usage_kwh),8) AS median_kwh
+FROM readings r JOIN meters m ON m.meter_id=r.meter_id GROUP BY 1""")
+def exact_quantiles_null_group(g):
+    known = g.meters.select("meter_id", F.when(F.col("k") % 7 != 0, F.col("county")).alias("county"))
+    rows = g.readings.select("meter_id", "usage_kwh").join(known, "meter_id")
+    return _round(exact_percentiles(rows, ["county"], "usage_kwh", {"p25": 0.25, "median_kwh": 0.5}), 8, "p25", "median_kwh")
+
+
 @register("completeness", """
 SELECT count(*) AS total, count_if(quality='VALID') AS valid, round(count_if(quality='VALID')::double*100/nullif(count(*),0),2) AS completeness_pct FROM readings""")
 def completeness(g):
