@@ -143,13 +143,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets share enough of their union."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        keep = [similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -173,38 +175,42 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(near))
 
 
-def _block_pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each block cell. Rows arrive sorted by cell; a cell holds two blocks at most."""
+def _block_links(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components that links of a block cell join. Rows arrive sorted by cell; a cell holds two blocks at most.
+
+    Components that an earlier link of the cell has joined are one from then on, so a cell names fewer joins than it has rows.
+    """
     held: list[pa.RecordBatch] = []
-    names = ["u", "v"]
 
-    def cell_pairs(rows: pa.Table) -> pa.RecordBatch | None:
-        node, comp, side, band = (rows[c].to_numpy() for c in ("node", "component", "side", "band"))
-        if len(node) < 2 or (comp == comp[0]).all():
+    def cell_links(rows: pa.Table) -> pa.RecordBatch | None:
+        comp, side, band = (rows[c].to_numpy() for c in ("component", "side", "band"))
+        n = len(comp)
+        if n < 2 or (comp == comp[0]).all():
             return None
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(node), -1)
-        bands = np.frombuffer(rows["bands"].combine_chunks().flatten().to_numpy().tobytes(), np.int64).reshape(len(node), BANDS)
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(n, -1)
+        bands = np.frombuffer(rows["bands"].combine_chunks().flatten().to_numpy().tobytes(), np.int64).reshape(n, BANDS)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
         within = rows["within"][0].as_py()
-        found_u, found_v = [], []
-        for i in range(len(node) - 1 if within else len(node)):
-            if not within and side[i] != 0:
-                continue
-            others = np.arange(i + 1, len(node)) if within else np.flatnonzero(side == 1)
-            others = others[comp[others] != comp[i]]
+        now, found = comp.copy(), []
+        for i in np.arange(n - 1) if within else np.flatnonzero(side == 0):
+            others = np.arange(i + 1, n) if within else np.flatnonzero(side == 1)
+            others = others[now[others] != now[i]]
             if not len(others):
                 continue
             others = others[estimated(_ones(sketch[others], sketch[i])) >= LEAST_ESTIMATE]
-            first = (bands[others] == bands[i]).argmax(1)
-            others = others[first == band[i]]
-            found_u.append(np.full(len(others), node[i]))
-            found_v.append(node[others])
-        if not found_u:
+            others = others[(bands[others] == bands[i]).argmax(1) == band[i]]  # a pair belongs to the first band that it shares
+            for j in others:
+                if now[i] != now[j] and similar(sets[i], sets[j]):
+                    found.append((comp[i], comp[j]))
+                    now[now == now[j]] = now[i]
+        if not found:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_u), pa.int64()), pa.array(np.concatenate(found_v), pa.int64())], names=names)
+        u, v = np.array(found, np.int64).T
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
-            out = cell_pairs(pa.Table.from_batches(held))
+            out = cell_links(pa.Table.from_batches(held))
             held.clear()
             if out is not None and out.num_rows:
                 yield out
@@ -223,8 +229,8 @@ def _block_pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def candidate_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket that the sketches call close, each once."""
+def block_links(members: DataFrame, nodes: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of components between which a bucket holds a link."""
     labelled = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled.select("bucket", "band", "node", "component"), "bucket-components")
     # Two nodes of the largest component of a bucket are never compared: its blocks meet only those of the others.
@@ -239,8 +245,8 @@ def candidate_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame) -> D
     rows = rows.select(
         F.xxhash64("bucket", lo, hi).alias("cell"), "band", "node", "component", F.when(F.col("_b") == lo, 0).otherwise(1).alias("side"), (lo == hi).alias("within"),
     )
-    rows = rows.join(nodes.select("node", "bands", "sketch"), "node")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_block_pairs, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rows = rows.join(nodes.select("node", "bands", "sketch"), "node").join(sets, "node").drop("node")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_block_links, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -261,12 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kb = nodes.select(F.col("node").alias("v"), F.col("sketch").alias("kb"))
     close = stored(stars.join(ka, "u").join(kb, "v").select("u", "v", "ka", "kb").mapInArrow(_close, "u long, v long"), "close-stars")
     comps = stored(components(links(close, sets)), "star-components")
-    more = stored(candidate_pairs(members, nodes, comps), "block-pairs")
-    rest = stored(links(more, sets), "block-links")
-    # The second graph joins the components of the first.
-    left = comps.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-    right = comps.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-    lifted = rest.join(left, "u", "left").join(right, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    lifted = block_links(members, nodes, comps, sets)
     upper = stored(components(lifted), "upper-components").select(F.col("node").alias("component"), F.col("component").alias("top"))
     final = comps.join(upper, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     final = final.unionByName(upper.join(comps.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component")))
