@@ -381,14 +381,18 @@ def feeder_loads(circuits: DataFrame, meters: DataFrame, customers: DataFrame, r
     return circuits.select("circuit_id", "substation_id", "priority_class").join(per, "circuit_id")
 
 
-def load_shed(feeders: DataFrame, target_mw: float) -> DataFrame:
-    """Feeders to shed, low priority and large load first, while the running load stays within 110 % of the target."""
+def load_shed(feeders: DataFrame, target_mw: float, keys: list[str] | None = None) -> DataFrame:
+    """Feeders to shed, low priority and large load first, while the running load stays within 110 % of the target.
+
+    With ``keys`` (a substation, say) every group has a sequence and a target of its own.
+    """
+    keys = list(keys or [])
     pairs = [x for k, v in SHED_RANK.items() for x in (F.lit(k), F.lit(v))]
     rank = F.coalesce(F.element_at(F.create_map(*pairs), F.col("priority_class")), F.lit(1))
     rows = feeders.where("load_mw IS NOT NULL").withColumn("_rank", rank)
     order = [F.col("_rank").asc(), F.col("load_mw").desc_nulls_last(), F.col("circuit_id").asc()]
-    out = positioned(rows, order, running={"cumulative_shed_mw": "load_mw"}, position="shed_order")
-    return out.where(F.col("cumulative_shed_mw") <= target_mw * 1.1).select("shed_order", "circuit_id", "load_mw", "customer_count", F.col("priority_class").alias("priority"), "cumulative_shed_mw")
+    out = positioned(rows, order, keys, running={"cumulative_shed_mw": "load_mw"}, position="shed_order")
+    return out.where(F.col("cumulative_shed_mw") <= target_mw * 1.1).select(*keys, "shed_order", "circuit_id", "load_mw", "customer_count", F.col("priority_class").alias("priority"), "cumulative_shed_mw")
 
 
 def zscore_cols(df: DataFrame, cols: list[str], eps: float = 1e-8) -> DataFrame:

@@ -59,12 +59,14 @@ def fn_vector(g):
 
 @register("table_functions", f"""
 SELECT 'nearby' AS kind, transformer_id AS id, round({hav('29.78', '-95.35', 'lat', 'lon')},6) AS value FROM transformers WHERE {hav('29.78', '-95.35', 'lat', 'lon')}<=20
+UNION ALL SELECT 'meter', meter_id, round({hav('29.78', '-95.35', 'lat', 'lon')}*1000,1) FROM meters WHERE {hav('29.78', '-95.35', 'lat', 'lon')}*1000<=9000
 UNION ALL SELECT 'downstream', 'SUB-0007', 0 UNION ALL SELECT 'downstream', transformer_id, 1 FROM transformers WHERE substation_id='SUB-0007'
 UNION ALL SELECT 'downstream', meter_id, 2 FROM meters m JOIN transformers t USING (transformer_id) WHERE t.substation_id='SUB-0007'""")
 def table_functions(g):
     P.install_functions(g.spark, g)
     return g.spark.sql(
         "SELECT 'nearby' AS kind, transformer_id AS id, round(distance_km, 6) AS value FROM grid_find_nearby(29.78D, -95.35D, 20.0D)"
+        " UNION ALL SELECT 'meter', meter_id, distance_m FROM grid_meters_near(29.78D, -95.35D, 9000.0D)"
         " UNION ALL SELECT 'downstream', downstream_id, cast(hops AS double) FROM grid_downstream('SUB-0007')"
     )
 

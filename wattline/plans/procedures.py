@@ -22,11 +22,20 @@ def install_functions(spark: SparkSession, g: GridTables) -> list[str]:
         getattr(g, name).createOrReplaceTempView(f"grid_{name}")
     km = _DISTANCE.format(a1="lat1", a2="lon1", b1="lat2", b2="lon2")
     near = _DISTANCE.format(a1="p_lat", a2="p_lon", b1="t.lat", b2="t.lon")
+    # A box around the circle, which a scan can use; near the poles it spans all longitudes.
+    box = (
+        "t.lat BETWEEN p_lat - {km} / 111.0D AND p_lat + {km} / 111.0D"
+        " AND abs(pmod(t.lon - p_lon + 180.0D, 360.0D) - 180.0D) <= {km} / greatest(111.0D * cos(radians(least(abs(p_lat) + {km} / 111.0D, 89.9D))), 0.1D)"
+    )
+    nearby, metres = box.format(km="p_km"), box.format(km="(p_radius_m / 1000.0D)")
     bodies = {
         "grid_distance_km": f"(lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE) RETURNS DOUBLE RETURN {km}",
         "grid_find_nearby": f"""(p_lat DOUBLE, p_lon DOUBLE, p_km DOUBLE DEFAULT 5.0D)
             RETURNS TABLE (transformer_id STRING, distance_km DOUBLE, load_utilization_pct DOUBLE)
-            RETURN SELECT t.transformer_id, {near}, t.load_utilization_pct FROM grid_transformers t WHERE {near} <= p_km""",
+            RETURN SELECT t.transformer_id, {near}, t.load_utilization_pct FROM grid_transformers t WHERE {nearby} AND {near} <= p_km""",
+        "grid_meters_near": f"""(p_lat DOUBLE, p_lon DOUBLE, p_radius_m DOUBLE)
+            RETURNS TABLE (meter_id STRING, transformer_id STRING, circuit_id STRING, distance_m DOUBLE)
+            RETURN SELECT t.meter_id, t.transformer_id, t.circuit_id, round({near} * 1000.0D, 1) FROM grid_meters t WHERE {metres} AND {near} * 1000.0D <= p_radius_m""",
         "grid_downstream": """(p_asset STRING)
             RETURNS TABLE (downstream_id STRING, asset_type STRING, hops INT)
             RETURN SELECT p_asset, 'SUBSTATION', 0

@@ -397,6 +397,21 @@ def running_shed(g):
     return graph.load_shed(loads, 0.5).withColumns({c: F.round(c, 10) for c in ("load_mw", "cumulative_shed_mw")})
 
 
+@register("substation_shed", """
+WITH f AS (SELECT m.circuit_id, count(DISTINCT c.customer_id) AS customer_count, sum(r.kwh)/4000.0 AS load_mw FROM meters m JOIN customers c ON c.meter_id=m.meter_id
+ LEFT JOIN (SELECT meter_id, sum(usage_kwh) AS kwh FROM readings WHERE reading_ts>=(SELECT max(reading_ts) FROM readings)-INTERVAL 10 DAY GROUP BY 1) r ON r.meter_id=m.meter_id GROUP BY 1),
+p AS (SELECT f.*, ci.substation_id, CASE ci.k%4 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS class FROM f JOIN circuits ci ON ci.circuit_id=f.circuit_id WHERE load_mw IS NOT NULL),
+s AS (SELECT *, row_number() OVER w AS shed_order, sum(load_mw) OVER (w ROWS UNBOUNDED PRECEDING) AS cum FROM p WINDOW w AS (PARTITION BY substation_id ORDER BY class, load_mw DESC, circuit_id))
+SELECT substation_id, shed_order, circuit_id, round(load_mw,10) AS load_mw, customer_count, round(cum,10) AS cumulative_shed_mw FROM s WHERE cum<=0.02*1.1""")
+def substation_shed(g):
+    """A shedding sequence for every substation."""
+    k = F.col("k") % 4
+    classed = g.circuits.withColumn("priority_class", F.when(k == 0, "CRITICAL").when(k == 1, "HIGH").when(k == 2, "MEDIUM").otherwise("LOW"))
+    since = latest(g.readings, "reading_ts") - F.expr("interval 10 days")
+    loads = graph.feeder_loads(classed, g.meters, g.customers, g.readings, since)
+    return graph.load_shed(loads, 0.02, ["substation_id"]).drop("priority").withColumns({c: F.round(c, 10) for c in ("load_mw", "cumulative_shed_mw")})
+
+
 @register("standardize_features", """
 WITH s AS (SELECT avg(rated_kva) AS m1, stddev_pop(rated_kva) AS s1, avg(health_score) AS m2, stddev_pop(health_score) AS s2 FROM transformers)
 SELECT transformer_id, round((rated_kva-m1)/(s1+1e-8),8) AS rated_kva_z, round((health_score-m2)/(s2+1e-8),8) AS health_score_z FROM transformers, s""")
