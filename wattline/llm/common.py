@@ -31,3 +31,17 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 def number_from_hash(hexed: Column) -> Column:
     """The first 15 hexadecimal digits of a digest as a long: 60 even bits, the same in SQL."""
     return F.conv(F.substring(hexed, 1, 15), 16, 10).cast("long")
+
+
+#: Buckets of a filter by hash: it has at most so many rows, whatever it is made from.
+FILTER_BUCKETS = 1 << 20
+
+
+def likely_among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose hash bucket occurs among those of ``wanted``; drops most others before a shuffle, and never a wanted row.
+
+    The buckets are broadcast: at most ``FILTER_BUCKETS`` numbers. With very many wanted rows all buckets occur and all rows pass.
+    """
+    bucket = F.pmod(F.xxhash64(column), F.lit(FILTER_BUCKETS))
+    buckets = stored(wanted.select(bucket.alias("_bucket")).distinct(), "hash-buckets")
+    return df.withColumn("_bucket", bucket).join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")

@@ -4,9 +4,9 @@ Every string of ``LENGTH`` bytes has an anchor: the place of its least hash of `
 strings whose anchor hash occurs twice can repeat. Their possible starts are cut into units of ``UNIT`` starts, aligned to the anchor, so
 that equal strings lie in equally aligned units. For a unit ending at byte t the suffix from t is sorted, followed by the bytes before t
 backwards: sampled splitters range-partition the suffixes by their leading bytes (and by place where those are equal, so that no group is
-too large for a task), each bucket is sorted by multikey quicksort, and neighbours are compared, also across buckets. The longest common
-prefix with a neighbour says for each start of the unit that its string repeats, that it cannot, or, at the edges of repeats, that it must
-be looked up. Looked-up strings are hashed once per distinct unit and counted.
+too large for a task), each bucket is sorted by multikey quicksort, and neighbours are compared, also across buckets. What a suffix shares
+with its neighbours, forwards and backwards, says for each start of the unit that its string repeats or that it cannot; the few starts
+that stay open at the edges of repeats are looked up: their strings are hashed once per distinct unit and counted.
 
 Texts that occur twice are removed whole (if long enough) and take part once. All occurrences of a string are removed, the first too.
 
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wattline.llm import rolling
-from wattline.llm.common import stored
+from wattline.llm.common import likely_among, stored
 
 LENGTH = 400
 GRAM = 32
@@ -144,6 +144,16 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), KEY)
 
 
+#: What names a text: two hashes of it. Rows with one name are copies.
+_TEXT = ["k1", "k2"]
+_TEXT_KIND = "k1 long, k2 int"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64("doc_id").alias("id"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), text.cast("binary").alias("text"))
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, shas, hashes, counts, ends = [], [], [], [], [0]
@@ -152,27 +162,17 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(text))
             shas.append(hashlib.sha256(text).digest())
             hashes.append(h)
-            counts.append(np.minimum(n, 2).astype(np.int8))
+            counts.append(n > 1)
             ends.append(ends[-1] + len(h))
         ends = pa.array(ends, pa.int32())
         h = pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64())
-        n = pa.array(np.concatenate(counts) if counts else [], pa.int8())
+        n = pa.array(np.concatenate(counts) if counts else [], pa.bool_())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(batch.column(c) for c in _PLACE), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.ListArray.from_arrays(ends, h), pa.ListArray.from_arrays(ends, n)],
-            names=["doc_id", *_PLACE, "n_bytes", "sha", "hashes", "times"],
+            [*(batch.column(c) for c in ("doc_id", "id", *_TEXT)), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.ListArray.from_arrays(ends, h), pa.ListArray.from_arrays(ends, n)],
+            names=["doc_id", "id", *_TEXT, "n_bytes", "sha", "hashes", "again"],
         )
 
 
-#: What names a text: hashes of its id and of the text twice. Rows with one name are copies.
-_PLACE = ["id", "k1", "k2"]
-_PLACE_KIND = "id long, k1 long, k2 int"
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64("doc_id").alias("id"), F.xxhash64(text).alias("k1"), F.hash(text).alias("k2"), text.cast("binary").alias("text"))
-
-
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -183,100 +183,126 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = len(t[part])
                 flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY), n, [None, pa.py_buffer(np.ascontiguousarray(keys[part]))])
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.repeat(batch.column(c)[i], n) for c in _PLACE), pa.array(t[part], pa.int64()), pa.array(a[part], pa.int64()), pa.array(b[part], pa.int64()), flat.cast(pa.binary())],
-                    names=[*_PLACE, "t", "a", "b", "key"],
+                    [*(pa.repeat(batch.column(c)[i], n) for c in _TEXT), pa.array(t[part], pa.int64()), pa.array(a[part], pa.int64()), pa.array(b[part], pa.int64()), flat.cast(pa.binary())],
+                    names=[*_TEXT, "t", "a", "b", "key"],
                 )
 
 
 def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bucket in order, each row with the prefixes it shares with its neighbours; the outer ones are open."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    table = pa.Table.from_batches(got) if (got := list(batches)) else None
     if table is None or not table.num_rows:
         return
     keys = _matrix(table["key"].combine_chunks())
     order = multikey_order(keys)
-    keys = keys[order]
-    table = table.take(pa.array(order)).combine_chunks()
-    shared = common_prefixes(keys[:-1], keys[1:])
-    n = len(order)
-    before = pa.array(np.concatenate([[0], shared]), pa.int32(), mask=np.arange(n) == 0)
-    after = pa.array(np.concatenate([shared, [0]]), pa.int32(), mask=np.arange(n) == n - 1)
-    edge = (np.arange(n) == 0) * 1 + (np.arange(n) == n - 1) * 2
-    part = pa.repeat(pa.scalar(TaskContext.get().partitionId(), pa.int32()), n)
-    out = table.append_column("before", before).append_column("after", after).append_column("edge", pa.array(edge, pa.int32())).append_column("part", part)
-    yield from out.to_batches(max_chunksize=8192)
+    keys, n = keys[order], len(order)
+    right, left = common_prefixes(keys[:-1, :LENGTH], keys[1:, :LENGTH]), common_prefixes(keys[:-1, LENGTH:], keys[1:, LENGTH:])
+    place = np.arange(n)
+    first, last = place == 0, place == n - 1
+    # Keys stay where a lookup may need them: once per distinct key, in groups of one core that do not agree on all bytes forwards. What
+    # the outer groups of a bucket hold is not known here.
+    group = np.concatenate([[0], np.cumsum(right < CORE)])
+    mixed = np.zeros(group[-1] + 1, bool)
+    mixed[group[:-1][(right >= CORE) & (right < LENGTH)]] = True
+    mixed[[0, -1]] = True
+    like_before = np.concatenate([[False], (right == LENGTH) & (left == KEY - LENGTH)])
+    keep_key = (mixed[group] & ~like_before) | first | last
+    shares = np.maximum(np.concatenate([[0], right]), np.concatenate([right, [0]])) >= CORE
+    rows = np.flatnonzero(shares | first | last)
+    kept = [keys[i].tobytes() if keep_key[i] else None for i in rows]
+    edge = first * 1 + last * 2
+    out = table.drop_columns(["key"]).take(pa.array(order[rows]))
+    more = {
+        "key": pa.array(kept, pa.binary()), "edge": pa.array(edge[rows], pa.int32()), "part": pa.array(np.full(len(rows), TaskContext.get().partitionId(), np.int32)),
+        "core": pa.array(np.array([xxhash.xxh3_64_intdigest(keys[i, :CORE].tobytes()) for i in rows], np.uint64).view(np.int64)),
+        "ahead": pa.array(np.array([xxhash.xxh3_64_intdigest(keys[i, :LENGTH].tobytes()) for i in rows], np.uint64).view(np.int64)),
+        "right_up": pa.array(np.concatenate([[0], right])[rows], pa.int32()), "left_up": pa.array(np.concatenate([[0], left])[rows], pa.int32()),
+        "right_down": pa.array(np.concatenate([right, [0]])[rows], pa.int32()), "left_down": pa.array(np.concatenate([left, [0]])[rows], pa.int32()),
+    }
+    for name, column in more.items():
+        out = out.append_column(name, column)
+    yield from out.combine_chunks().to_batches(max_chunksize=8192)
+
+
+_SORTED_KIND = "key binary, edge int, part int, core long, ahead long, right_up int, left_up int, right_down int, left_down int"
 
 
 def _boundary_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            pairs = common_prefixes(_matrix(batch.column("last")), _matrix(batch.column("first")))
-            yield pa.RecordBatch.from_arrays([batch.column("upper"), batch.column("lower"), pa.array(pairs, pa.int32())], names=["upper", "lower", "shared"])
+            a, b = _matrix(batch.column("last")), _matrix(batch.column("first"))
+            right, left = common_prefixes(a[:, :LENGTH], b[:, :LENGTH]), common_prefixes(a[:, LENGTH:], b[:, LENGTH:])
+            yield pa.RecordBatch.from_arrays([batch.column("upper"), batch.column("lower"), pa.array(right, pa.int32()), pa.array(left, pa.int32())], names=["upper", "lower", "right", "left"])
 
 
 def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all the strings of a unit, with the start of each."""
+    """Hashes of the strings of a unit that start ``near`` to ``far`` bytes before its end, with the start of each."""
     for batch in batches:
         row, start, hashes = [], [], []
-        for i, (key, t) in enumerate(zip(batch.column("key").to_pylist(), batch.column("t").to_pylist())):
+        for i, (key, t, near, far) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "t", "near", "far")))):
             piece = key[LENGTH:][::-1] + key[:LENGTH]
-            for o in range(UNIT):
+            for o in range(near, far + 1):
                 text = piece[UNIT - 1 - o : KEY - o]
                 if text[0] != 255 and text[-1] != 255:
                     row.append(i)
                     start.append(t - o)
                     hashes.append(xxhash.xxh3_64_intdigest(text))
         at = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _PLACE), pa.array(start, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=[*_PLACE, "start", "h"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in _TEXT), pa.array(start, pa.int64()), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=[*_TEXT, "start", "h"])
 
 
 def sorted_suffixes(rows: DataFrame) -> DataFrame:
-    """``rows`` (with key, t and place) in buckets of neighbouring keys, each with ``prefix``, the longest it shares with another."""
+    """Units that share a core with another, with the bytes shared forwards (right) and backwards (left) with both neighbours."""
     buckets = int(rows.agg(F.count("*")).first()[0] * KEY // BUCKET_BYTES) + 1
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    ranged = rows.repartitionByRange(buckets, "key", "t", *_PLACE)
-    done = stored(ranged.mapInArrow(_sorted_bucket, f"{kinds}, before int, after int, edge int, part int"), "sorted-suffixes")
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.drop("key").dtypes)
+    ranged = rows.repartitionByRange(buckets, "key", "t", *_TEXT)
+    done = stored(ranged.mapInArrow(_sorted_bucket, f"{kinds}, {_SORTED_KIND}"), "sorted-suffixes")
     ends = done.where("edge > 0").groupBy("part").agg(F.max(F.when(F.col("edge") % 2 == 1, F.col("key"))).alias("first"), F.max(F.when(F.col("edge") >= 2, F.col("key"))).alias("last"))
     by_part = Window.orderBy("part")  # two keys for each bucket
     pairs = ends.select(F.lag("part").over(by_part).alias("upper"), F.lag("last").over(by_part).alias("last"), F.col("part").alias("lower"), "first").where("upper IS NOT NULL")
-    pairs = stored(pairs.mapInArrow(_boundary_prefixes, "upper int, lower int, shared int"), "bucket-boundaries")
-    inner = done.where("edge = 0")
-    outer = done.where("edge > 0")
-    outer = outer.join(pairs.select(F.col("lower").alias("part"), F.col("shared").alias("_b")), "part", "left").join(pairs.select(F.col("upper").alias("part"), F.col("shared").alias("_a")), "part", "left")
-    outer = outer.withColumn("before", F.when(F.col("edge") % 2 == 1, F.coalesce("_b", F.lit(0))).otherwise(F.col("before"))).withColumn("after", F.when(F.col("edge") >= 2, F.coalesce("_a", F.lit(0))).otherwise(F.col("after")))
-    both = inner.unionByName(outer.select(*inner.columns))
-    return both.withColumn("prefix", F.greatest("before", "after")).drop("before", "after", "edge", "part")
-
-
-def repeated_starts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per row (doc_id, id, k1, k2, n_bytes, sha, copies), and (id, k1, k2, lo, hi): runs of starts of strings that occur elsewhere."""
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = stored(_keyed(docs).mapInArrow(_anchor_rows, f"doc_id {kind}, {_PLACE_KIND}, n_bytes long, sha binary, hashes array<long>, times array<tinyint>"), "byte-anchors")
-    texts = stored(rows.groupBy("sha").agg(F.count("*").alias("copies"), F.min(F.struct(*_PLACE)).alias("one")), "distinct-bytes")
-    named = texts.select(F.col("sha").alias("_sha"), "copies", "one")
-    every = stored(rows.join(named, F.col("sha") == F.col("_sha")).withColumn("own", F.struct(*_PLACE) == F.col("one")).drop("_sha", "one"), "counted-bytes")
-    single = every.where("own").dropDuplicates(_PLACE)
-    grams = single.select(*_PLACE, F.explode(F.arrays_zip("hashes", "times")).alias("x")).select(*_PLACE, F.col("x.hashes").alias("h"), F.col("x.times").cast("int").alias("n"))
-    again = stored(grams.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated-grams")
-    held = grams.join(again, "h").groupBy(*_PLACE).agg(F.collect_set("h").alias("shared"))
-    found = _keyed(docs).join(held, _PLACE).select(*_PLACE, "text", "shared").dropDuplicates(_PLACE)
-    pieces = stored(found.mapInArrow(_unit_rows, f"{_PLACE_KIND}, t long, a long, b long, key binary"), "suffix-units")
-    done = sorted_suffixes(pieces)
-
-    left = F.col("prefix") - LENGTH
-    proven = F.when(F.col("prefix") >= KEY, F.col("a")).when(left >= 0, F.greatest(F.col("a"), F.col("t") - left))
-    open_to = F.when(F.col("prefix") >= KEY, F.lit(-1)).when(left >= 0, F.least(F.col("b"), F.col("t") - left - 1)).otherwise(F.least(F.col("b"), F.col("t") + left))
-    done = done.where(F.col("prefix") >= CORE).withColumn("proven", proven).withColumn("open_to", open_to)
-    done = stored(done.withColumn("core", F.xxhash64(F.substring("key", 1, CORE))).withColumn("whole", F.xxhash64("key")), "judged-units")
-    sure = done.where("proven <= b").select(*_PLACE, F.col("proven").alias("lo"), F.col("b").alias("hi"))
-    unsure = done.where("open_to >= a")
-    cores = stored(unsure.select("core").distinct(), "open-cores")
-    partners = done.join(cores, "core", "left_semi").groupBy("whole").agg(F.min(F.struct("t", *_PLACE, "key")).alias("u")).select("u.*")
-    hashes = stored(partners.mapInArrow(_window_hashes, f"{_PLACE_KIND}, start long, h long"), "string-hashes")
-    where = F.xxhash64(*_PLACE, "start")
+    pairs = stored(pairs.mapInArrow(_boundary_prefixes, "upper int, lower int, right int, left int"), "bucket-boundaries")
+    up = pairs.select(F.col("lower").alias("part"), F.col("right").alias("_ru"), F.col("left").alias("_lu"))
+    down = pairs.select(F.col("upper").alias("part"), F.col("right").alias("_rd"), F.col("left").alias("_ld"))
+    outer = done.where("edge > 0").join(up, "part", "left").join(down, "part", "left")
+    new = {}
+    for side, is_end, right, left in (("up", F.col("edge") % 2 == 1, "_ru", "_lu"), ("down", F.col("edge") >= 2, "_rd", "_ld")):
+        new[f"right_{side}"] = F.when(is_end, F.coalesce(right, F.lit(0))).otherwise(F.col(f"right_{side}"))
+        new[f"left_{side}"] = F.when(is_end, F.coalesce(left, F.lit(0))).otherwise(F.col(f"left_{side}"))
+    both = done.where("edge = 0").unionByName(outer.withColumns(new).select(*done.columns))
+    return both.withColumn("right", F.greatest("right_up", "right_down")).where(F.col("right") >= CORE).drop("edge", "part")
+
+
+def repeated_starts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(k1, k2, lo, hi): runs of starts of strings that occur elsewhere; ``rows`` are those of ``_anchor_rows``."""
+    grams = rows.select("id", *_TEXT, F.explode(F.arrays_zip("hashes", "again")).alias("x")).select("id", *_TEXT, F.col("x.hashes").alias("h"), F.col("x.again").alias("again"))
+    # A gram counts if two texts have it or one has it twice; copies of a text are one text.
+    shared = grams.groupBy("h").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.max("again").alias("again")).where("again OR lo <> hi").select("h")
+    held = grams.join(stored(shared, "repeated-grams"), "h").groupBy(*_TEXT).agg(F.min("id").alias("id"), F.collect_set("h").alias("shared"))
+    held = stored(held, "texts-with-grams")
+    found = likely_among(_keyed(docs), "k1", held).join(held, ["id", *_TEXT]).select(*_TEXT, "text", "shared").dropDuplicates(_TEXT)
+    done = sorted_suffixes(stored(found.mapInArrow(_unit_rows, f"{_TEXT_KIND}, t long, a long, b long, key binary"), "suffix-units"))
+
+    # In bytes before the end of a unit: a neighbour that shares r bytes forwards and l backwards has the strings from LENGTH - r to l.
+    def shared_from(side):
+        return F.lit(LENGTH) - F.col(f"right_{side}")
+
+    sure = None
+    for side in ("up", "down"):
+        run = done.select(*_TEXT, F.greatest(F.col("a"), F.col("t") - F.col(f"left_{side}")).alias("lo"), F.least(F.col("b"), F.col("t") - shared_from(side)).alias("hi")).where("lo <= hi")
+        sure = run if sure is None else sure.unionByName(run)
+    # No string needs more than the most that is shared forwards; what the neighbours with that much have is known.
+    backwards = F.greatest(*[F.when(F.col(f"right_{side}") == F.col("right"), F.col(f"left_{side}")).otherwise(F.lit(-1)) for side in ("up", "down")])
+    near = F.greatest(F.lit(LENGTH) - F.col("right"), backwards + 1)
+    judged = done.withColumn("near", F.greatest(near, F.col("t") - F.col("b"))).withColumn("far", F.least(F.lit(UNIT - 1).cast("long"), F.col("t") - F.col("a")))
+    # Where all units of a core agree on all bytes forwards, the neighbours share the most backwards too, and nothing is open.
+    cores = judged.groupBy("core").agg((F.min("ahead") != F.max("ahead")).alias("mixed"), F.min(F.when(F.col("near") <= F.col("far"), F.col("near"))).alias("near"), F.max(F.when(F.col("near") <= F.col("far"), F.col("far"))).alias("far"))
+    cores = stored(cores.where("mixed AND near IS NOT NULL").select("core", "near", "far"), "open-cores")
+    partners = judged.where("key IS NOT NULL").drop("near", "far").join(cores, "core").groupBy(F.xxhash64("key").alias("whole")).agg(F.min(F.struct("t", *_TEXT, "key", "near", "far")).alias("u")).select("u.*")
+    hashes = stored(partners.mapInArrow(_window_hashes, f"{_TEXT_KIND}, start long, h long"), "string-hashes")
+    where = F.xxhash64(*_TEXT, "start")
     twice = stored(hashes.groupBy("h").agg(F.min(where).alias("x"), F.max(where).alias("y")).where("x <> y").select("h"), "repeated-strings")
-    looked = hashes.join(twice, "h").select(*_PLACE, F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return every.drop("hashes", "times", "own"), sure.unionByName(looked)
+    looked = hashes.join(twice, "h").select(*_TEXT, F.col("start").alias("lo"), F.col("start").alias("hi"))
+    return sure.unionByName(looked)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,15 +318,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(len(rest))
             spans.append(int((np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1).sum()))
             shas.append(hashlib.sha256(rest).digest())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PLACE), pa.array(kept, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.binary())], names=[*_PLACE, "n_kept", "n_spans", "rest"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _TEXT), pa.array(kept, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.binary())], names=[*_TEXT, "n_kept", "n_spans", "rest"])
 
 
 def deduplicated_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    every, runs = repeated_starts(docs)
-    runs = runs.groupBy(*_PLACE).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    cut = _keyed(docs).join(runs, _PLACE).select(*_PLACE, "text", "runs").mapInArrow(_cut, f"{_PLACE_KIND}, n_kept long, n_spans long, rest binary").dropDuplicates(_PLACE)
-    out = every.join(cut, _PLACE, "left")
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = stored(_keyed(docs).mapInArrow(_anchor_rows, f"doc_id {kind}, id long, {_TEXT_KIND}, n_bytes long, sha binary, hashes array<long>, again array<boolean>"), "byte-anchors")
+    runs = repeated_starts(rows, docs).groupBy(*_TEXT).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    texts = stored(rows.groupBy(*_TEXT).agg(F.count("*").alias("copies"), F.min("id").alias("id")), "distinct-texts")
+    held = stored(texts.where("copies = 1").join(runs, _TEXT).select("id", *_TEXT, "runs"), "repeated-runs")
+    cut = likely_among(_keyed(docs), "k1", held).join(held, ["id", *_TEXT]).select(*_TEXT, "text", "runs").mapInArrow(_cut, f"{_TEXT_KIND}, n_kept long, n_spans long, rest binary")
+    out = rows.drop("hashes", "again").join(stored(texts.drop("id").join(cut, _TEXT, "left"), "judged-texts"), _TEXT)
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     zero, none = F.lit(0).cast("long"), F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
