@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SPACE = "▁"
 #: Chunks that a task remembers, and rows that it works on at a time.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 ROWS = 512
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -50,33 +51,35 @@ class Codec:
             elif lib.is_control(i):
                 self.bytes_of[i] = b""
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.again: set[str] = set()
         self.differing: set[str] = set()
 
     def merged(self, chunk: str) -> list[str]:
         """The pieces of a chunk: merge the best pair on the agenda until none is left."""
-        parts = list(chunk)
-        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def propose(left: int, right: int) -> None:
-            if left >= 0 and right < len(parts):
-                pair = parts[left] + parts[right]
-                score = self.scores.get(pair)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, left, right, pair))
-
-        for i in range(len(parts) - 1):
-            propose(i, i + 1)
+        scores, parts, n = self.scores, list(chunk), len(chunk)
+        # A pair is (lost score, left place, right place, both together): the least is the next.
+        agenda = [(-scores[pair], i, i + 1, pair) for i in range(n - 1) if (pair := chunk[i : i + 2]) in scores]
+        if not agenda:
+            return parts
+        heapq.heapify(agenda)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, left, right, pair = heapq.heappop(agenda)
-            if not parts[left] or not parts[right] or parts[left] + parts[right] != pair or after[left] != right:
+            _, left, right, pair = pop(agenda)
+            if after[left] != right or not parts[left] or not parts[right] or parts[left] + parts[right] != pair:
                 continue
             parts[left], parts[right] = pair, ""
-            after[left] = after[right]
-            if after[right] < len(parts):
-                before[after[right]] = left
-            propose(before[left], left)
-            propose(left, after[left])
+            following, previous = after[right], before[left]
+            after[left] = following
+            if following < n:
+                before[following] = left
+                new = pair + parts[following]
+                if new in scores:
+                    push(agenda, (-scores[new], left, following, new))
+            if previous >= 0:
+                new = parts[previous] + pair
+                if new in scores:
+                    push(agenda, (-scores[new], previous, left, new))
         return [p for p in parts if p]
 
     def chunk_ids(self, chunk: str) -> list[int]:
@@ -106,10 +109,14 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Encode words that are new here and hold them against the library."""
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-            self.differing.clear()
-        fresh = [w for w in words if w not in self.known]
+        fresh = words.difference(self.known)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            # Words that came back since the last time stay; the many that occur once go.
+            stay = self.again if len(self.again) < REMEMBERED // 2 else set()
+            self.known = {w: self.known[w] for w in stay | (words - fresh)}
+            self.again, self.differing = set(), self.differing & self.known.keys()
+        self.again |= words - fresh
+        fresh = list(fresh)
         theirs = self.library.encode([w for w in fresh if w], num_threads=1) if fresh else []
         checked = iter(theirs)
         for w in fresh:
@@ -118,7 +125,7 @@ class Codec:
             if ids != expected:
                 self.differing.add(w)
                 ids = expected
-            self.known[w] = (np.array(ids, dtype=np.int32).tobytes(), self.raw(ids))
+            self.known[w] = (array("i", ids).tobytes(), self.raw(ids))
 
     def encode(self, text: str) -> list[int]:
         words = self.chunks(text)
