@@ -64,5 +64,27 @@ def test_suffixes_meet_across_partitions(spark, monkeypatch):
     assert {r.page_id: r.text for r in out} == {i: f"p{i}" for i in range(40)}
 
 
+def test_repeated_runs_inside_articles_go_and_copies_stay(spark, monkeypatch):
+    own = lambda i, n=24: " ".join(f"w{i}x{j}" for j in range(n))
+    notice = "Sign up for the daily letter of this house and never miss a story again"
+    page = lambda *parts: "<nav>Home</nav><article>" + "".join(f"<p>{x}</p>" for x in parts) + "</article>"
+    rows = [(i, f"http://a.example/{i}", page(own(i), notice, own(100 + i))) for i in range(6)]
+    rows += [(10, "http://a.example/short", page("Only this", notice))]
+    rows += [(20 + i, f"http://b.example/{i}", page(own(200), own(201))) for i in range(6)]  # exact copies
+    rows += [(30 + i, f"http://c.example/{i}", page(own(300), f"edit{i}", own(301))) for i in range(6)]  # near copies
+    rows += [(40 + i, f"http://d.example/{i}", page(own(400 + i), notice)) for i in range(2)]  # too few contents
+    rows += [(50 + i, f"http://e.example/{i}", f"<div>{own(500)}</div>") for i in range(3)]  # copies without markup
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (page_text.ROWS_A_PART, 5):
+        monkeypatch.setattr(page_text, "ROWS_A_PART", size)
+        got = {r.page_id: r.text for r in page_text.main_texts(frame).collect()}
+        assert len(got) == len(rows)
+        assert all(got[i] == own(i) + "\n" + own(100 + i) for i in range(6)) and got[10] == "Only this"
+        assert all(got[20 + i] == own(200) + "\n" + own(201) for i in range(6))
+        assert all(got[30 + i] == f"{own(300)}\nedit{i}\n{own(301)}" for i in range(6))
+        assert all(got[40 + i] == own(400 + i) + "\n" + notice for i in range(2))
+        assert all(got[50 + i] == own(500) for i in range(3))
+
+
 def test_no_pages(spark):
     assert page_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

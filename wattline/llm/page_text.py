@@ -1,11 +1,15 @@
 """Main text of web pages: markup first, then a suffix array over the pages of a host for what markup leaves open.
 
 Each page is cut into blocks of text. Blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments are furniture;
-blocks in an ``article`` (or else ``main``) element are the page's text and are kept as they are. The rest is open. The furniture and open
-blocks of a page, in order, are its token stream; the streams of a host's pages are searched for runs of ``RUN`` tokens that occur on
-distinct pages: suffixes are range-partitioned by host and leading tokens with sampled splitters, sorted, and compared with their
-neighbours, also across partitions. On pages without an article, open tokens covered by such runs are boilerplate; the unique runs stay.
-Equal suffixes are ordered by page, so a host or a run of any number of pages spreads over partitions.
+blocks in an ``article`` (or else ``main``) element are the page's main blocks; the rest is open. All blocks of a page are its token
+stream: the frame (furniture and open blocks) in order, then the main blocks. The streams of a host's pages are searched for runs of
+``RUN`` tokens that are in at least two distinct contents of the host (exact copies of a page count once): suffixes are range-partitioned
+by host and leading tokens with sampled splitters, sorted, and compared with their neighbours, also across partitions.
+
+Markup is a hint for how much a run must show. On pages without main blocks, open tokens in repeated runs are boilerplate. Main tokens are
+boilerplate if ``MAIN_VOTES`` distinct contents vote for their run; a page votes if at least half of its own words are in no repeated run,
+so near copies of an article, which repeat nearly all of it, do not erase each other. The rest of the main (or else open) blocks stays.
+Equal suffixes are ordered by content and page, so a host or a run of any number of pages spreads over partitions.
 
 White space is that of HTML and the no-break space. Defined cases: a null or empty page has an empty text; broken markup is read as far as
 it goes (an unclosed tag ends with its parent); repeated rows are one page; a page without host shares one with others of that kind; other
@@ -27,7 +31,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wattline.llm.common import stored
 
 RUN = 8
+#: So many distinct contents of a host, each with enough words of its own, make a run inside main blocks boilerplate.
+MAIN_VOTES = 3
 ROWS_A_PART = 200_000
+#: Pages that a task holds as Python objects at a time.
+PAGES_AT_ONCE = 200
+#: A decided run meets the pages that have it in so many groups.
+SALTS = 16
 
 # Element names of HTML and the words by which pages name their furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -155,93 +165,147 @@ def host_of(url: str | None) -> str:
         return ""
 
 
+def _digest(texts: list[str]) -> int:
+    return int.from_bytes(xxhash.xxh3_64_digest("\n".join(texts).encode()), "big", signed=True)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, streams, opened, hosts = [], [], [], []
+    for batch in _slices(batches):
+        out: dict[str, list] = {c: [] for c in ("host", "stream", "own", "frame", "content", "main", "words")}
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             found = blocks(page or "")
-            hosts.append(xxhash.xxh3_64_digest(host_of(url).encode()))
-            for zone in (KEPT, MAIN):
-                main = [t for z, t in found if z == zone]
-                if main:
-                    break
-            texts.append("\n".join(main) if main else None)
-            frame = [(z, t) for z, t in found if z in (OPEN, DROPPED)]
-            streams.append([t for _, t in frame])
-            opened.append([z == OPEN for z, _ in frame])
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("page_id", "url", "page")), pa.array(hosts, pa.binary()), pa.array(texts, pa.string()), pa.array(streams, pa.list_(pa.string())), pa.array(opened, pa.list_(pa.bool_()))],
-            names=["page_id", "url", "page", "host", "text", "stream", "opened"],
-        )
+            zones = {z for z, _ in found}
+            emitted = KEPT if KEPT in zones else MAIN if MAIN in zones else OPEN
+            frame, main = [x for x in found if x[0] in (OPEN, DROPPED)], [x for x in found if x[0] in (KEPT, MAIN)]
+            out["host"].append(xxhash.xxh3_64_digest(host_of(url).encode()))
+            out["stream"].append([t for _, t in frame + main])
+            out["own"].append([z == emitted for z, _ in frame + main])
+            out["frame"].append(len(frame))
+            out["content"].append(_digest([t for _, t in found]))
+            out["main"].append(_digest([t for _, t in main]))
+            out["words"].append(sum(t.count(" ") + 1 for _, t in found))
+        kinds = [pa.binary(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "page")), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=["page_id", "url", "page", *out])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes of each page's stream: host and RUN token hashes as bytes, each once a page with its places."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages, keys, places = [], [], []
-        for page, host, stream in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "stream"))):
-            tokens = b"".join([xxhash.xxh3_64_digest(w) for t in stream for w in t.encode().split()])
-            found: dict[bytes, list[int]] = {}
-            for i in range(0, len(tokens) // 8 - RUN + 1):
-                found.setdefault(tokens[8 * i : 8 * (i + RUN)], []).append(i)
-            for key, at in found.items():
-                pages.append(page)
-                keys.append(host + key)
-                places.append(at)
-        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32()))], names=["page", "key", "places"])
+        yield from (batch.slice(i, PAGES_AT_ONCE) for i in range(0, batch.num_rows, PAGES_AT_ONCE))
+
+
+def _window_keys(host: int, tokens: np.ndarray) -> np.ndarray:
+    """128-bit hashes, as two columns, of the host and each RUN tokens in a row."""
+    n = max(0, len(tokens) - RUN + 1)
+    out = np.empty((n, 2), np.uint64)
+    for column, (seed, factor) in enumerate(((0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD), (0xC2B2AE3D27D4EB4F, 0xC4CEB9FE1A85EC53))):
+        h = np.full(n, host ^ seed, np.uint64)
+        for k in range(RUN):
+            h = (h ^ tokens[k : k + n]) * np.uint64(factor)
+            h ^= h >> np.uint64(29)
+        out[:, column] = h
+    return out
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of each page's stream by hashes of host and RUN tokens, with content and place; none goes from the frame into the main blocks."""
+    for batch in _slices(batches):
+        known: dict[str, int] = {}
+        keys, contents, pages, places = [], [], [], []
+        for page, host, stream, frame, content, main in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "stream", "frame", "content", "main"))):
+            base, found = 0, []
+            for part in (stream[:frame], stream[frame:]):
+                words = [w for t in part for w in t.split()]
+                for w in set(words).difference(known):
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+                found.append((base, _window_keys(int.from_bytes(host, "big"), np.array([known[w] for w in words], np.uint64))))
+                base += len(words)
+            # A run in the frame and in the main blocks of a page is in one content.
+            own = (np.isin(found[0][1][:, 0], found[1][1][:, 0]), np.ones(len(found[1][1]), bool))
+            for (start, key), in_main in zip(found, own):
+                keys.append(key)
+                contents.append(np.where(in_main, np.int64(main), np.int64(content)))
+                pages.append(np.full(len(key), page, np.int64))
+                places.append(np.arange(start, start + len(key), dtype=np.int32))
+        if keys:
+            both = np.concatenate(keys).view(np.int64)
+            columns = [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), *(np.concatenate(x) for x in (contents, pages, places))]
+            yield from pa.table(dict(zip(("k1", "k2", "content", "page", "place"), columns))).to_batches(max_chunksize=65536)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted partition that equal a neighbour; its first and last key are handed on in any case."""
+    """Rows of a sorted partition whose key is in several contents, with their number; those of its first and last key in any case."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
     table = pa.Table.from_batches(got) if (got := list(batches)) else None
     if table is None or not table.num_rows:
         return
-    keys = table["key"].to_pylist()
-    n = len(keys)
-    same = np.array([a == b for a, b in zip(keys, keys[1:])], bool)
-    twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    k1, k2, content = (table[c].to_numpy() for c in ("k1", "k2", "content"))
+    new_key = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+    new_content = new_key | np.concatenate([[True], content[1:] != content[:-1]])
+    group = np.cumsum(new_key) - 1
+    contents = np.bincount(group, weights=new_content).astype(np.int64)[group]
     # Rows with the first or last key of the partition may go on in the next one.
-    first, last = np.array([k == keys[0] for k in keys]), np.array([k == keys[-1] for k in keys])
-    edge = np.where(first, 1, 0) + np.where(last, 2, 0)
-    keep = np.flatnonzero(twice | (edge > 0))
-    out = table.take(pa.array(keep)).append_column("twice", pa.array(twice[keep])).append_column("edge", pa.array(edge[keep], pa.int32())).append_column("part", pa.repeat(pa.scalar(part, pa.int32()), len(keep)))
+    edge = (group == 0) | (group == group[-1])
+    keep = np.flatnonzero((contents > 1) | edge)
+    out = table.take(pa.array(keep)).append_column("contents", pa.array(contents[keep])).append_column("edge", pa.array(edge[keep])).append_column("part", pa.repeat(pa.scalar(part, pa.int32()), len(keep)))
     yield from out.combine_chunks().to_batches(max_chunksize=16384)
 
 
-def repeated_places(parsed: DataFrame) -> DataFrame:
-    """(page, starts) of the runs of a page's stream that other pages of its host have too."""
-    rows = stored(parsed.dropDuplicates(["page"]).select("page", "host", "stream").mapInArrow(_suffixes, "page long, key binary, places array<int>"), "host-suffixes")
-    parts = rows.count() // ROWS_A_PART + 1
-    ranged = rows.repartitionByRange(parts, "key", "page").sortWithinPartitions("key", "page")
-    done = stored(ranged.mapInArrow(_neighbours, "page long, key binary, places array<int>, twice boolean, edge int, part int"), "sorted-host-suffixes")
-    ends = done.where("edge > 0").groupBy("part").agg(F.max(F.when(F.col("edge") % 2 == 1, F.col("key"))).alias("first"), F.max(F.when(F.col("edge") >= 2, F.col("key"))).alias("last"))
-    by_part = Window.orderBy("part")  # two keys for each partition
-    ends = ends.select("part", (F.col("first") == F.lag("last").over(by_part)).alias("_up"), (F.col("last") == F.lead("first").over(by_part)).alias("_down"))
-    sure = done.where("twice").select("page", "places")
-    edges = done.where("NOT twice").join(ends, "part").where(((F.col("edge") % 2 == 1) & F.col("_up")) | ((F.col("edge") >= 2) & F.col("_down"))).select("page", "places")
-    return sure.unionByName(edges).groupBy("page").agg(F.flatten(F.collect_list("places")).alias("starts"))
+def repeated_runs(parsed: DataFrame) -> DataFrame:
+    """(k1, k2, content, page, place) of the runs of a page's stream that another content of its host has too."""
+    kinds = "k1 long, k2 long, content long, page long, place int"
+    words = parsed.agg(F.sum("words")).first()[0] or 0
+    rows = parsed.select("page", "host", "stream", "frame", "content", "main").mapInArrow(_suffixes, kinds)
+    ranged = rows.repartitionByRange(words // ROWS_A_PART + 1, "k1", "k2", "content", "page").sortWithinPartitions("k1", "k2", "content")
+    done = stored(ranged.mapInArrow(_neighbours, f"{kinds}, contents long, edge boolean, part int"), "sorted-host-suffixes")
+    # Two keys for each partition; a content that goes on from one partition to the next counts once.
+    ends = done.where("edge").groupBy("k1", "k2", "part").agg(F.max("contents").alias("n"), F.min("content").alias("first"), F.max("content").alias("last"))
+    by_key = Window.partitionBy("k1", "k2")
+    again = F.coalesce((F.col("first") == F.lag("last").over(by_key.orderBy("part"))).cast("long"), F.lit(0))
+    ends = ends.withColumn("n", F.col("n") - again).withColumn("n", F.sum("n").over(by_key)).where("n > 1").select("k1", "k2", "part")
+    out = ["k1", "k2", "content", "page", "place"]
+    return done.where("NOT edge").select(*out).unionByName(done.where("edge").join(F.broadcast(ends), ["k1", "k2", "part"]).select(*out))
+
+
+def _starts(runs: DataFrame, name: str) -> DataFrame:
+    return runs.groupBy("page").agg(F.collect_set("place").alias(name))
+
+
+def _free(words: list[list[str]], starts: list[int] | None) -> np.ndarray:
+    """Which tokens of a stream are in none of the runs."""
+    edge = np.zeros(sum(map(len, words)) + 1, np.int64)
+    at = np.array(starts or [], np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + RUN, -1)
+    return np.cumsum(edge)[:-1] == 0
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages of which at least half of the own words are in no repeated run."""
+    for batch in _slices(batches):
+        pages = []
+        for page, stream, own, starts in zip(*(batch.column(c).to_pylist() for c in ("page", "stream", "own", "twice"))):
+            words = [t.split() for t in stream]
+            mine = np.repeat(np.array(own, bool), [len(w) for w in words])
+            if mine.any() and 2 * _free(words, starts)[mine].sum() >= mine.sum():
+                pages.append(page)
+        yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64())], names=["page"])
 
 
 def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         texts = []
-        for stream, opened, starts in zip(*(batch.column(c).to_pylist() for c in ("stream", "opened", "starts"))):
+        for stream, owned, frame, twice, voted in zip(*(batch.column(c).to_pylist() for c in ("stream", "own", "frame", "twice", "voted"))):
             words = [t.split() for t in stream]
-            edge = np.zeros(sum(map(len, words)) + 1, np.int64)
-            at = np.array(starts or [], np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + RUN, -1)
-            free, kept, base = np.cumsum(edge) == 0, [], 0
-            for block, is_open in zip(words, opened):
+            free, kept, base = _free(words, voted if any(owned[frame:]) else twice), [], 0
+            for block, is_own in zip(words, owned):
                 own = free[base : base + len(block)]
                 base += len(block)
                 # A run that only reaches into a block from its neighbours says nothing about it: long stretches and whole blocks count.
                 cuts = np.flatnonzero(np.diff(own.astype(np.int8), prepend=2, append=2))
                 rest = [w for lo, hi in zip(cuts, cuts[1:]) if own[lo] or hi - lo < min(RUN, len(block)) for w in block[lo:hi]]
-                if is_open and rest:
+                if is_own and rest:
                     kept.append(" ".join(rest))
             texts.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url")), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
@@ -252,9 +316,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
     kinds = dict(pages.dtypes)
     ids = f"page_id {kinds['page_id']}, url {kinds['url']}"
     rows = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html", F.length("html")).alias("page"), "html")
-    parsed = stored(rows.mapInArrow(_parsed, f"{ids}, page long, host binary, text string, stream array<string>, opened array<boolean>"), "parsed-pages")
-    starts = repeated_places(parsed)
-    bare = parsed.where("text IS NULL").join(starts, "page", "left")
-    found = bare.select("page_id", "url", "stream", "opened", "starts").mapInArrow(_unique_runs, f"{ids}, text string")
-    out = parsed.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(found)
+    parsed = stored(rows.mapInArrow(_parsed, f"{ids}, page long, host binary, stream array<string>, own array<boolean>, frame int, content long, main long, words long"), "parsed-pages")
+    runs = stored(repeated_runs(parsed), "repeated-runs")
+    twice = stored(_starts(runs, "twice"), "repeated-places")
+    # Pages without repeats vote for nothing, so only the others are looked at.
+    votes = stored(parsed.select("page", "stream", "own").join(twice, "page").mapInArrow(_votes, "page long").distinct(), "voting-pages")
+    sure = runs.join(votes, "page").groupBy("k1", "k2", "content").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("one").alias("n")).where(F.col("n") >= MAIN_VOTES)
+    sure = stored(sure.select("k1", "k2"), "voted-runs").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    voted = _starts(runs.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(sure, ["k1", "k2", "salt"]), "voted")
+    found = parsed.select("page_id", "url", "page", "stream", "own", "frame").join(twice, "page", "left").join(voted, "page", "left")
+    out = found.select("page_id", "url", "stream", "own", "frame", "twice", "voted").mapInArrow(_unique_runs, f"{ids}, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
