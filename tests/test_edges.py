@@ -481,3 +481,24 @@ def test_split_is_stable(spark):
     b = {r["k"]: r["p"] for r in ids.repartition(13).select("k", learning.split_label("k").alias("p")).collect()}
     share = sum(v == "train" for v in a.values()) / len(a)
     assert a == b and 0.76 < share < 0.84
+
+
+def test_backfill_over_the_readings_fails_on_overload(spark):
+    from wattline.plans.model_queries import chunked_backfill_span
+    from wattline.sources.derived import GridTables
+
+    class Few(GridTables):
+        rated = 1e9
+
+        @property
+        def readings(self):
+            return super().readings.where("reading_ts >= '2024-01-08' AND reading_ts < '2024-01-10'")
+
+        @property
+        def transformers(self):
+            return super().transformers.withColumn("rated_kva", F.lit(self.rated))
+
+    g = Few(spark, "/root/testdata/sf0.001")
+    assert [(r.day, r.passed) for r in chunked_backfill_span(g).collect()] == [("2024-01-08", True), ("2024-01-09", True)]
+    g.rated = 0.001
+    assert [(r.day, r.passed) for r in chunked_backfill_span(g).collect()] == [("2024-01-08", False)]

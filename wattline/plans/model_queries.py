@@ -51,10 +51,13 @@ def _case(table: dict) -> str:
     return "(CASE class_bucket " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " END)::double"
 
 
-def _load_sql(agg: str) -> str:
+_NINE_DAYS = "SELECT unnest(generate_series(timestamp '2024-01-07 00:00:00', timestamp '2024-01-15 23:45:00', INTERVAL 15 MINUTE)) AS slot_ts"
+
+
+def _load_sql(agg: str, slots: str = _NINE_DAYS) -> str:
     t = "(coalesce(w.temperature_f,85.0)+microclimate_offset_f)"
     return f"""
-WITH {PERSONA}, sp AS (SELECT unnest(generate_series(timestamp '2024-01-07 00:00:00', timestamp '2024-01-15 23:45:00', INTERVAL 15 MINUTE)) AS slot_ts),
+WITH {PERSONA}, sp AS ({slots}),
 cv AS ({_curve_sql()}), os AS (SELECT DISTINCT transformer_id, sp.slot_ts FROM outages JOIN sp ON sp.slot_ts BETWEEN start_ts AND end_ts),
 x AS (SELECT pe.*, sp.slot_ts, os.slot_ts IS NOT NULL AS out, cv.m * (1.0::double + {_case(S.COOLING)}*greatest(0.0::double,{t}-72) + {_case(S.HEATING)}*greatest(0.0::double,60-{t}) + {_case(S.HUMIDITY)}*(coalesce(w.humidity_pct,70)-50))
  * CASE dayofweek(sp.slot_ts) WHEN 0 THEN {_case(S.SUNDAY)} WHEN 6 THEN {_case(S.SATURDAY)} ELSE 1.0::double END
@@ -149,6 +152,41 @@ def chunked_backfill(g):
     return backfill(g.spark, ["2024-01-03", "2024-01-04"], build, gate, scratch_path(g.spark, "backfill")).select("day", "row_count", F.col("status").isin("PASS", "WARN").alias("passed"))
 
 
+_ALL_DAYS = """SELECT unnest(generate_series(lo, hi + INTERVAL 1425 MINUTE, INTERVAL 15 MINUTE)) AS slot_ts
+ FROM (SELECT date_trunc('day', min(reading_ts))::timestamp AS lo, date_trunc('day', max(reading_ts))::timestamp AS hi FROM readings)"""
+
+
+@register("chunked_backfill_span", _load_sql("""
+, hm AS (SELECT meter_id, date_trunc('hour', reading_ts) AS h, sum(usage_kwh*4.0::double) AS kw FROM lm GROUP BY 1,2),
+ht AS (SELECT transformer_id, h, sum(kw) AS kw FROM hm JOIN meters USING (meter_id) GROUP BY 1,2),
+br AS (SELECT cast(h AS date) AS d, count(*) AS n FROM ht JOIN transformers USING (transformer_id) WHERE kw > rated_kva*0.9::double GROUP BY 1),
+ch AS (SELECT cast(reading_ts AS date) AS d, count(*) AS row_count, count_if(m.transformer_id IS NULL) AS orphans,
+ count_if(extract(minute from reading_ts) NOT IN (0,15,30,45) OR extract(second from reading_ts)<>0) AS off_grid FROM lm LEFT JOIN meters m USING (meter_id) GROUP BY 1),
+v AS (SELECT d, row_count, orphans=0 AND coalesce(n,0)=0 AND off_grid=0 AND round(row_count*100.0::double/(96*(SELECT count(*) FROM meters)),2) BETWEEN 95 AND 105 AS passed FROM ch LEFT JOIN br USING (d))
+SELECT strftime(d,'%Y-%m-%d') AS day, row_count, passed FROM v WHERE d <= coalesce((SELECT min(d) FROM v WHERE NOT passed), (SELECT max(d) FROM v))""", _ALL_DAYS))
+def chunked_backfill_span(g):
+    """All days of the readings, held against the real transformers; the run ends with the first day that fails."""
+    from datetime import timedelta
+
+    from wattline.plans.backfill import backfill
+    from wattline.session import scratch_path
+
+    first, last = g.readings.agg(F.to_date(F.min("reading_ts")), F.to_date(F.max("reading_ts"))).first()
+    days = [str(first + timedelta(i)) for i in range((last - first).days + 1)] if first else []
+    people = S.personas(classed(g))
+    slots = O.outage_slots(g.outages)
+    n = g.meters.count()
+
+    def build(day):
+        spine = time_spine(g.spark, f"{day} 00:00:00", f"{day} 23:45:00")
+        return S.expected_load(people, spine, g.weather, slots, [HOLIDAY], STORM, kwh_digits=10)
+
+    def gate(rows, day):
+        return Q.validate_chunk(rows, g.meters, g.transformers, f"{day} 00:00:00", f"{day} 23:45:00", n * 96)
+
+    return backfill(g.spark, days, build, gate, scratch_path(g.spark, "backfill")).select("day", "row_count", F.col("status").isin("PASS", "WARN").alias("passed"))
+
+
 # ---------------------------------------------------------------- quality
 
 def r4(df, *cols):
