@@ -264,3 +264,17 @@ def test_empty_tables(no_docs, spark):
         piece_codec.digests(no_docs, public_tokenizers.path("piece_bpe_32k.model")),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_chance_law_counts_tokens_as_they_are_used(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = {i: " ".join(rng.choice([f"w{j}" for j in range(50)], 40 if i % 2 else 900)) + (" vile nasty" if i % 3 == 0 or i % 20 == 1 else "") for i in range(600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in texts], "doc_id long, quality int, toxic int")
+    own = toxicity.fitted(docs, labels)
+    ids = toxicity.training_ids(labels.select("doc_id", "toxic"), "toxic", toxicity.TRAINING_ROWS).where("y = 0").collect()
+    tokens = [t for r in ids for t in toxicity.tokens_of(texts[r.doc_id].encode())]
+    assert {b"vile", b"nasty"} <= set(own.scores) and 0 < own.lam < 19
+    assert abs(np.mean([np.exp(own.lam * own.scores.get(t, toxicity.DRIFT)) for t in tokens]) - 1) < 1e-6

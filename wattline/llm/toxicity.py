@@ -5,8 +5,8 @@ all labelled documents); those that differ clearly, by their z value, keep their
 one. One linear scan per text finds all maximal-scoring segments. Under chance, a best segment's score has an extreme-value law: with
 ``lam`` solving E[exp(lam * score)] = 1 over tokens of other documents, a segment of score S in n tokens has the expected count
 n * exp(-lam * S). Segments whose expected count is below ``EXPECTED`` are toxic passages. A logistic fit over the best segment and the
-sum of all significant ones gives a probability. It is fitted on at most ``TRAINING_ROWS`` labelled documents, and at most ``TOKENS``
-token scores are kept, those with the largest z; every document is scored.
+sum of all significant ones gives a probability. It is fitted on at most ``TRAINING_ROWS`` labelled documents, which with the least z bounds the
+token scores too; every document is scored. Chance is that of the tokens as often as they are used in those documents.
 
 Defined cases: a null or empty text has no segments and the score of such texts; equal texts have equal scores; with no labels of a class
 all scores are 0; other columns are ignored.
@@ -14,6 +14,7 @@ all scores are 0; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,6 @@ from pyspark.sql import DataFrame, functions as F
 from wattline.llm.labelled import held_out, logistic_fit, sigmoid, training_ids
 
 TRAINING_ROWS = 40_000
-TOKENS = 20_000
 #: Documents that the prior weighs as many as, as a share of the labelled ones; least log-odds and z of a token that gets a score of its own.
 PRIOR = 0.25
 LEAST_ODDS = 1.2
@@ -95,14 +95,18 @@ class Detector:
 
 
 def _distinct_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, documents with it that are toxic, that are not) of a batch."""
+    """(token, documents with it that are toxic, that are not, uses in the latter) of a batch; the null token has all uses."""
     for batch in batches:
-        counts: dict[bytes, list[int]] = {}
+        counts: dict[bytes | None, list[int]] = {None: [0, 0, 0]}
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-            for t in set(tokens_of(text or b"")):
-                counts.setdefault(t, [0, 0])[1 - y] += 1
-        a = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.binary()), pa.array(a[:, 0]), pa.array(a[:, 1])], names=["token", "toxic", "other"])
+            for t, n in Counter(tokens_of(text or b"")).items():
+                found = counts.setdefault(t, [0, 0, 0])
+                found[1 - y] += 1
+                if not y:
+                    found[2] += n
+                    counts[None][2] += n
+        a = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.binary()), *(pa.array(a[:, i]) for i in range(3))], names=["token", "toxic", "other", "uses"])
 
 
 def _rate(mean_exp, top: float = 20.0) -> float:
@@ -121,18 +125,19 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = TRAINING_ROWS) -> De
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
         return Detector({}, 1.0)
-    counts = sample.mapInArrow(_distinct_tokens, "token binary, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    counts = sample.mapInArrow(_distinct_tokens, "token binary, toxic long, other long, uses long").groupBy("token").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"), F.sum("uses").alias("uses"))
     # Document counts: a token is present or not, so the odds are those of a document of the class having it.
     share = (F.col("a") + F.col("b")) / float(pos + neg)
     prior = PRIOR * (pos + neg)
     a, b = F.col("a") + prior * share, F.col("b") + prior * share
     odds = F.log(a / F.greatest(F.lit(pos + prior) - a, F.lit(0.5))) - F.log(b / F.greatest(F.lit(neg + prior) - b, F.lit(0.5)))
     z = odds / F.sqrt(1 / a + 1 / b)
-    rows = counts.select("token", "b", odds.alias("odds"), z.alias("z")).where((F.abs("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS)).orderBy(F.abs("z").desc(), "token").limit(TOKENS).collect()
-    scores = {bytes(r.token): float(r.odds) for r in rows}
-    background = np.array([[r.b / neg, r.odds] for r in rows]).reshape(-1, 2)
-    length = 200.0  # tokens over which a document's distinct tokens are spread, for the chance law
-    p, s = background[:, 0] / length, background[:, 1]
+    clear = (F.abs("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS)
+    found = counts.select("token", "uses", odds.alias("odds"), z.alias("z")).where(F.col("token").isNull() | clear).select("token", "uses", "odds").collect()
+    uses = max(1, sum(r.uses for r in found if r.token is None))
+    rows = sorted((bytes(r.token), float(r.odds), r.uses) for r in found if r.token is not None)
+    scores = {t: odds for t, odds, _ in rows}
+    p, s = np.array([n / uses for *_, n in rows]), np.array([odds for _, odds, _ in rows])
     rest = max(0.0, 1.0 - p.sum())
     lam = _rate(lambda x: float((p * np.exp(np.minimum(x * s, 500.0))).sum() + rest * np.exp(x * DRIFT)))
     own = Detector(scores, lam)
