@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattline.llm import mixing as mix, quality_rules as rules
+from wattline.llm import filter_audit as audit, mixing as mix, quality_rules as rules, vector_codes as codes
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -71,3 +71,52 @@ placed AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.s, row_number() O
 got AS (SELECT r, sum(greatest(0, least(start + size, block * {mix.BLOCK} + taken) - greatest(start, block * {mix.BLOCK})))::BIGINT AS taken
         FROM placed JOIN mix ON placed.s = mix.s AND block BETWEEN start // {mix.BLOCK} AND (start + size - 1) // {mix.BLOCK} GROUP BY r)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN got USING (r)"""
+
+
+def filter_audit() -> str:
+    letters = ", ".join(f"({i}, '{f}')" for i, f in enumerate(audit.FILTERS))
+    apart = " AND ".join(f"f{i}.i <> f{j}.i" for i in range(5) for j in range(i))
+    places = " UNION ALL ".join(
+        f"SELECT {' || '.join(f'f{i}.f' for i in range(5))} AS filter_order, {s + 1} AS step, 1 << f{s}.i AS bit, {' + '.join(['0'] + [f'(1 << f{i}.i)' for i in range(s)])} AS before "
+        f"FROM l f0, l f1, l f2, l f3, l f4 WHERE {apart}"
+        for s in range(5)
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, good, toxic, CASE WHEN len(w) < {audit.MIN_WORDS} THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < {audit.MIN_DISTINCT} * len(w) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {audit.MAX_CAPITALS} * length(t) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(t, '{audit.SYMBOLS}') THEN 8 ELSE 0 END + CASE WHEN doc_id > first_id THEN 16 ELSE 0 END AS mask
+      FROM w LEFT JOIN marks USING (doc_id)),
+l AS (SELECT * FROM (VALUES {letters}) AS v(i, f)),
+steps AS ({places})
+SELECT part, filter_order, step, count(*) FILTER (mask & (bit | before) = 0)::BIGINT AS kept, count(*) FILTER (mask & bit <> 0 AND mask & before = 0)::BIGINT AS removed,
+       count(*) FILTER (mask & bit <> 0 AND mask & before <> 0)::BIGINT AS redundant, count(*) FILTER (mask = bit)::BIGINT AS unique_fails,
+       coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost,
+       sum(CASE WHEN mask & bit <> 0 THEN 120 // bit_count(mask) ELSE 0 END)::BIGINT AS shapley
+FROM m, steps GROUP BY part, filter_order, step"""
+
+
+def vector_codes() -> str:
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (SELECT r, p, min(e) AS e, min(d) AS d FROM (
+    SELECT *, min(d) OVER (PARTITION BY r, p) AS least FROM (SELECT r, v.p, e, sum((v.x - b.x) * (v.x - b.x))::BIGINT AS d FROM v JOIN b{i} b ON v.p = b.p AND v.j = b.j GROUP BY r, v.p, e)) WHERE d = least GROUP BY r, p)"""
+
+    def moved(i: int) -> str:
+        return f"""b{i} AS MATERIALIZED (SELECT b.p, b.e, b.j, coalesce(floor(sum(x2)::DOUBLE / count(x2))::BIGINT, any_value(b.x)) AS x FROM b{i - 1} b
+    LEFT JOIN (SELECT a.p, a.e, v.j, v.x AS x2 FROM a{i - 1} a JOIN v ON a.r = v.r AND a.p = v.p) s ON b.p = s.p AND b.e = s.e AND b.j = s.j GROUP BY b.p, b.e, b.j)"""
+
+    rounds = ",\n".join(f"{assigned(i)},\n{moved(i + 1)}" for i in range(codes.ROUNDS))
+    return f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+wide AS (SELECT (max(len(embedding)) + {codes.PARTS - 1}) // {codes.PARTS} AS w FROM k),
+v AS MATERIALIZED (SELECT r, n // w AS p, n % w AS j, floor({codes.SCALE} * coalesce(embedding[n + 1], 0)::DOUBLE)::BIGINT AS x
+                   FROM (SELECT r, embedding, w, unnest(range(w * {codes.PARTS})) AS n FROM k, wide)),
+b0 AS MATERIALIZED (SELECT p, e, j, x FROM v JOIN (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS e FROM k) USING (r) WHERE e < {codes.ENTRIES}),
+{rounds},
+{assigned(codes.ROUNDS)},
+c AS (SELECT r, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{codes.ROUNDS} GROUP BY r),
+s AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b{codes.ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), s"""

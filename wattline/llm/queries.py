@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wattline.llm import checks, mixing, near_dedup, onebit_search, page_text, piece_codec, quality_classifier, quality_rules, suffix_dedup, toxicity, window_dedup
+from wattline.llm import (
+    checks, filter_audit, mixing, near_dedup, onebit_search, page_text, piece_codec, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, vector_codes,
+    window_dedup,
+)
 from wattline.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +79,20 @@ def op6_onebit_codes(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_host_suffix_text")
 def op10_host_suffix_text(spark: SparkSession, folder: str) -> DataFrame:
     return page_text.main_texts(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+@query("op11_digest_cache_counts")
+def op11_digest_cache_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_filter_interactions", checks.filter_audit())
+def op12_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op13_dictionary_codes", checks.vector_codes())
+def op13_dictionary_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compressed(spark.read.parquet(f"{folder}/embeddings.parquet"))
