@@ -31,7 +31,9 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def degree_box(lat: float, lon: float, radius_km: float) -> tuple[float, float, float, float]:
     """Latitude and longitude limits that contain every point within the radius."""
     d_lat = radius_km / KM_PER_DEGREE * 1.001
-    nearest_pole = min(89.9, abs(lat) + d_lat)
+    if abs(lat) + d_lat >= 89.9:  # a pole is near or inside: all longitudes
+        return lat - d_lat, lat + d_lat, -180.0, 180.0
+    nearest_pole = abs(lat) + d_lat
     d_lon = d_lat / math.cos(math.radians(nearest_pole))
     return lat - d_lat, lat + d_lat, lon - d_lon, lon + d_lon
 

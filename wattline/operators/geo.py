@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from wattline.functions import geometry as G
 from wattline.operators.anchors import topk
+from wattline.operators.pyramid import nearest
 
 # A square with more right-hand rows than this is split.
 CROWDED = 10_000
-# A first square of the nearest search holds at most about this many targets.
-FEW_TARGETS = 200
 
 
 def in_envelope(df: DataFrame, lat0: float, lat1: float, lon0: float, lon1: float) -> DataFrame:
-    """Four plain comparisons, which a Parquet scan can use."""
-    return df.where(F.col("lat").between(lat0, lat1) & F.col("lon").between(lon0, lon1))
+    """Plain comparisons, which a Parquet scan can use; an envelope that passes longitude 180 goes on at the other end."""
+    lon = F.col("lon")
+    inside = lon.between(lon0, lon1)
+    if lon0 < -180:
+        inside = inside | (lon >= lon0 + 360)
+    if lon1 > 180:
+        inside = inside | (lon <= lon1 - 360)
+    return df.where(F.col("lat").between(lat0, lat1) & inside)
 
 
 def find_nearby(df: DataFrame, lat: float, lon: float, radius_km: float) -> DataFrame:
@@ -27,22 +32,24 @@ def find_nearby(df: DataFrame, lat: float, lon: float, radius_km: float) -> Data
     return box.withColumn("distance_km", d).where(F.col("distance_km") <= radius_km).orderBy("distance_km")
 
 
-def _steps(size_km: float, max_lat: float) -> tuple[float, float]:
-    """Cell height and width in degrees so that a side is at least ``size_km`` anywhere below ``max_lat``."""
+def _steps(size_km: float, max_lat: float) -> tuple[float, int]:
+    """Height of a square in degrees, and the number of squares round the globe, so that a side is at least ``size_km`` anywhere below ``max_lat``."""
     lat_step = size_km * 1.001 / G.KM_PER_DEGREE
-    return lat_step, lat_step / math.cos(math.radians(min(max_lat, 89.0)))
+    return lat_step, max(1, math.floor(360.0 * math.cos(math.radians(min(max_lat, 90.0))) / lat_step))
 
 
 def _square(lat, lon, size_km: float, max_lat: float):
-    a, o = _steps(size_km, max_lat)
-    return F.floor(lat / F.lit(a)).cast("bigint"), F.floor(lon / F.lit(o)).cast("bigint")
+    a, columns = _steps(size_km, max_lat)
+    return F.floor(lat / F.lit(a)).cast("bigint"), F.pmod(F.floor((lon + F.lit(180.0)) * F.lit(columns / 360.0)), F.lit(columns)).cast("bigint")
 
 
 def _nine(df: DataFrame, size_km: float, max_lat: float) -> DataFrame:
-    """The 3 x 3 squares round each row."""
+    """The 3 x 3 squares round each row; the first and the last square of a row are neighbours."""
     i, j = _square(F.col("lat"), F.col("lon"), size_km, max_lat)
-    near = F.array(*[F.struct(F.lit(x).alias("di"), F.lit(y).alias("dj")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    return df.withColumn("_n", F.explode(near)).withColumns({"_i": i + F.col("_n.di"), "_j": j + F.col("_n.dj")}).drop("_n")
+    columns = F.lit(_steps(size_km, max_lat)[1])
+    beside = F.array_distinct(F.array(*[F.pmod(j + y, columns) for y in (-1, 0, 1)]))
+    up = df.withColumn("_i", F.explode(F.array(i - 1, i, i + 1)))
+    return up.withColumn("_j", F.explode(beside))
 
 
 def max_abs_lat(*dfs: DataFrame) -> float:
@@ -68,54 +75,6 @@ def within_radius(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     return pairs.where(F.col("distance_km") <= radius_km).select(left_key, right_key, "distance_km")
 
 
-def _first_size(spots: DataFrame, top: float, size: float, largest: float, floor_km: float = 1e-4) -> float:
-    """Largest square side, in steps of four, at which no square holds many targets; measured, not guessed."""
-
-    def fits(side: float) -> bool:
-        i, j = _square(F.col("lat"), F.col("lon"), side, top)
-        fullest = spots.groupBy(i.alias("i"), j.alias("j")).count().agg(F.max("count")).first()[0] or 0
-        return fullest <= FEW_TARGETS
-
-    if fits(size):
-        while size * 4 <= largest and fits(size * 4):
-            size *= 4
-        return size
-    while size > floor_km and not fits(size):
-        size /= 4
-    return size
-
-
-def nearest(points: DataFrame, targets: DataFrame, key: str, target_key: str, start_km: float = 0.05, max_km: float = 21000.0, growth: float = 4.0) -> DataFrame:
-    """Nearest target of every point, exactly, without listing distant pairs.
-
-    Squares start small and grow.  A match found at distance d is final when d is at most the square side, because
-    everything that close lies in the 3 x 3 squares; the other points go on with larger squares.  Targets on one spot
-    are folded to their smallest key first.
-    """
-    from wattline.session import cut
-
-    spots = cut(targets.groupBy("lat", "lon").agg(F.min(target_key).alias(target_key)))
-    left = cut(points.select(key, "lat", "lon"))
-    top = max_abs_lat(left, spots)
-    done, size = None, _first_size(spots, top, start_km, max_km)
-    while True:
-        last = size >= max_km
-        i, j = _square(F.col("lat"), F.col("lon"), size, top)
-        t = spots.select(target_key, F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), i.alias("_i"), j.alias("_j"))
-        d = G.haversine(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
-        near = _nine(left, size, top).join(t, ["_i", "_j"]).select(key, "lat", "lon", F.struct(d.alias("distance_km"), F.col(target_key), F.col("t_lat"), F.col("t_lon")).alias("m"))
-        best = near.groupBy(key, "lat", "lon").agg(F.min("m").alias("m"))
-        found = best.where(F.col("m.distance_km") <= F.least(F.lit(size), F.lit(max_km)))
-        if last:
-            found = best.where(F.col("m.distance_km") <= max_km)
-        found = cut(found.select(key, "lat", "lon", "m.*"))
-        done = found if done is None else done.unionByName(found)
-        left = cut(left.join(found.select(key), key, "left_anti"))
-        if last or left.isEmpty():
-            return done
-        size = min(size * growth, max_km)
-
-
 def nearest_match(points: DataFrame, targets: DataFrame, key: str, target_key: str, exact_m: float = 10.0, max_m: float = 500.0) -> DataFrame:
     """Nearest target within ``max_m`` and a snapped position; points without one keep their own (INTERPOLATED)."""
     hits = nearest(points, targets, key, target_key, max_km=max_m / 1000.0)
@@ -176,9 +135,8 @@ def cell_pair_counts(a: DataFrame, b: DataFrame, res: int) -> DataFrame:
 
 
 def k_ring(df: DataFrame, lat: float, lon: float, k: int, res: int) -> DataFrame:
-    """Assets in the cells at most k steps from a point's cell.  The cell list depends on k only."""
-    around = df.sparkSession.range(1).select(F.explode(G.disk(G.cell(F.lit(lat), F.lit(lon), res), k, res)).alias("cell"))
-    return with_cell(df, res).join(F.broadcast(around), "cell")
+    """Assets in the cells at most k steps from a point's cell: two cells' steps are arithmetic on their numbers, so no list of cells is made."""
+    return with_cell(df, res).where(G.grid_distance(F.col("cell"), G.cell(F.lit(lat), F.lit(lon), res)) <= k)
 
 
 def meters_near(df: DataFrame, lat: float, lon: float, radius_m: float, res: int = 9) -> DataFrame:
@@ -222,7 +180,7 @@ def coverage_gaps(meters: DataFrame, substations: DataFrame, least: int = 10, re
     cells = with_cell(meters, res).groupBy("cell").agg(F.count(F.lit(1)).alias("meter_count")).where(F.col("meter_count") < least)
     lat, lon = G.center(F.col("cell"), res)
     centers = cells.withColumns({"lat": lat, "lon": lon})
-    hits = nearest(centers, substations, "cell", "substation_id", start_km=1.0)
+    hits = nearest(centers, substations, "cell", "substation_id")
     km = F.col("distance_km")
     return centers.join(hits.select("cell", "distance_km"), "cell").select(
         "cell", F.col("lat").alias("center_lat"), F.col("lon").alias("center_lon"), "meter_count", km.alias("nearest_substation_km"),

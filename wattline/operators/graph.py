@@ -1,15 +1,18 @@
 """The grid as nodes and edges: hierarchy, reach, waves, rank, triangles and cascade scores.
 
-Iterations join the edge table with a small changing table and cut lineage through the checkpoint folder each round.
+Iterations place the edges by node once, join them with a small changing table and cut its lineage through the checkpoint folder each
+round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattline.functions.geometry import haversine
 from wattline.operators.anchors import topk
 from wattline.operators.ordering import positioned
+from wattline.operators.pyramid import nearest_k
 from wattline.session import cut
 
 
@@ -94,43 +97,67 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Wave depth of every node within ``max_depth`` steps of a seed (node); stops when a wave is empty."""
+def by_node(edges: DataFrame) -> DataFrame:
+    """Both directions of the edges, placed and sorted by ``src`` once: what joins them on ``src`` moves, the edges stay where they are.
+
+    The rows are kept in memory or on the executors' disks; lost ones are made again from the checkpointed edges. Callers give them back.
+    """
     links = cut(undirected(edges))
-    frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    reached = cut(frontier)
-    frontier = reached
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(links, frontier["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(reached.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)  # every wave is on file already
-    return reached
+    width = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = links.repartition(width, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    return held
+
 
+def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
+    """Wave depth of every node within ``max_depth`` steps of a seed (node); stops when a wave is empty.
 
-def degree_reach(edges: DataFrame, heavy: int = 1000) -> DataFrame:
-    """Degree, exact number of nodes at distance two, reach and its ratio, normalised degree.
+    A round moves waves only. Neighbours of a wave are in the wave before, in itself or in the next one, since edges go both ways; two
+    waves therefore stand for all that was reached.
+    """
+    links = by_node(edges)
+    waves = [cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))]
+    try:
+        for depth in range(1, max_depth + 1):
+            step = waves[-1].join(links, waves[-1]["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
+            for seen in waves[-2:]:
+                step = step.join(seen.select("node"), "node", "left_anti")
+            wave = cut(step.withColumn("depth", F.lit(depth)))
+            if wave.isEmpty():
+                break
+            waves.append(wave)
+    finally:
+        links.unpersist()
+    out = waves[0]
+    for wave in waves[1:]:  # all on file already
+        out = out.unionByName(wave)
+    return out
+
+
+def degree_reach(edges: DataFrame, heavy: int = 1000, lg_k: int | None = None) -> DataFrame:
+    """Degree, number of nodes at distance two, reach and its ratio, normalised degree.
 
     Going through a hub would emit all pairs of its neighbours.  Hubs (degree above ``heavy``) are therefore not
-    expanded: the union of neighbourhoods behind one set of hubs is counted once per distinct set, and only paths
-    through light nodes, at most ``heavy`` per edge, are listed and checked against it.
+    expanded; only paths through light nodes, at most ``heavy`` per edge, are listed.  What lies behind the hubs of a node
+    is taken once for every distinct set of hubs:
+
+    * exactly (``lg_k`` left out), as a list of the nodes that a set reaches, which can be as long as sets times hub degree;
+    * or from mergeable sketches of 2^lg_k registers, one per hub, merged per set and then with the node's own: their size is
+      fixed, and a node's reach has a relative standard error of 1.04 / sqrt(2^lg_k).  Nodes without a hub beside them stay exact;
+      ``estimated`` says which are not.
     """
-    links = cut(undirected(edges))
-    degree = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    degree = cut(degree)
+    links = by_node(edges)
+    degree = cut(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
     hubs = degree.where(F.col("degree") > heavy).select(F.col("node").alias("hub"))
     light = degree.where(F.col("degree") <= heavy).select(F.col("node").alias("mid"))
 
     # distance-two candidates through light middle nodes
-    into = links.select(F.col("src").alias("node"), F.col("dst").alias("mid")).join(light, "mid")
+    into = links.select(F.col("src").alias("mid"), F.col("dst").alias("node")).join(light, "mid")
     onward = links.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-    paths = into.join(onward, "mid").where("node <> far").select("node", "far").distinct()
+    listed = into.join(onward, "mid").where("node <> far").select("node", "far")
     near = links.select(F.col("src").alias("node"), F.col("dst").alias("far"))
-    paths = paths.join(near, ["node", "far"], "left_anti")
-
     if hubs.isEmpty():
-        two = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n2"))
+        two = _unlinked(listed, near).groupBy("node").agg(F.count(F.lit(1)).alias("n2")).withColumn("estimated", F.lit(False))
     else:
         beside = cut(links.join(hubs, F.col("dst") == F.col("hub")).select(F.col("src").alias("node"), "hub"))
         # nodes with the same hubs beside them share a fingerprint; one of them stands for the set
@@ -138,71 +165,105 @@ def degree_reach(edges: DataFrame, heavy: int = 1000) -> DataFrame:
             F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("hub")).alias("_x"), F.bit_xor(F.xxhash64("hub", F.lit("second"))).alias("_y")
         )
         sets = cut(marks.withColumn("set_id", F.concat_ws(":", "_c", "_x", "_y")).select("node", "set_id"))
-        heads = sets.groupBy("set_id").agg(F.min("node").alias("node"))
-        members = heads.join(beside, "node").select("set_id", "hub")
-        covered = cut(members.join(links.select(F.col("src").alias("hub"), F.col("dst").alias("far")), "hub").select("set_id", "far").distinct())
-        cover_size = covered.groupBy("set_id").agg(F.count(F.lit(1)).alias("cover"))
-        # from the cover of a node remove itself and its direct neighbours
-        own = near.join(sets.select("node", "set_id"), "node").join(covered, ["set_id", "far"]).groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-        via_hub = sets.join(cover_size, "set_id").join(own, "node", "left").select("node", (F.col("cover") - F.coalesce("own", F.lit(0)) - 1).alias("n2h"))
-        extra = paths.join(sets.select("node", "set_id"), "node", "left").join(covered.withColumn("_c", F.lit(True)), ["set_id", "far"], "left").where("_c IS NULL")
-        via_light = extra.groupBy("node").agg(F.count(F.lit(1)).alias("n2l"))
-        two = degree.select("node").join(via_hub, "node", "left").join(via_light, "node", "left").select(
-            "node", (F.coalesce("n2h", F.lit(0)) + F.coalesce("n2l", F.lit(0))).alias("n2")
-        )
+        members = sets.groupBy("set_id").agg(F.min("node").alias("node")).join(beside, "node").select("set_id", "hub")
+        if lg_k is None:
+            two = _through_hubs(_unlinked(listed, near), near, degree, sets, members, links)
+        else:
+            two = _sketched(listed, near, degree, sets, members, links, hubs, lg_k)
+    two = cut(two)
+    links.unpersist()
     total = degree.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return degree.join(two, "node", "left").select(
+    out = degree.join(two, "node", "left").select(
         "node", "degree", F.col("degree").alias("neighbors_1hop"), F.coalesce("n2", F.lit(0)).alias("neighbors_2hop"),
         (F.col("degree") + F.coalesce("n2", F.lit(0))).alias("total_reach"),
         (F.coalesce("n2", F.lit(0)) / F.col("degree")).alias("reach_expansion_ratio"),
-        (F.col("degree") / F.nullif(total - 1, F.lit(0))).alias("normalized_degree"),
+        (F.col("degree") / F.nullif(total - 1, F.lit(0))).alias("normalized_degree"), F.coalesce("estimated", F.lit(False)).alias("estimated"),
+    )
+    return out.drop("estimated") if lg_k is None else out
+
+
+def _unlinked(listed: DataFrame, near: DataFrame) -> DataFrame:
+    """Distinct pairs (node, far) that no edge joins."""
+    return listed.distinct().join(near, ["node", "far"], "left_anti")
+
+
+def _through_hubs(paths: DataFrame, near: DataFrame, degree: DataFrame, sets: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, n2): the list of what each set of hubs reaches, and of the light paths those that lead elsewhere."""
+    covered = cut(members.join(links.select(F.col("src").alias("hub"), F.col("dst").alias("far")), "hub").select("set_id", "far").distinct())
+    cover_size = covered.groupBy("set_id").agg(F.count(F.lit(1)).alias("cover"))
+    # from the cover of a node remove itself and its direct neighbours
+    own = near.join(sets.select("node", "set_id"), "node").join(covered, ["set_id", "far"]).groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    via_hub = sets.join(cover_size, "set_id").join(own, "node", "left").select("node", (F.col("cover") - F.coalesce("own", F.lit(0)) - 1).alias("n2h"))
+    extra = paths.join(sets.select("node", "set_id"), "node", "left").join(covered.withColumn("_c", F.lit(True)), ["set_id", "far"], "left").where("_c IS NULL")
+    via_light = extra.groupBy("node").agg(F.count(F.lit(1)).alias("n2l"))
+    return degree.select("node").join(via_hub, "node", "left").join(via_light, "node", "left").select(
+        "node", (F.coalesce("n2h", F.lit(0)) + F.coalesce("n2l", F.lit(0))).alias("n2"), F.lit(False).alias("estimated")
     )
 
 
-ROUNDS_PER_CUT = 3
+def _sketched(listed: DataFrame, near: DataFrame, degree: DataFrame, sets: DataFrame, members: DataFrame, links: DataFrame, hubs: DataFrame, lg_k: int) -> DataFrame:
+    """(node, n2, estimated): exact away from hubs; beside them the merged sketch of all nodes within two steps, less the node and its neighbours."""
+    beside = sets.select("node")
+    exact = _unlinked(listed.join(beside, "node", "left_anti"), near).groupBy("node").agg(F.count(F.lit(1)).alias("n2")).withColumn("estimated", F.lit(False))
+    of_hub = links.join(hubs, F.col("src") == F.col("hub")).groupBy("hub").agg(F.hll_sketch_agg("dst", lg_k).alias("sketch"))
+    cover = members.join(cut(of_hub), "hub").groupBy("set_id").agg(F.hll_union_agg("sketch").alias("cover"))
+    itself = beside.select("node", F.col("node").alias("far"))
+    own = listed.unionByName(near).join(beside, "node", "left_semi").unionByName(itself).groupBy("node").agg(F.hll_sketch_agg("far", lg_k).alias("own"))
+    ball = F.hll_sketch_estimate(F.hll_union("own", "cover"))
+    merged = sets.join(cover, "set_id").join(own, "node").join(degree, "node")
+    return exact.unionByName(merged.select("node", F.greatest(F.lit(0), ball - 1 - F.col("degree")).cast("bigint").alias("n2"), F.lit(True).alias("estimated")))
 
 
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:
-    """Fixed number of rounds over the undirected graph; contributions are summed before the shuffle.
+    """Fixed number of rounds over the undirected graph.
 
-    A round reads the ranks once, so the plan grows by one join per round; lineage is cut every few rounds.
+    Edges and nodes lie by node in equally many parts, and a round's ranks come out that way, so the only shuffle of a round is that of
+    the contributions, summed before it. Every round is cut: a lost executor repeats one round at most.
     """
-    links = cut(undirected(edges))
-    degree = cut(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d")))
-    n = degree.count()
-    ranks = degree.select("node", "d", F.lit(1.0 / n).alias("rank"))
-    for i in range(1, iterations + 1):
-        share = ranks.select(F.col("node").alias("src"), (F.col("rank") / F.col("d")).alias("part"))
-        sums = links.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("s"))
-        ranks = degree.join(sums, "node", "left").select("node", "d", (F.lit((1 - damping) / n) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"))
-        if i % ROUNDS_PER_CUT == 0:
-            ranks = cut(ranks)
+    links = by_node(edges)
+    nodes = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d")).persist(StorageLevel.MEMORY_AND_DISK)
+    n = nodes.count()
+    ranks = nodes.select("node", "d", F.lit(1.0 / n if n else 0.0).alias("rank"))
+    try:
+        for _ in range(iterations):
+            share = ranks.select(F.col("node").alias("src"), (F.col("rank") / F.col("d")).alias("part"))
+            sums = links.join(share, "src").groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("s"))
+            ranks = cut(nodes.join(sums, "node", "left").select("node", "d", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("s", F.lit(0.0))).alias("rank")))
+    finally:
+        nodes.unpersist()
+        links.unpersist()
     return ranks.select("node", F.col("rank").alias("pagerank"))
 
 
 def eigenvector(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """Power iteration with the vector scaled to length one each round."""
-    links = cut(undirected(edges))
+    links = by_node(edges)
     vector = cut(links.select(F.col("src").alias("node")).distinct().withColumn("x", F.lit(1.0)))
     for _ in range(iterations):
         sums = links.join(vector.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("x").alias("s"))
         stepped = cut(vector.join(sums, "node").select("node", (F.col("x") + F.col("s")).alias("x")))
         length = stepped.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
         vector = stepped.select("node", (F.col("x") / F.lit(length)).alias("x"))
+    links.unpersist()
     return vector.select("node", F.col("x").alias("eigenvector"))
 
 
 def closeness(edges: DataFrame, sources: DataFrame, max_depth: int = 6) -> DataFrame:
     """Mean distance from the given source nodes to each node (sampled closeness), one wave set for all sources."""
-    links = cut(undirected(edges))
-    reached = cut(sources.select(F.col("node").alias("source"), "node").distinct().withColumn("depth", F.lit(0)))
-    frontier = reached
+    links = by_node(edges)
+    waves = [cut(sources.select(F.col("node").alias("source"), "node").distinct().withColumn("depth", F.lit(0)))]
     for depth in range(1, max_depth + 1):
-        step = frontier.join(links, frontier["node"] == links["src"]).select("source", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(reached.select("source", "node"), ["source", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        step = waves[-1].join(links, waves[-1]["node"] == links["src"]).select("source", F.col("dst").alias("node")).distinct()
+        for seen in waves[-2:]:
+            step = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        wave = cut(step.withColumn("depth", F.lit(depth)))
+        if wave.isEmpty():
             break
-        reached = reached.unionByName(frontier)
+        waves.append(wave)
+    links.unpersist()
+    reached = waves[0]
+    for wave in waves[1:]:
+        reached = reached.unionByName(wave)
     return reached.groupBy("node").agg(F.count(F.lit(1)).alias("sources_reached"), F.avg("depth").alias("mean_distance"))
 
 
@@ -239,20 +300,36 @@ SCENARIOS = [
 FEW_ANCHORS = 1000
 
 
+def _from_each(anchors: DataFrame, points: DataFrame, anchor_key: str, point_key: str) -> DataFrame | None:
+    """Distances from every anchor of a short list, which goes along with the points; None for a long one."""
+    a = anchors.select(anchor_key, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    if a.limit(FEW_ANCHORS + 1).count() > FEW_ANCHORS:
+        return None
+    listed = a.agg(F.collect_list(F.struct("*")).alias("a")).scalar()
+    rows = points.select(point_key, "lat", "lon", F.explode(listed).alias("a")).select(point_key, "lat", "lon", "a.*")
+    return rows.select(anchor_key, point_key, haversine(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon")).alias("distance_km"))
+
+
 def nearest_rank(anchors: DataFrame, points: DataFrame, anchor_key: str, point_key: str) -> DataFrame:
-    """Rank every point by distance from every anchor.
+    """Rank every point by distance from every anchor of a short list; the result has all pairs. ``nearest_few`` ranks the nearest only."""
+    rows = _from_each(anchors, points, anchor_key, point_key)
+    if rows is None:
+        raise ValueError(f"more than {FEW_ANCHORS} anchors: rank the nearest with nearest_few")
+    return positioned(rows, [F.col("distance_km").asc(), F.col(point_key).asc()], keys=[anchor_key], position="hop")
+
+
+def nearest_few(anchors: DataFrame, points: DataFrame, anchor_key: str, point_key: str, k: int) -> DataFrame:
+    """(anchor, point, distance_km, hop): the ``k`` nearest points of every anchor by distance and key.
 
-    A short anchor list is folded to one array and exploded per point; a long one is left to Spark's own join choice.
+    With few anchors every task keeps its ``k`` best per anchor and only these are shuffled and merged; with many, points and anchors
+    are searched through the pyramid of cells.
     """
-    a = anchors.select(anchor_key, F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    p = points.select(point_key, "lat", "lon")
-    if a.limit(FEW_ANCHORS + 1).count() <= FEW_ANCHORS:
-        listed = a.agg(F.collect_list(F.struct("*")).alias("a")).scalar()
-        rows = p.withColumn("a", F.explode(listed)).select(point_key, "lat", "lon", "a.*")
-    else:
-        rows = p.crossJoin(a)
-    rows = rows.select(anchor_key, point_key, haversine(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon")).alias("distance_km"))
-    return positioned(rows, [F.col("distance_km").asc(), F.col(point_key).asc()], keys=[anchor_key], position="hop")
+    placed = points.where("lat IS NOT NULL AND lon IS NOT NULL")
+    rows = _from_each(anchors.where("lat IS NOT NULL AND lon IS NOT NULL"), placed, anchor_key, point_key)
+    if rows is None:
+        return nearest_k(anchors, points, anchor_key, point_key, k)
+    best = Window.partitionBy(anchor_key).orderBy("distance_km", point_key)
+    return rows.withColumn("hop", F.row_number().over(best).cast("bigint")).where(F.col("hop") <= k)
 
 
 def wavefront(substations: DataFrame, scenarios: list[tuple] = SCENARIOS) -> DataFrame:
@@ -262,7 +339,7 @@ def wavefront(substations: DataFrame, scenarios: list[tuple] = SCENARIOS) -> Dat
     placed = substations.where("lat IS NOT NULL AND lon IS NOT NULL")
     ranked = positioned(placed.select("substation_id", "substation_name", "lat", "lon", "capacity_mva"), [F.col("capacity_mva").desc_nulls_last(), F.col("substation_id").asc()], position="pz_rank")
     zero = listed.join(ranked, "pz_rank").select("scenario_id", "lat", "lon")
-    hops = nearest_rank(zero, placed, "scenario_id", "substation_id")
+    hops = nearest_few(zero, placed, "scenario_id", "substation_id", max(total for *_, total in scenarios))
     return (
         hops.join(listed.select("scenario_id", "total_nodes"), "scenario_id")
         .where("hop <= total_nodes")

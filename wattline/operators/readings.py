@@ -303,11 +303,52 @@ def substation_hourly(readings: DataFrame, meters: DataFrame, substation_id: str
     )
 
 
-def approx_monthly(readings: DataFrame) -> DataFrame:
-    return readings.groupBy(trunc("MONTH", F.col("reading_ts")).alias("month")).agg(
-        F.approx_count_distinct("meter_id", 0.02).alias("approx_meters"),
-        F.percentile_approx("usage_kwh", 0.5, 10000).alias("approx_median"),
-        F.percentile_approx("usage_kwh", 0.95, 10000).alias("approx_p95"),
+#: Sketch sizes: a meter count has a relative standard error of 1.04 / sqrt(2^HLL_K); a KLL rank is off by less than RANK_ERROR of the rows.
+HLL_K = 12
+KLL_K = 800
+RANK_ERROR = 0.01
+
+
+def daily_sketches(readings: DataFrame) -> DataFrame:
+    """(day, meters, usage): one row a day with a mergeable sketch of its meters and one of its usage values, to be stored as it closes."""
+    return readings.groupBy(F.to_date("reading_ts").alias("day")).agg(
+        F.hll_sketch_agg("meter_id", HLL_K).alias("meters"), F.kll_sketch_agg_double(F.col("usage_kwh").cast("double"), F.lit(KLL_K)).alias("usage")
+    )
+
+
+def merged_sketches(daily: DataFrame, unit: str = "MONTH") -> DataFrame:
+    """The sketches of longer periods from stored daily ones; no reading is read again."""
+    return daily.groupBy(trunc(unit, F.col("day")).alias(unit.lower())).agg(F.hll_union_agg("meters").alias("meters"), F.kll_merge_agg_double("usage").alias("usage"))
+
+
+def approx_monthly(daily: DataFrame) -> DataFrame:
+    """Meters, median and 95th percentile a month from daily sketches, within the errors stated above."""
+    month = merged_sketches(daily)
+
+    def at(p):
+        return F.kll_sketch_get_quantile_double("usage", F.lit(p))
+
+    return month.select(
+        "month", F.kll_sketch_get_n_double("usage").alias("n"), F.hll_sketch_estimate("meters").alias("approx_meters"), at(0.5).alias("approx_median"), at(0.95).alias("approx_p95")
+    )
+
+
+def approx_errors(approx: DataFrame, readings: DataFrame) -> DataFrame:
+    """A month's true number of readings and meters, and whether its approximations keep their bounds: four standard errors, RANK_ERROR."""
+    near = readings.select(trunc("MONTH", F.col("reading_ts")).alias("month"), "meter_id", "usage_kwh").join(approx, "month")
+
+    def share(c):
+        """Shares of readings below a value, and up to it: the wanted rank lies between, or close."""
+        return F.avg((F.col("usage_kwh") < F.col(c)).cast("double")), F.avg((F.col("usage_kwh") <= F.col(c)).cast("double"))
+
+    kept = {}
+    for c, p in (("approx_median", 0.5), ("approx_p95", 0.95)):
+        below, upto = share(c)
+        kept[f"{c[7:]}_within"] = (below <= p + RANK_ERROR) & (upto >= p - RANK_ERROR)
+    meters = F.countDistinct("meter_id")
+    return near.groupBy("month").agg(
+        F.count(F.lit(1)).alias("reading_count"), (F.max("n") == F.count("usage_kwh")).alias("all_counted"), meters.alias("meters"),
+        (F.abs(F.max("approx_meters") - meters) <= 4 * 1.04 / 2 ** (HLL_K / 2) * meters + 1).alias("meters_within"), *[v.alias(k) for k, v in kept.items()],
     )
 
 

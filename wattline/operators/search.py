@@ -1,16 +1,10 @@
-"""Search texts, ranked lookup, typo-tolerant match, vector similarity and document chunks."""
+"""Search texts, typo-tolerant match, vector similarity and document chunks; ranked lookup is in ``text_index``."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wattline.operators.anchors import topk
-from wattline.session import cut
-
-K1 = 1.2
-B = 0.75
 
 
 def customer_text(customers: DataFrame) -> DataFrame:
@@ -23,57 +17,6 @@ def meter_text(context: DataFrame) -> DataFrame:
     return context.select("meter_id", "county", "segment", F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in cols]).alias("search_text"))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-
-
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed a single time per row: a one-element explode keeps the optimizer from copying
-    the expression into every place that uses it."""
-    return df.withColumn(name, F.explode(F.array(value)))
-
-
-def dealt(df: DataFrame) -> DataFrame:
-    """Rows of a small file read by few tasks, dealt to all of them; a scan that is wide already stays as it is."""
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks // 2 else df
-
-
-def _occurrences(words: str, term: str) -> Column:
-    return (F.size(words) - F.size(F.array_remove(words, term))).cast("double")
-
-
-def text_search(docs: DataFrame, key: str, text: str, query: str, filters: dict[str, str] | None = None, columns: list[str] = (), n: int = 10) -> DataFrame:
-    """BM25 over whole texts, ties by key.
-
-    Only the query's terms are counted, per row and without a shuffle, in one pass whose small result is kept;
-    document frequencies and the mean length come from one aggregate over it.  Filters restrict the results, not the statistics.
-    """
-    terms = sorted(set(t for t in re.split(r"[\W_]+", query.lower()) if t))
-    keep = list(dict.fromkeys([key, *columns, *(filters or {})]))
-    docs = dealt(docs.select(*dict.fromkeys([*keep, text])))
-    toks = once(docs.select(*keep, text), "_t", tokens(F.col(text))).drop(text) if text not in keep else once(docs.select(*keep), "_t", tokens(F.col(text)))
-    counts = F.struct(F.size("_t").cast("double").alias("_len"), *[_occurrences("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms)])
-    # one pass over the texts; what is kept per document is a few numbers
-    counted = cut(once(toks, "_c", counts).select(*keep, "_c.*"))
-    stats = counted.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg_len"), *[F.sum(F.when(F.col(f"_tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))]
-    )
-    row = stats.first()
-    total, avg_len = row["n"], row["avg_len"] or 1.0
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        df_i = row[f"df{i}"] or 0
-        idf = F.log(F.lit(1.0 + (total - df_i + 0.5) / (df_i + 0.5)))
-        tf_i = F.col(f"_tf{i}")
-        score = score + idf * tf_i * (K1 + 1) / (tf_i + K1 * (1 - B + B * F.col("_len") / avg_len))
-    hits = counted.withColumn("score", score).where("score > 0")
-    for col, value in (filters or {}).items():
-        hits = hits.where(F.col(col) == value)
-    return topk(hits.select(key, *columns, "score"), [F.col("score").desc(), F.col(key).asc()], n)
-
-
 def grams(text: Column, size: int = 3) -> Column:
     """Distinct character n-grams of the padded lower-case text."""
     padded = F.concat(F.lit("  "), F.lower(text), F.lit(" "))

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 from wattline.functions.calendar import NTZ
 from wattline.operators import maintenance as T
 from wattline.operators import relations as J
-from wattline.operators import search as X
+from wattline.operators import search as X, text_index
 from wattline.plans.network_queries import r8
 from wattline.plans.oracle import u
 from wattline.plans.registry import register
@@ -303,11 +303,11 @@ def stream_tumbling(g):
 
 @register("stream_circuit_health", """
 WITH x AS (SELECT max(reading_ts) AS mx FROM readings), e AS (SELECT r.*, m.circuit_id, time_bucket(INTERVAL 15 MINUTE, reading_ts)-INTERVAL 15 MINUTE*o AS ws FROM readings r JOIN meters m ON m.meter_id=r.meter_id, (VALUES (0),(1),(2),(3)) v(o))
-SELECT ws AS window_start, circuit_id, round(avg(voltage_v),8) AS avg_voltage, round(avg(usage_kwh),8) AS avg_usage_kwh, count_if(voltage_v<114) AS low_voltage_count, count_if(usage_kwh=0) AS zero_usage_count
+SELECT ws AS window_start, circuit_id, count(DISTINCT meter_id) AS active_meters, round(avg(voltage_v),8) AS avg_voltage, round(avg(usage_kwh),8) AS avg_usage_kwh, count_if(voltage_v<114) AS low_voltage_count, count_if(usage_kwh=0) AS zero_usage_count
 FROM e, x WHERE ws+INTERVAL 1 HOUR<=date_trunc('millisecond', mx)-INTERVAL 30 MINUTE GROUP BY 1,2""")
 def stream_circuit_health(g):
     out = ST.drain(ST.rolling_circuit_health(_stream(g), g.meters), "circuit_health")
-    return r8(out.drop("active_meters"), "avg_voltage", "avg_usage_kwh")
+    return r8(out, "avg_voltage", "avg_usage_kwh")
 
 
 @register("stream_dedup", "SELECT meter_id, reading_ts, any_value(usage_kwh) AS usage_kwh FROM readings GROUP BY 1,2")
@@ -350,6 +350,29 @@ def late_data(g):
     return flagged.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("is_late"), 1).otherwise(0)).alias("late"))
 
 
+DELIVERY = "CASE WHEN event_id % 11 = 5 THEN 3 WHEN {day} < 11 THEN 0 WHEN {day} < 21 THEN 1 ELSE 2 END"
+
+
+@register("late_rows_routed", f"""
+WITH e AS (SELECT ts, {DELIVERY.format(day='day(ts)')} AS delivery FROM events),
+w AS (SELECT delivery, max(max(ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e GROUP BY 1)
+SELECT e.delivery, count(*) AS n, count(*) FILTER (ts<=date_trunc('millisecond', newest)-INTERVAL 2 DAY) AS late, count(*) FILTER (ts<=date_trunc('millisecond', newest)-INTERVAL 2 DAY) AS dropped FROM e JOIN w ON w.delivery=e.delivery GROUP BY 1""")
+def late_rows_routed(g):
+    """Readings that arrive out of order: late rows go to a table, as many as a deduplicating stream drops for the same watermark."""
+    events = g.raw("events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("reading_ts"), F.expr(DELIVERY.format(day="day(ts)")).alias("delivery"))
+    path, state = scratch_path(g.spark, "deliveries"), scratch_path(g.spark, "dedup-state")
+    router, dropped = ST.LateRows(g.spark, "reading_ts", "2 days"), []
+    for delivery in range(4):
+        events.where(F.col("delivery") == delivery).write.mode("append").parquet(path)
+        stream = ST.stream_parquet(g.spark, path, events.schema)
+        rows = router.take(stream)
+        query = ST.dedup(stream, ["event_id"], "2 days").writeStream.format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination()
+        dropped.append((delivery, ST.dropped_by_watermark([json.loads(p.json) for p in query.recentProgress])))
+    routed = rows.groupBy("delivery").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_late").cast("int")).alias("late"))
+    return routed.join(g.spark.createDataFrame(dropped, "delivery int, dropped bigint"), "delivery")
+
+
 @register("cdc_staging_tables", "SELECT outage_id, transformer_id, status, customers, 'INSERT' AS operation FROM outages")
 def cdc_staging_tables(g):
     path = scratch_path(g.spark, "outages_cdc")
@@ -386,7 +409,8 @@ SELECT doc_id, lang, round({score},6) AS score FROM c, s WHERE lang='en' AND ({'
 
 @register("text_search", _bm25_sql(sorted(TERMS)))
 def text_search(g):
-    out = X.text_search(g.raw("documents"), "doc_id", "text", " ".join(TERMS), {"lang": "en"}, ["lang"], 20)
+    index = text_index.index_of(g.raw("documents"), "doc_id", "text", ["lang"])
+    out = index.search(" ".join(TERMS), {"lang": "en"}, 20)
     return out.withColumn("score", F.round("score", 6))
 
 

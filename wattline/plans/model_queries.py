@@ -579,6 +579,24 @@ def relationship_join(g):
     return out.withColumn("total_consumption", F.round("total_consumption", 6))
 
 
+@register("semantic_two_facts", """
+WITH r AS (SELECT location_area, reading_ts::date AS day, round(sum(usage_kwh_adjusted),6) AS total_consumption, count(DISTINCT f.meter_id) AS active_meter_count FROM final f LEFT JOIN meters m ON m.meter_id=f.meter_id LEFT JOIN aged t ON t.transformer_id=m.transformer_id
+ WHERE extract(hour from reading_ts) BETWEEN 14 AND 19 GROUP BY 1,2),
+o AS (SELECT location_area, start_ts::date AS day, count(DISTINCT outage_id) AS outage_count, round(avg(date_sub('minute', start_ts, end_ts)),8) AS avg_outage_duration FROM outages o LEFT JOIN aged t ON t.transformer_id=o.transformer_id GROUP BY 1,2)
+SELECT coalesce(r.location_area, o.location_area) AS location_area, coalesce(r.day, o.day) AS day, total_consumption, active_meter_count, outage_count, avg_outage_duration
+FROM r FULL JOIN o ON r.location_area IS NOT DISTINCT FROM o.location_area AND r.day IS NOT DISTINCT FROM o.day""")
+def semantic_two_facts(g):
+    """Consumption in peak hours beside outages, by area and day; the filter is one of readings."""
+    out = ask(g, ["LOCATION_AREA", "DAY"], ["TOTAL_CONSUMPTION", "ACTIVE_METER_COUNT", "OUTAGE_COUNT", "AVG_OUTAGE_DURATION"], ["PEAK_HOURS"])
+    return r8(out, "avg_outage_duration").withColumn("total_consumption", F.round("total_consumption", 6))
+
+
+@register("semantic_three_facts", """
+SELECT (SELECT round(sum(usage_kwh_adjusted),6) FROM final) AS total_consumption, (SELECT max(load_factor_pct) FROM hourly_load) AS peak_load_factor, (SELECT count(DISTINCT outage_id) FROM outages) AS outage_count""")
+def semantic_three_facts(g):
+    return ask(g, [], ["TOTAL_CONSUMPTION", "PEAK_LOAD_FACTOR", "OUTAGE_COUNT"]).withColumn("total_consumption", F.round("total_consumption", 6))
+
+
 @register("verified_monthly_usage_trend", """
 SELECT date_trunc('month', reading_ts)::timestamp AS reading_month, round(sum(usage_kwh_adjusted),6) AS total_consumption, count(DISTINCT meter_id) AS active_meter_count, round(avg(usage_kwh_adjusted),8) AS avg_consumption FROM final GROUP BY 1""")
 def verified_monthly_usage_trend(g):

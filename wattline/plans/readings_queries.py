@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wattline.operators import readings as R
 from wattline.operators.quantiles import exact_percentiles
 from wattline.plans.registry import register
+from wattline.session import scratch_path
 from wattline.functions import rules
 
 
@@ -203,9 +204,13 @@ def substation_hourly(g):
     return _round(R.substation_hourly(g.readings, g.meters, "SUB-0007"), 8, "total_kwh")
 
 
-@register("approx_monthly")
+@register("approx_monthly", """
+SELECT date_trunc('month', reading_ts)::timestamp AS month, count(*) AS reading_count, true AS all_counted, count(DISTINCT meter_id) AS meters, true AS meters_within, true AS median_within, true AS p95_within FROM readings GROUP BY 1""")
 def approx_monthly(g):
-    return R.approx_monthly(g.readings)
+    """Monthly values from stored daily sketches, held against all readings of the month."""
+    path = scratch_path(g.spark, "daily-sketches")
+    R.daily_sketches(g.readings).write.parquet(path)
+    return R.approx_errors(R.approx_monthly(g.spark.read.parquet(path)), g.readings)
 
 
 @register("exact_quantiles", """

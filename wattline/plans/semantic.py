@@ -37,9 +37,12 @@ class Relationship:
 
 
 class Model:
-    def __init__(self, tables: list[LogicalTable], relationships: list[Relationship]):
+    """Logical tables, their relationships, and shared dimensions: {name: {table: its dimension}}, a day or month that several facts have."""
+
+    def __init__(self, tables: list[LogicalTable], relationships: list[Relationship], shared: dict[str, dict[str, str]] | None = None):
         self.tables = {t.name: t for t in tables}
         self.relationships = relationships
+        self.shared = shared or {}
 
     @classmethod
     def from_dict(cls, spec: dict) -> "Model":
@@ -53,7 +56,7 @@ class Model:
             )
             for t in spec["tables"]
         ]
-        return cls(tables, [Relationship(**r) for r in spec.get("relationships", [])])
+        return cls(tables, [Relationship(**r) for r in spec.get("relationships", [])], spec.get("shared"))
 
     def find(self, name: str) -> tuple[LogicalTable, str]:
         """'table.name' or an unambiguous name or synonym."""
@@ -81,16 +84,47 @@ class Model:
         raise KeyError(f"no many-to-one path from {start} to {goal}")
 
     def query(self, frames: dict[str, DataFrame], dims: list[str], metrics: list[str], filters: list[str] = (), check_keys: bool = False) -> DataFrame:
-        """Group by the dimensions and evaluate the metrics of one fact table.
+        """Group by the dimensions and evaluate the metrics.
 
-        Only the columns that the query names are read.  Joins go to the unique side, so they never multiply facts.
+        Metrics of several fact tables are evaluated for each table by itself, down to the dimensions, and only these short results
+        meet, so no fact row is ever joined to another fact's rows. Null dimension values are one group. A filter counts for the
+        facts that lead to its table; one that no fact leads to is an error.
         """
-        found_m = [(m, *self.find(m)) for m in metrics]
-        facts = {t.name for _, t, _ in found_m}
-        if len(facts) != 1:
-            raise ValueError("metrics have to come from one table")
-        base = self.tables[facts.pop()]
-        found_d = [(d, *self.find(d)) for d in dims]
+        by_fact: dict[str, list[str]] = {}
+        for m in metrics:
+            by_fact.setdefault(self.find(m)[0].name, []).append(m)
+        if not by_fact:
+            raise ValueError("a query needs a metric")
+        applied = {name: [f for f in filters if self._leads(name, self.find(f)[0].name)] for name in by_fact}
+        for f in filters:
+            if not any(f in fs for fs in applied.values()):
+                raise KeyError(f"no many-to-one path from {', '.join(by_fact)} to the table of {f}")
+        results = [self._of_one_fact(frames, name, dims, ms, applied[name], check_keys) for name, ms in by_fact.items()]
+        if len(results) == 1:
+            return results[0]
+        names = [self._out(d) for d in dims]
+        columns = [self._out(m) for m in metrics]
+        rows = results[0]
+        for other in results[1:]:
+            rows = rows.unionByName(other, allowMissingColumns=True)
+        # Every fact has one row for a combination of dimension values, and metrics are columns of one fact.
+        return rows.groupBy(*names).agg(*[F.any_value(c, ignoreNulls=True).alias(c) for c in columns])
+
+    def _out(self, name: str) -> str:
+        return (name if name in self.shared else self.find(name)[1]).lower()
+
+    def _leads(self, start: str, goal: str) -> bool:
+        try:
+            self.join_path(start, goal)
+        except KeyError:
+            return False
+        return True
+
+    def _of_one_fact(self, frames: dict[str, DataFrame], fact: str, dims: list[str], metrics: list[str], filters: list[str], check_keys: bool) -> DataFrame:
+        """Only the columns that the query names are read.  Joins go to the unique side, so they never multiply facts."""
+        base = self.tables[fact]
+        found_m = [self.find(m) for m in metrics]
+        found_d = [(d, *(self._shared(d, fact) if d in self.shared else self.find(d))) for d in dims]
         found_f = [(f, *self.find(f)) for f in filters]
         df = frames[base.name]
         for _, t, name in found_f:
@@ -109,8 +143,13 @@ class Model:
         for _, t, name in found_f:
             if t.name != base.name:
                 df = df.where(F.col(f"__f_{t.name}_{name}"))
-        groups = [F.col(f"__d_{t.name}_{name}").alias(name.lower()) for _, t, name in found_d]
-        return df.groupBy(*groups).agg(*[t.metrics[name]().alias(name.lower()) for _, t, name in found_m])
+        groups = [F.col(f"__d_{t.name}_{name}").alias(self._out(d)) for d, t, name in found_d]
+        return df.groupBy(*groups).agg(*[t.metrics[name]().alias(name.lower()) for t, name in found_m])
+
+    def _shared(self, name: str, fact: str) -> tuple[LogicalTable, str]:
+        if fact not in self.shared[name]:
+            raise KeyError(f"{fact} has no {name}")
+        return self.tables[fact], self.shared[name][fact]
 
     def _join(self, df, frames, step, base, found_d, found_f, check_keys):
         right = frames[step.right]
@@ -196,7 +235,7 @@ def grid_model() -> Model:
     )
     outages = LogicalTable(
         "outages", "outage_id",
-        dimensions={"CAUSE": _col("cause"), "STATUS": _col("status"), "OUTAGE_DATE": lambda: F.to_date("start_ts"), "SEVERITY": lambda: rules.outage_severity(F.col("customers"))},
+        dimensions={"CAUSE": _col("cause"), "STATUS": _col("status"), "OUTAGE_DATE": lambda: F.to_date("start_ts"), "OUTAGE_MONTH": lambda: trunc("MONTH", F.col("start_ts")), "SEVERITY": lambda: rules.outage_severity(F.col("customers"))},
         metrics={
             "OUTAGE_COUNT": lambda: F.countDistinct("outage_id"), "TOTAL_CUSTOMERS_AFFECTED": lambda: F.sum("customers"),
             "AVG_OUTAGE_DURATION": lambda: F.avg(F.timestamp_diff("MINUTE", F.col("start_ts"), F.col("end_ts"))),
@@ -212,4 +251,8 @@ def grid_model() -> Model:
             Relationship("transformers", "substation_id", "substations", "substation_id"),
             Relationship("outages", "transformer_id", "transformers", "transformer_id"),
         ],
+        {
+            "DAY": {"readings": "READING_DATE", "hourly_load": "LOAD_DATE", "outages": "OUTAGE_DATE"},
+            "MONTH": {"readings": "READING_MONTH", "hourly_load": "LOAD_MONTH", "outages": "OUTAGE_MONTH"},
+        },
     )

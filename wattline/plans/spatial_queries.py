@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions import geometry as G
 from wattline.functions.hashing import keyed_uniform
-from wattline.operators import geo, graph
+from wattline.operators import geo, graph, pyramid
 from wattline.operators.anchors import latest
 from wattline.plans.network_queries import aged, r8
 from wattline.plans.oracle import hav, u
@@ -330,6 +330,26 @@ def nearest_rank(g):
     return graph.nearest_rank(anchors, g.transformers, "anchor_id", "transformer_id").select("anchor_id", "transformer_id", "hop")
 
 
+@register("nearest_k", f"""
+SELECT * FROM (SELECT m.meter_id, t.transformer_id, row_number() OVER (PARTITION BY m.meter_id ORDER BY {hav('m.lat','m.lon','t.lat','t.lon')}, t.transformer_id) AS hop, round({hav('m.lat','m.lon','t.lat','t.lon')},8) AS distance_km
+ FROM meters m JOIN transformers t ON abs(m.lat-t.lat)<0.2) WHERE hop<=5""")
+def nearest_k(g):
+    """The five nearest transformers of every meter."""
+    return r8(pyramid.nearest_k(g.meters, g.transformers, "meter_id", "transformer_id", 5), "distance_km")
+
+
+@register("degree_reach_sketched", f"""
+WITH {EDGES}, d AS (SELECT src AS node, count(*) AS degree FROM b GROUP BY 1),
+n AS (SELECT x.src AS node, max(d.degree)>30 AS beside_hub FROM b x JOIN d ON d.node=x.dst GROUP BY 1)
+SELECT d.node, d.degree, coalesce(beside_hub, false) AS estimated, true AS within_bound FROM d LEFT JOIN n ON n.node=d.node""")
+def degree_reach_sketched(g):
+    """Reach past hubs from merged sketches, held against the exact reach: within four standard errors of the nodes two steps around."""
+    sketched = graph.degree_reach(_edges(g), heavy=30, lg_k=12)
+    exact = graph.degree_reach(_edges(g)).select("node", F.col("total_reach").alias("exact"))
+    off = F.abs(F.col("total_reach") - F.col("exact")) <= F.when(F.col("estimated"), 4 * 1.04 / 64 * (F.col("exact") + 1) + 1).otherwise(0)
+    return sketched.join(exact, "node").select("node", "degree", "estimated", off.alias("within_bound"))
+
+
 XE = "xe AS (SELECT 'SUB_'||substation_id AS src, 'XFMR_'||transformer_id AS dst FROM transformers)"
 
 

@@ -1,7 +1,7 @@
 """Structured Streaming over file sources.
 
 Policy for late data: every job sets a watermark; rows older than the largest event time seen minus the delay are
-dropped from windows, and ``late_split`` counts them.
+dropped from windows. ``LateRows`` routes them to a table beside the stream; ``late_split`` flags them in a table at rest.
 """
 
 from __future__ import annotations
@@ -79,13 +79,22 @@ def tumbling(stream: DataFrame, size: str = "15 minutes", delay: str = "30 minut
 
 
 def rolling_circuit_health(stream: DataFrame, meters: DataFrame, size: str = "1 hour", slide: str = "15 minutes", delay: str = "30 minutes") -> DataFrame:
-    """Sliding circuit state; the meter table is a static join side."""
+    """Sliding circuit state with the exact number of meters; the meter table is a static join side.
+
+    Two aggregations in a row: readings are combined per window, circuit and meter, and once the watermark has closed a window its
+    meters are counted. The state is one short row per meter and open window.
+    """
     keyed = on_event_time(stream, delay).join(meters.select("meter_id", "circuit_id"), "meter_id")
+    per_meter = keyed.groupBy(F.window("reading_ts", size, slide).alias("w"), "circuit_id", "meter_id").agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("voltage_v", "usage_kwh") for n, f in (("sum", F.sum), ("n", F.count))],
+        F.sum(F.when(F.col("voltage_v") < rules.SAG_V, 1).otherwise(0)).alias("low"), F.sum(F.when(F.col("usage_kwh") == 0, 1).otherwise(0)).alias("zero"),
+    )
     return (
-        keyed.groupBy(F.window("reading_ts", size, slide).alias("w"), "circuit_id")
+        per_meter.groupBy("w", "circuit_id")
         .agg(
-            F.approx_count_distinct("meter_id").alias("active_meters"), F.avg("voltage_v").alias("avg_voltage"), F.avg("usage_kwh").alias("avg_usage_kwh"),
-            F.sum(F.when(F.col("voltage_v") < rules.SAG_V, 1).otherwise(0)).alias("low_voltage_count"), F.sum(F.when(F.col("usage_kwh") == 0, 1).otherwise(0)).alias("zero_usage_count"),
+            F.count(F.lit(1)).alias("active_meters"),
+            *[(F.sum(f"sum_{c}") / F.nullif(F.sum(f"n_{c}"), F.lit(0))).alias(out) for c, out in (("voltage_v", "avg_voltage"), ("usage_kwh", "avg_usage_kwh"))],
+            F.sum("low").alias("low_voltage_count"), F.sum("zero").alias("zero_usage_count"),
         )
         .select(plain("w.start").alias("window_start"), "circuit_id", "active_meters", "avg_voltage", "avg_usage_kwh", "low_voltage_count", "zero_usage_count")
     )
@@ -137,6 +146,50 @@ def stress_runs(stream: DataFrame, limit: float = 100.0) -> DataFrame:
     return grouped.applyInPandasWithState(step, STRESS_OUT, "last bigint, run bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+class LateRows:
+    """A running stream's rows in two parts: those that arrive in time, and those at or behind the watermark, which windows would drop.
+
+    The watermark is Spark's own: the newest event time of all batches before, in milliseconds, less the delay. Batches are written to a
+    folder each, so that one that runs again replaces its rows, with the newest time so far beside them.
+    """
+
+    def __init__(self, spark: SparkSession, ts_col: str, delay: str, base: str | None = None):
+        self.spark, self.ts_col, self.delay = spark, ts_col, delay
+        self.base = base or scratch_path(spark, "late-rows")
+
+    def _newest_before(self, epoch: int):
+        """The newest event time before a batch, or None; each batch's record covers all before it."""
+        if epoch == 0:
+            return None
+        records = self.spark.read.schema("newest timestamp_ntz, epoch bigint").parquet(f"{self.base}/newest")
+        return records.where(F.col("epoch") < epoch).agg(F.max("newest")).first()[0]
+
+    def _step(self, batch: DataFrame, epoch: int) -> None:
+        newest = self._newest_before(epoch)
+        at = F.col(self.ts_col)
+        edge = F.date_trunc("MILLISECOND", F.lit(newest)).cast("timestamp_ntz") - F.expr(f"interval {self.delay}")
+        late = F.lit(False) if newest is None else F.coalesce(at <= edge, F.lit(False))
+        batch.withColumn("is_late", late).write.mode("overwrite").partitionBy("is_late").parquet(f"{self.base}/rows/epoch={epoch}")
+        seen = self._table(batch.schema).where(F.col("epoch") == epoch).agg(F.max(self.ts_col).alias("newest"))
+        before = F.lit(newest).cast("timestamp_ntz")
+        seen.select(F.greatest("newest", before).alias("newest")).write.mode("overwrite").parquet(f"{self.base}/newest/epoch={epoch}")
+
+    def _table(self, schema: StructType) -> DataFrame:
+        kept = StructType([*schema.fields, *StructType.fromDDL("epoch bigint, is_late boolean").fields])
+        return self.spark.read.schema(kept).parquet(f"{self.base}/rows")
+
+    def take(self, stream: DataFrame) -> DataFrame:
+        """Route what is available now; later calls go on from there. Returns all rows so far with ``epoch`` and ``is_late``."""
+        writer = stream.writeStream.foreachBatch(self._step).option("checkpointLocation", f"{self.base}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return self._table(stream.schema)
+
+
+def dropped_by_watermark(progress: list[dict]) -> int:
+    """Rows that a query's stateful operators dropped as late, from its progress reports."""
+    return sum(op["numRowsDroppedByWatermark"] for report in progress for op in report["stateOperators"])
+
+
 def late_split(rows: DataFrame, ts_col: str, delay: str) -> DataFrame:
     """Rows flagged late when older than the newest event minus the delay."""
     newest = rows.agg(F.max(ts_col)).scalar()
