@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wattline.functions.calendar import day_of_week
 from wattline.functions.hashing import uniform
 from wattline.operators.anchors import topk
+from wattline.session import cut, scratch_path
 
 
 def split_label(key: str, train_share: float = 0.8, seed: int = 42) -> Column:
@@ -94,7 +94,49 @@ def score(model: PipelineModel, pairs: DataFrame) -> DataFrame:
     return out.withColumn("risk_probability", vector_to_array("probability")[1])
 
 
+def tree_table(model: PipelineModel) -> DataFrame:
+    """The fitted trees as a table: (tree, weight, depth, nodes), ``nodes`` by number with feature, threshold or categories, children and value.
+
+    This is the form in which Spark stores the classifier; what reads it needs no model and no library.
+    """
+    trees = model.stages[-1]
+    spark = SparkSession.active()
+    path = scratch_path(spark, "trees")
+    trees.write().save(path)
+    data = spark.read.parquet(f"{path}/data").selectExpr("treeID AS tree", "nodeData.*")
+    node = F.struct(
+        "id", F.col("split.featureIndex").alias("feature"), F.col("split.numCategories").alias("categories"), F.col("split.leftCategoriesOrThreshold").alias("left_if"),
+        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("prediction").alias("value"),
+    )
+    weights = spark.read.parquet(f"{path}/treesMetadata").select(F.col("_1").alias("tree"), F.col("_3").alias("weight"))
+    nodes = data.groupBy("tree").agg(F.sort_array(F.collect_list(node)).alias("nodes"))  # a tree has at most 2^(depth + 1) nodes
+    return nodes.join(weights, "tree").withColumn("depth", F.lit(trees.getMaxDepth()))
+
+
+def score_by_trees(rows: DataFrame, features: str, trees: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, risk_probability) by a join with the table of trees: every row walks every tree, and the leaves' weighted values are added.
+
+    ``features`` is an array column. The table is as large as the model, so it is sent along; rows are not moved before the sums.
+    """
+    walk = """aggregate(sequence(1, depth), 0, (at, step) -> CASE
+        WHEN nodes[at].left < 0 THEN at
+        WHEN nodes[at].categories < 0 THEN IF(f[nodes[at].feature] <= nodes[at].left_if[0], nodes[at].left, nodes[at].right)
+        ELSE IF(array_contains(nodes[at].left_if, f[nodes[at].feature]), nodes[at].left, nodes[at].right) END)"""
+    numbers = F.array(*[F.lit(r["tree"]) for r in trees.select("tree").orderBy("tree").collect()])  # as many as the model has rounds
+    each = rows.select(*keys, F.col(features).alias("f"), F.explode(numbers).alias("tree")).join(F.broadcast(trees), "tree")
+    leaves = each.selectExpr(*keys, f"weight * nodes[{walk}].value AS part")
+    margin = leaves.groupBy(*keys).agg(F.sum("part").alias("margin"))
+    return margin.select(*keys, (1 / (1 + F.exp(-2 * F.col("margin")))).alias("risk_probability"))
+
+
+def newest_pairs(pairs: DataFrame) -> DataFrame:
+    """The newest row of every transformer."""
+    newest = pairs.groupBy("transformer_id").agg(F.max("pair_date").alias("pair_date"))
+    return pairs.join(newest, ["transformer_id", "pair_date"], "left_semi")
+
+
 def latest_high_risk(scored: DataFrame, n: int = 20, days: int = 1) -> DataFrame:
+    """Predicted risks of the newest days, highest first."""
     newest = scored.agg(F.max("pair_date")).scalar()
     rows = scored.where((F.col("pair_date") > F.date_sub(newest, days)) & (F.col("prediction") == 1)).select("transformer_id", "pair_date", "morning_load_pct", "risk_probability")
     return topk(rows, [F.col("risk_probability").desc(), F.col("transformer_id").asc()], n)
@@ -132,12 +174,41 @@ def compare_runs(runs: DataFrame) -> DataFrame:
     return runs.agg(*best)
 
 
-def usage_clusters(features: DataFrame, cols: list[str], k: int = 4, seed: int = 42) -> DataFrame:
-    stages = [
-        VectorAssembler(inputCols=cols, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True),
-        KMeans(k=k, seed=seed, featuresCol="scaled", predictionCol="cluster"),
-    ]
-    return Pipeline(stages=stages).fit(features).transform(features).drop("raw", "scaled")
+def usage_clusters(features: DataFrame, key: str, cols: list[str], k: int = 4, rounds: int = 10) -> DataFrame:
+    """Lloyd rounds on standardised columns, each one aggregate; starts from the rows whose keys have the ``k`` least md5 digests.
+
+    The driver holds ``k`` centres. Rows with a null value take no part; a row goes to the nearest centre, the first of equals; a centre
+    without rows stays.
+    """
+    rows = features.dropna(subset=cols)
+    row = rows.agg(*[f(c).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    z = rows.withColumns({f"_z{i}": (F.col(c) - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for i, c in enumerate(cols)})
+    z = cut(z)
+    names = [f"_z{i}" for i in range(len(cols))]
+    first = z.orderBy(F.md5(F.col(key).cast("string")), key).limit(k).select(*names).collect()
+    centres = [list(r) for r in first]
+
+    def nearest():
+        far = F.array(*[sum(((F.col(n) - F.lit(x)) * (F.col(n) - F.lit(x)) for n, x in zip(names, c)), F.lit(0.0)) for c in centres])
+        return F.array_position(far, F.array_min(far)).cast("int") - 1
+
+    for _ in range(rounds if centres else 0):
+        for r in z.groupBy(nearest().alias("c")).agg(*[F.avg(n).alias(n) for n in names]).collect():  # k rows
+            centres[r["c"]] = [r[n] for n in names]
+    return z.withColumn("cluster", nearest() if centres else F.lit(None).cast("int")).drop(*names)
+
+
+def least_squares(rows: DataFrame, features: list[str], label: str) -> tuple[list[float], float]:
+    """(coefficients, intercept) from one aggregate of means and covariances; a feature that others explain gets the least norm."""
+    means = [F.avg(c).alias(f"m{i}") for i, c in enumerate([*features, label])]
+    products = [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(features) for j, b in enumerate([*features, label]) if j >= i]
+    r = rows.dropna(subset=[*features, label]).agg(*means, *products).first()
+    p = len(features)
+    if r["m0"] is None:
+        return [0.0] * p, 0.0
+    c = np.array([[r[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+    slope = np.linalg.lstsq(c, np.array([r[f"c{i}_{p}"] for i in range(p)]), rcond=None)[0]
+    return slope.tolist(), float(r[f"m{p}"] - sum(x * r[f"m{i}"] for i, x in enumerate(slope)))
 
 
 def seasonal_naive(hourly: DataFrame, key: str, horizon: int = 168) -> DataFrame:
@@ -149,18 +220,22 @@ def seasonal_naive(hourly: DataFrame, key: str, horizon: int = 168) -> DataFrame
     return ahead.where((F.col("hour") > F.col("_last")) & (F.col("hour") <= limit)).drop("_last")
 
 
-def linear_forecast(hourly: DataFrame, key: str) -> DataFrame:
-    """One linear model on weekly lag and calendar columns for all keys; fitted values with the actual ones."""
+LAGGED = ["lag_168h", "sin_h", "cos_h", "dow"]
+
+
+def with_lag(hourly: DataFrame, key: str) -> DataFrame:
+    """Hours with the value a week before, the hour as a point on a circle and the day of the week."""
     lagged = hourly.select(key, (F.col("hour") + F.expr("interval 168 hours")).cast("timestamp_ntz").alias("hour"), F.col("value").alias("lag_168h"))
     angle = F.hour("hour") * F.lit(2.0) * F.pi() / 24.0
-    rows = hourly.join(lagged, [key, "hour"]).withColumns(
-        {"sin_h": F.sin(angle), "cos_h": F.cos(angle), "dow": day_of_week(F.col("hour")).cast("double")}
-    )
-    stages = [
-        VectorAssembler(inputCols=["lag_168h", "sin_h", "cos_h", "dow"], outputCol="features"),
-        LinearRegression(featuresCol="features", labelCol="value", predictionCol="forecast", regParam=0.01),
-    ]
-    return Pipeline(stages=stages).fit(rows).transform(rows).select(key, "hour", "value", "forecast")
+    return hourly.join(lagged, [key, "hour"]).withColumns({"sin_h": F.sin(angle), "cos_h": F.cos(angle), "dow": day_of_week(F.col("hour")).cast("double")})
+
+
+def linear_forecast(hourly: DataFrame, key: str) -> DataFrame:
+    """One linear model on weekly lag and calendar columns for all keys; fitted values with the actual ones."""
+    rows = with_lag(hourly, key)
+    slope, intercept = least_squares(rows, LAGGED, "value")
+    fitted = sum((F.col(c) * F.lit(x) for c, x in zip(LAGGED, slope)), F.lit(intercept))
+    return rows.select(key, "hour", "value", fitted.alias("forecast"))
 
 
 def forecast_error(rows: DataFrame, actual: str = "value", forecast: str = "forecast") -> DataFrame:

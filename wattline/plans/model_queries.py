@@ -16,6 +16,7 @@ from wattline.plans.network_queries import aged, r8
 from wattline.plans.oracle import hav, u
 from wattline.plans.registry import register
 from wattline.plans.semantic import grid_model
+from wattline.session import cut
 from wattline.sources.spines import time_spine
 
 HOLIDAY = "2024-01-15"
@@ -439,15 +440,28 @@ def rule_scoring(g):
     return r8(A.rule_risk(pairs(g), aged(g)), "failure_probability", "health_estimate")
 
 
-@register("scale_encode")
+NUMBERS = {"morning_load_pct": "morning_load_pct", "morning_load_kw": "morning_load_kw::double", "historical_avg_load": "hist", "rated_kva": "rated_kva::double", "age_years": "age_years::double", "active_meters": "active_meters::double", "stress_vs_historical": "stress"}
+TRAIN = f"{u("transformer_id||'42'")}<0.8"
+SCALED = ", ".join(
+    f"round((coalesce({x},{c}_a)-{c}_m)/nullif({c}_s,0),6) AS {c}" for c, x in NUMBERS.items()
+)
+
+
+@register("scale_encode", f"""
+WITH {PAIRS}, t AS (SELECT pr.*, manufacturer FROM pr JOIN transformers x ON x.transformer_id=pr.transformer_id),
+a AS (SELECT {', '.join(f"avg({x}) AS {c}_a" for c, x in NUMBERS.items())} FROM t WHERE {TRAIN}),
+m AS (SELECT {', '.join(f"avg(coalesce({x},{c}_a)) AS {c}_m, stddev_samp(coalesce({x},{c}_a)) AS {c}_s" for c, x in NUMBERS.items())} FROM t, a WHERE {TRAIN}),
+n AS (SELECT manufacturer, row_number() OVER (ORDER BY count(*) DESC, manufacturer)-1 AS category_index FROM t WHERE {TRAIN} GROUP BY 1)
+SELECT t.transformer_id, pair_date, {SCALED}, coalesce(category_index, (SELECT count(*) FROM n))::int AS category_index FROM t LEFT JOIN n ON n.manufacturer=t.manufacturer, a, m""")
 def scale_encode(g):
+    """Every number imputed and scaled and the category's place, all from what the training rows gave."""
     from pyspark.ml.functions import vector_to_array
 
     rows = pairs(g)
     part = M.split_label("transformer_id")
     model = M.scale_encode(rows.where(part == "train"))
-    out = model.transform(rows.withColumns({c: F.col(c).cast("double") for c in M.NUMERIC}))
-    return out.select("transformer_id", "pair_date", F.size(vector_to_array("features")).alias("n_features"))
+    out = model.transform(rows.withColumns({c: F.col(c).cast("double") for c in M.NUMERIC})).withColumn("_x", vector_to_array("numeric_scaled"))
+    return out.select("transformer_id", "pair_date", *[F.round(F.col("_x")[i], 6).alias(c) for i, c in enumerate(M.NUMERIC)], F.col("category_index").cast("int").alias("category_index"))
 
 
 def _fitted(g):
@@ -457,16 +471,34 @@ def _fitted(g):
     return model, rows.where(part == "test")
 
 
-@register("boosted_classifier")
+def _by_both(model, rows):
+    """Probabilities of the model itself and of its table of trees."""
+    from pyspark.ml.functions import vector_to_array
+
+    keys = ["transformer_id", "pair_date"]
+    own = cut(M.score(model, rows).select(*keys, "risk_probability", "prediction", vector_to_array("features").alias("f")))
+    table = M.score_by_trees(own, "f", M.tree_table(model), keys)
+    return own.drop("f").join(table.withColumnRenamed("risk_probability", "by_trees"), keys)
+
+
+@register("boosted_classifier", f"""
+WITH {PAIRS} SELECT transformer_id, pair_date, true AS same_probability, true AS same_prediction FROM pr WHERE NOT {TRAIN}""")
 def boosted_classifier(g):
+    """Held-out rows scored by the classifier and, through a join, by the table of its trees."""
     model, test = _fitted(g)
-    return M.score(model, test).select("transformer_id", "pair_date", "risk_probability", "prediction")
+    out = _by_both(model, test)
+    same = F.abs(F.col("risk_probability") - F.col("by_trees")) < 1e-9
+    return out.select("transformer_id", "pair_date", same.alias("same_probability"), ((F.col("by_trees") > 0.5) == (F.col("prediction") == 1)).alias("same_prediction"))
 
 
-@register("batch_scoring")
+@register("batch_scoring", f"""
+WITH {PAIRS} SELECT transformer_id, max(pair_date) AS pair_date, true AS same_probability, true AS in_range FROM pr GROUP BY 1""")
 def batch_scoring(g):
+    """The newest row of every transformer, scored from the table of trees."""
     model, _ = _fitted(g)
-    return M.latest_high_risk(M.score(model, pairs(g)))
+    out = _by_both(model, M.newest_pairs(pairs(g)))
+    same = F.abs(F.col("risk_probability") - F.col("by_trees")) < 1e-9
+    return out.select("transformer_id", "pair_date", same.alias("same_probability"), F.col("by_trees").between(0, 1).alias("in_range"))
 
 
 @register("classifier_metrics", f"""
@@ -491,12 +523,30 @@ def model_selection(g):
     return M.compare_runs(Q.union(runs))
 
 
-@register("usage_clusters")
+CLUSTER_COLS = ("mean_kwh", "sd_kwh", "evening_share")
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    z = ", ".join(f"({c}-avg({c}) OVER ())/coalesce(nullif(stddev_samp({c}) OVER (), 0), 1) AS z{i}" for i, c in enumerate(CLUSTER_COLS))
+    far = "+".join(f"(z.z{i}-c.z{i})*(z.z{i}-c.z{i})" for i in range(3))
+    steps = [
+        f"f AS (SELECT meter_id, avg(usage_kwh) AS mean_kwh, coalesce(stddev_samp(usage_kwh),0) AS sd_kwh, avg(CASE WHEN extract(hour from reading_ts) BETWEEN 17 AND 21 THEN 1.0::double ELSE 0.0::double END) AS evening_share FROM readings GROUP BY 1)",
+        f"z AS MATERIALIZED (SELECT meter_id, {z} FROM f)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(meter_id), meter_id)-1 AS c, z0, z1, z2 FROM z QUALIFY c<{k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT meter_id, z0, z1, z2, c FROM (SELECT z.*, c.c, row_number() OVER (PARTITION BY meter_id ORDER BY {far}, c.c) AS rn FROM z, c{i} c) WHERE rn=1)")
+        if i < rounds:
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(avg(a.z0), any_value(c.z0)) AS z0, coalesce(avg(a.z1), any_value(c.z1)) AS z1, coalesce(avg(a.z2), any_value(c.z2)) AS z2 FROM c{i} c LEFT JOIN a{i} a ON a.c=c.c GROUP BY 1)")
+    return f"WITH {', '.join(steps)} SELECT meter_id, c::int AS cluster FROM a{rounds}"
+
+
+@register("usage_clusters", _lloyd_sql(4, 10))
 def usage_clusters(g):
     f = g.readings.groupBy("meter_id").agg(
         F.avg("usage_kwh").alias("mean_kwh"), F.coalesce(F.stddev_samp("usage_kwh"), F.lit(0.0)).alias("sd_kwh"), F.avg(F.when(F.hour("reading_ts").between(17, 21), 1.0).otherwise(0.0)).alias("evening_share")
     )
-    return M.usage_clusters(f, ["mean_kwh", "sd_kwh", "evening_share"], 4).select("meter_id", "cluster")
+    return M.usage_clusters(f, "meter_id", list(CLUSTER_COLS), 4, 10).select("meter_id", "cluster")
 
 
 def _substation_hours(g):
@@ -513,9 +563,25 @@ def hourly_forecast(g):
     return r8(M.seasonal_naive(_substation_hours(g), "substation_id"), "forecast")
 
 
-@register("linear_forecast")
+def _fitted_sql() -> str:
+    """Fitted values by regressing one column after the other on the ones before it, which needs no matrix."""
+    steps = [
+        f"{HOURS}",
+        "x AS MATERIALIZED (SELECT a.substation_id, a.hour, a.value, b.value AS x0, sin(extract(hour from a.hour)*2.0::double*pi()/24.0::double) AS x1, cos(extract(hour from a.hour)*2.0::double*pi()/24.0::double) AS x2, "
+        "(DOW)::double AS x3 FROM sh a JOIN sh b ON b.substation_id=a.substation_id AND b.hour=a.hour-INTERVAL 168 HOUR)".replace("DOW", "extract(dow from a.hour)"),
+        "w0 AS MATERIALIZED (SELECT substation_id, hour, value, x0-avg(x0) OVER () AS z0, x1-avg(x1) OVER () AS z1, x2-avg(x2) OVER () AS z2, x3-avg(x3) OVER () AS z3 FROM x)",
+    ]
+    for i in range(3):
+        later = ", ".join(f"z{j}-z{i}*(sum(z{j}*z{i}) OVER ())/nullif(sum(z{i}*z{i}) OVER (), 0) AS z{j}" for j in range(i + 1, 4))
+        kept = ", ".join(f"z{j}" for j in range(i + 1))
+        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT substation_id, hour, value, {kept}, {later} FROM w{i})")
+    fit = "+".join(f"z{j}*(sum(value*z{j}) OVER ())/nullif(sum(z{j}*z{j}) OVER (), 0)" for j in range(4))
+    return f"WITH {', '.join(steps)} SELECT substation_id, hour, round(value,8) AS value, round((avg(value) OVER ())+{fit},6) AS forecast FROM w3"
+
+
+@register("linear_forecast", _fitted_sql())
 def linear_forecast(g):
-    return M.linear_forecast(_substation_hours(g), "substation_id")
+    return r8(M.linear_forecast(_substation_hours(g), "substation_id"), "value").withColumn("forecast", F.round("forecast", 6))
 
 
 FC = f"{HOURS}, fc AS (SELECT a.substation_id, a.hour, a.value, b.value AS forecast FROM sh a JOIN sh b ON b.substation_id=a.substation_id AND b.hour=a.hour-INTERVAL 168 HOUR)"
