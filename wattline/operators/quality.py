@@ -82,22 +82,89 @@ def check_edges(edges: DataFrame) -> DataFrame:
 
 
 def check_contract(views: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Required columns that a view does not offer; compared with its schema, no data is read."""
-    spark = next(iter(views.values()))[0].sparkSession
-    need = [(name, col) for name, (_, cols) in views.items() for col in cols]
-    have = [(name, col) for name, (df, _) in views.items() for col in df.columns]
-    required = spark.createDataFrame(need, "view_name string, required_col string")
-    actual = spark.createDataFrame(have, "view_name string, required_col string").withColumn("_ok", F.lit(True))
-    return (
-        required.join(actual, ["view_name", "required_col"], "left")
-        .groupBy("view_name")
-        .agg(
-            F.countDistinct("required_col").alias("required_cols"),
-            _ones(F.col("_ok").isNull()).alias("violations"),
-            F.array_join(F.sort_array(F.collect_set(F.when(F.col("_ok").isNull(), F.col("required_col")))), ", ").alias("missing"),
-        )
-        .select(F.lit("column_contracts").alias("check_name"), F.col("view_name").alias("detail"), "required_cols", "violations", "missing", _verdict(F.col("violations")).alias("status"))
+    """Per view: required columns that it lacks, and rows in which a required column that it has is null; one aggregate a view."""
+    parts = []
+    for name, (df, required) in views.items():
+        lacking = sorted(c for c in required if c not in df.columns)
+        held = [c for c in required if c in df.columns]
+        empty = reduce(lambda x, y: x | y, [F.col(c).isNull() for c in held], F.lit(False))
+        row = df.agg(F.count(F.lit(1)).alias("row_count"), _ones(empty).alias("null_rows"))
+        bad = F.lit(len(lacking)) + F.col("null_rows")
+        parts.append(row.select(
+            F.lit("column_contracts").alias("check_name"), F.lit(name).alias("detail"), F.lit(len(set(required))).cast("bigint").alias("required_cols"), F.lit(", ".join(lacking)).alias("missing"),
+            "row_count", "null_rows", _verdict(bad).alias("status"),
+        ))
+    return union(parts)
+
+
+class TableChecks:
+    """Checks of one table that are measured together: any number of rules and references cost one scan and one aggregate."""
+
+    def __init__(self, name: str, df: DataFrame):
+        self.name, self.df = name, df
+        self.measures: list[tuple[str, str, Column]] = []
+
+    def rule(self, check: str, detail: str, bad: Column) -> TableChecks:
+        """Count the rows for which ``bad`` holds."""
+        self.measures.append((check, detail, bad))
+        return self
+
+    def position(self) -> TableChecks:
+        inside = F.col("lat").between(*LAT_RANGE) & F.col("lon").between(*LON_RANGE)
+        return self.rule("coordinate_validity", self.name, ~F.coalesce(inside, F.lit(False)))
+
+    def reference(self, detail: str, parent: DataFrame, key: str, nullable: bool = False) -> TableChecks:
+        """Count the rows whose key no parent has. Parents' keys are joined once each, so rows are never multiplied."""
+        found = f"_found{len(self.measures)}"
+        known = parent.select(F.col(key).alias(found)).where(F.col(found).isNotNull()).distinct()
+        self.df = self.df.join(known, F.col(key) == F.col(found), "left")
+        missing = F.col(found).isNull()
+        return self.rule("referential_integrity", detail, missing & F.col(key).isNotNull() if nullable else missing)
+
+    def rows(self) -> DataFrame:
+        """(check_name, detail, measured, status) with the number of violations as ``measured``."""
+        one = self.df.agg(*[_ones(bad).alias(f"_v{i}") for i, (_, _, bad) in enumerate(self.measures)])
+        each = [F.struct(F.lit(c).alias("check_name"), F.lit(d).alias("detail"), F.col(f"_v{i}").alias("v")) for i, (c, d, _) in enumerate(self.measures)]
+        return one.select(F.explode(F.array(*each)).alias("c")).select("c.check_name", "c.detail", F.col("c.v").cast("double").alias("measured"), _verdict(F.col("c.v")).alias("status"))
+
+
+def reading_profile(readings: DataFrame, meters: DataFrame) -> DataFrame:
+    """Readings by hour and county: rows, valid rows and their kWh, outage rows and those with usage. The one scan behind ``shape_checks``.
+
+    Readings are combined per meter and hour before they meet the meters; the result is bounded by hours times counties.
+    """
+    valid = F.col("quality") == "VALID"
+    out = F.col("quality") == "OUTAGE"
+    per = readings.groupBy("meter_id", trunc("HOUR", F.col("reading_ts")).alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(valid, F.col("usage_kwh"))).alias("kwh"), F.count(F.when(valid, F.col("usage_kwh"))).alias("valid"),
+        _ones(out).alias("outage"), _ones(out & (F.col("usage_kwh") != 0)).alias("outage_used"),
     )
+    joined = per.join(meters.select("meter_id", "county"), "meter_id", "left")
+    return joined.groupBy("hour", "county").agg(*[F.sum(c).alias(c) for c in ("n", "kwh", "valid", "outage", "outage_used")])
+
+
+def shape_checks(profile: DataFrame, weather: DataFrame) -> DataFrame:
+    """(check_name, detail, measured, status) of the statistical checks, all from a stored ``reading_profile``."""
+    mean = F.sum("kwh") / F.nullif(F.sum("valid"), F.lit(0))
+    none = F.nullif(F.lit(0.0), F.lit(0.0))
+
+    def by(key: Column) -> DataFrame:
+        return profile.groupBy(key.alias("k")).agg(mean.alias("m")).where("m IS NOT NULL")
+
+    def result(row: DataFrame, name: str, value: Column, ok: Column) -> DataFrame:
+        return row.select(value.alias("v"), ok.alias("ok")).select(F.lit(name).alias("check_name"), F.lit("readings").alias("detail"), F.round("v", 4).alias("measured"), F.when(F.col("ok"), "PASS").otherwise("FAIL").alias("status"))
+
+    days = by(F.to_date("hour")).agg(((F.max("m") - F.min("m")) / F.nullif(F.avg("m"), F.lit(0.0)) * 100).alias("v"))
+    warm = by(F.col("hour")).join(weather.select(F.col("hour").alias("k"), "temperature_f"), "k").agg(F.corr("m", "temperature_f").alias("v"))
+    week = by(is_weekend(F.col("hour"))).agg(F.max(F.when(F.col("k"), F.col("m"))).alias("e"), F.max(F.when(~F.col("k"), F.col("m"))).alias("d")).select((F.col("e") / F.nullif("d", F.lit(0.0))).alias("v"))
+    place = by(F.col("county")).where("k IS NOT NULL").agg((F.stddev_samp("m") / F.nullif(F.avg("m"), F.lit(0.0)) * 100).alias("v"))
+    clock = by(F.hour("hour")).agg(F.avg(F.when(F.col("k").between(17, 20), F.col("m"))).alias("e"), F.avg(F.when(F.col("k").between(0, 3), F.col("m"))).alias("o")).select((F.col("e") / F.nullif("o", F.lit(0.0))).alias("v"))
+    total = profile.agg(F.sum("outage_used").cast("double").alias("v"))
+    v = F.coalesce(F.col("v"), none)
+    return union([
+        result(days, "01_daily_variance", F.col("v"), F.round(v, 2).between(5, 30)), result(warm, "02_temp_corr", F.col("v"), v > 0.40), result(total, "04_outage_zeros", F.col("v"), v == 0),
+        result(week, "05_weekend_split", F.col("v"), v.between(1.04, 1.15)), result(place, "08_geographic_variance", F.col("v"), v >= 3), result(clock, "09_diurnal_ratio", F.col("v"), v >= 1.8),
+    ])
 
 
 def check_keys(df: DataFrame, key_cols: list[str], ts_col: str) -> DataFrame:
@@ -325,11 +392,6 @@ def duplicate_slots(readings: DataFrame) -> DataFrame:
     return readings.groupBy("meter_id", slot(F.col("reading_ts")).alias("slot_ts")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def report(checks: list[DataFrame]) -> DataFrame:
-    """One table from checks of different shapes: name, result and the other columns as JSON detail."""
-    parts = []
-    for df in checks:
-        verdict = "result" if "result" in df.columns else "status"
-        rest = [c for c in df.columns if c not in ("check_name", verdict)]
-        parts.append(df.select("check_name", F.col(verdict).alias("status"), F.to_json(F.struct(*rest)).alias("detail")))
-    return union(parts)
+def report(tables: list[TableChecks], profile: DataFrame, weather: DataFrame) -> DataFrame:
+    """Every check of every table as (check_name, detail, measured, status): one aggregate per table, and the shape of the readings from its profile."""
+    return union([t.rows() for t in tables] + [shape_checks(profile, weather)])

@@ -16,10 +16,11 @@ def backfill(
     path: str,
     dry_run: bool = False,
     paused: Callable[[], bool] = lambda: False,
+    keep_going: bool = False,
 ) -> DataFrame:
     """Write one ``day=`` partition per day; each is validated after it is written.
 
-    A day that fails, raises or meets the pause flag ends the run.  Days are independent Spark jobs; rerunning one
+    A day that fails, raises or meets the pause flag ends the run; with ``keep_going`` days that fail are logged and the next one follows.  Days are independent Spark jobs; rerunning one
     replaces its partition.
     """
     log = []
@@ -36,7 +37,7 @@ def backfill(
             written = spark.read.parquet(target)
             result = gate(written, day).first()
             log.append((day, result["verdict"], written.count(), result["reason"], _now()))
-            if result["verdict"] == "FAIL":
+            if result["verdict"] == "FAIL" and not keep_going:
                 break
         except Exception as error:  # the log keeps the failure, the run stops
             log.append((day, "ERROR", None, str(error)[:500], _now()))
