@@ -175,9 +175,10 @@ def coverage(substations: DataFrame, transformers: DataFrame, meters: DataFrame,
     )
 
 
-def coverage_gaps(meters: DataFrame, substations: DataFrame, least: int = 10, res: int = 9) -> DataFrame:
-    """Thin cells with the distance to the nearest substation."""
-    cells = with_cell(meters, res).groupBy("cell").agg(F.count(F.lit(1)).alias("meter_count")).where(F.col("meter_count") < least)
+def coverage_gaps(meters: DataFrame, substations: DataFrame, least: int | None = 10, res: int = 9) -> DataFrame:
+    """Cells with fewer than ``least`` meters (all of them without a limit) and the distance to the nearest substation."""
+    cells = with_cell(meters, res).groupBy("cell").agg(F.count(F.lit(1)).alias("meter_count"))
+    cells = cells if least is None else cells.where(F.col("meter_count") < least)
     lat, lon = G.center(F.col("cell"), res)
     centers = cells.withColumns({"lat": lat, "lon": lon})
     hits = nearest(centers, substations, "cell", "substation_id")

@@ -223,7 +223,7 @@ def validate_chunk(readings: DataFrame, meters: DataFrame, transformers: DataFra
         {
             "fk_orphans": orphan,
             "capacity_breaches": breach,
-            "expected_rows": F.lit(expected_rows).cast("bigint"),
+            "expected_rows": F.lit(round(expected_rows)).cast("bigint"),
         }
     ).withColumn("row_count_pct", F.round(F.col("total_readings") * 100.0 / F.nullif("expected_rows", F.lit(0)), 2))
     tests = [

@@ -119,9 +119,16 @@ def idempotent_append(g):
     return once.unionByName(INC.append_new(once, keyed, "row_id").select(*half.columns))
 
 
-@register("file_listing")
+FILES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@register("file_listing", " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, true AS has_bytes, count(*) AS row_count FROM {t}" for t in FILES))
 def file_listing(g):
-    return IO.list_docs(g.spark, g.folder, ".parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """Every Parquet file of the folder with its rows, which are counted from the files' footers."""
+    listed = IO.list_docs(g.spark, g.folder, ".parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") > 0).alias("has_bytes"))
+    files = g.spark.read.schema("none int").parquet(f"{g.folder}/*.parquet")
+    counted = files.groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("row_count"))
+    return listed.join(counted, "name")
 
 
 @register("raw_json_landing", "SELECT meter_id, reading_ts, usage_kwh, voltage_v FROM readings WHERE quality<>'ESTIMATED'")

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from wattline.functions import geometry as G
-from wattline.operators import graph, maintenance as T
+from wattline.operators import maintenance as T
+from wattline.operators.anchors import latest
 from wattline.operators.search import cosine
 from wattline.plans import procedures as P
 from wattline.plans import readings_queries, spatial_queries  # noqa: F401  (their checks are reused below)
@@ -61,22 +62,44 @@ def fn_vector(g):
 SELECT 'nearby' AS kind, transformer_id AS id, round({hav('29.78', '-95.35', 'lat', 'lon')},6) AS value FROM transformers WHERE {hav('29.78', '-95.35', 'lat', 'lon')}<=20
 UNION ALL SELECT 'meter', meter_id, round({hav('29.78', '-95.35', 'lat', 'lon')}*1000,1) FROM meters WHERE {hav('29.78', '-95.35', 'lat', 'lon')}*1000<=9000
 UNION ALL SELECT 'downstream', 'SUB-0007', 0 UNION ALL SELECT 'downstream', transformer_id, 1 FROM transformers WHERE substation_id='SUB-0007'
-UNION ALL SELECT 'downstream', meter_id, 2 FROM meters m JOIN transformers t USING (transformer_id) WHERE t.substation_id='SUB-0007'""")
+UNION ALL SELECT 'downstream', meter_id, 2 FROM meters m JOIN transformers t USING (transformer_id) WHERE t.substation_id='SUB-0007'
+UNION ALL SELECT 'coverage', cell, total_capacity_kva+meter_count FROM ({CHECKS['territory_coverage']}) c
+UNION ALL SELECT gap_type, cell, nearest_substation_km FROM ({CHECKS['coverage_gaps']}) d""")
 def table_functions(g):
+    """All five table functions, called from SQL text; two with their default parameters."""
     P.install_functions(g.spark, g)
     return g.spark.sql(
         "SELECT 'nearby' AS kind, transformer_id AS id, round(distance_km, 6) AS value FROM grid_find_nearby(29.78D, -95.35D, 20.0D)"
         " UNION ALL SELECT 'meter', meter_id, distance_m FROM grid_meters_near(29.78D, -95.35D, 9000.0D)"
         " UNION ALL SELECT 'downstream', downstream_id, cast(hops AS double) FROM grid_downstream('SUB-0007')"
+        " UNION ALL SELECT 'coverage', cell, total_capacity_kva + meter_count FROM grid_coverage()"
+        " UNION ALL SELECT gap_type, cell, round(nearest_substation_km, 8) FROM grid_coverage_gaps()"
     )
 
 
-@register("table_procedures", """
-SELECT t.transformer_id, t.health_score, (SELECT count(*) FROM transformers s WHERE s.substation_id=t.substation_id)-1 AS connected_transformers,
- (SELECT count(*) FROM meters m WHERE m.transformer_id=t.transformer_id) AS downstream_customers FROM transformers t WHERE t.health_score<40""")
+ONE_CHUNK = ("run-1", 2, "2024-01-05 00:00:00", "2024-01-06 00:00:00")
+
+
+@register("table_procedures", f"""
+SELECT 'cascade_impact' AS procedure, substation_id AS id, impact_level AS outcome, affected_customers::double AS value FROM ({CHECKS['cascade_impact']}) a WHERE substation_id='SUB-0007'
+UNION ALL SELECT 'load_shed', circuit_id, shed_order::varchar, cumulative_shed_mw FROM ({CHECKS['substation_shed']}) b WHERE substation_id='SUB-0007'
+UNION ALL SELECT 'propagation_risk', transformer_id, propagation_risk, connected_transformers::double FROM ({CHECKS['propagation_risk']}) c WHERE transformer_id='XF-000017'
+UNION ALL SELECT 'validate_chunk', 'run-1/2', verdict, total_readings::double FROM ({CHECKS['dq_chunk']}) d
+UNION ALL SELECT 'validated_run', 'run-1/'||n, CASE WHEN n=2 THEN verdict END, NULL FROM ({CHECKS['dq_chunk']}) d, (VALUES (1),(2)) v(n)""")
 def table_procedures(g):
-    out = graph.propagation_risk(g.transformers, g.meters, "2024-02-01")
-    return out.where("health_score < 40").select("transformer_id", "health_score", "connected_transformers", "downstream_customers")
+    """All four procedures: impact of a substation, its shedding sequence, the risk of a transformer, the verdict on a logged chunk."""
+    impact = P.cascade_impact(g, "SUB-0007").select(F.lit("cascade_impact").alias("procedure"), F.col("substation_id").alias("id"), F.col("impact_level").alias("outcome"), F.col("affected_customers").cast("double").alias("value"))
+    k = F.col("k") % 4
+    classed = g.circuits.withColumn("priority_class", F.when(k == 0, "CRITICAL").when(k == 1, "HIGH").when(k == 2, "MEDIUM").otherwise("LOW"))
+    since = latest(g.readings, "reading_ts") - F.expr("interval 10 days")
+    shed = P.load_shed(g, classed, "SUB-0007", 0.02, since).select(F.lit("load_shed"), "circuit_id", F.col("shed_order").cast("string"), F.round("cumulative_shed_mw", 10))
+    risk = P.propagation_risk(g, "XF-000017", "2024-02-01").select(F.lit("propagation_risk"), "transformer_id", "propagation_risk", F.col("connected_transformers").cast("double"))
+    run, chunk, start, end = ONE_CHUNK
+    runs = g.spark.createDataFrame([(run, n, start, end, 400 / 96 if n == chunk else 1.0, None) for n in (1, 2)], "run_id string, chunk_id int, from_ts string, to_ts string, meter_sample double, validation_json string")
+    verdict, marked = P.validate_chunk(g, runs, run, chunk)
+    judged = verdict.select(F.lit("validate_chunk"), F.lit(f"{run}/{chunk}"), "verdict", F.col("total_readings").cast("double"))
+    logged = marked.select(F.lit("validated_run"), F.concat_ws("/", "run_id", "chunk_id"), F.get_json_object("validation_json", "$.verdict"), F.lit(None).cast("double"))
+    return reduce(DataFrame.union, [impact, shed, risk, judged, logged])
 
 
 @register("scalar_procedures", """

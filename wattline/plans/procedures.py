@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from wattline.functions import geometry as G
+from wattline.operators import geo
+from wattline.operators import graph
 from wattline.operators import load as L
 from wattline.operators import maintenance as T
+from wattline.operators import quality as Q
 from wattline.operators import search as X
 from wattline.sources.derived import GridTables
 from wattline.streaming import changes as C
@@ -16,10 +20,25 @@ _DISTANCE = (
 )
 
 
+def _cells(g: GridTables) -> DataFrame:
+    """Every asset once per resolution with its cell there."""
+    none = F.lit(0.0)
+    parts = [(g.substations, "SUBSTATION", F.col("capacity_mva") * 1000.0), (g.transformers, "TRANSFORMER", F.col("rated_kva").cast("double")), (g.meters, "METER", none)]
+    each = [df.select(F.lit(kind).alias("kind"), "lat", "lon", kva.alias("kva")) for df, kind, kva in parts]
+    rows = each[0].unionByName(each[1]).unionByName(each[2])
+    at = F.array(*[F.struct(F.lit(r).alias("resolution"), G.cell(F.col("lat"), F.col("lon"), r).alias("cell")) for r in G.EDGE_M])
+    return rows.select("kind", "kva", F.explode(at).alias("_at")).select("kind", "kva", "_at.*")
+
+
 def install_functions(spark: SparkSession, g: GridTables) -> list[str]:
-    """Session views of the tables plus SQL functions over them, so the lookups can be called from SQL text."""
+    """Session views of the tables plus SQL functions over them, so the lookups can be called from SQL text.
+
+    The distance of every meter cell to its nearest substation is searched here, once; ``grid_coverage_gaps`` reads it.
+    """
     for name in ("substations", "circuits", "transformers", "meters"):
         getattr(g, name).createOrReplaceTempView(f"grid_{name}")
+    _cells(g).createOrReplaceTempView("grid_cells")
+    geo.coverage_gaps(g.meters, g.substations, least=None).createOrReplaceTempView("grid_cell_distances")
     km = _DISTANCE.format(a1="lat1", a2="lon1", b1="lat2", b2="lon2")
     near = _DISTANCE.format(a1="p_lat", a2="p_lon", b1="t.lat", b2="t.lon")
     # A box around the circle, which a scan can use; near the poles it spans all longitudes.
@@ -42,6 +61,13 @@ def install_functions(spark: SparkSession, g: GridTables) -> list[str]:
                    UNION ALL SELECT t.transformer_id, 'TRANSFORMER', 1 FROM grid_transformers t WHERE t.substation_id = p_asset
                    UNION ALL SELECT m.meter_id, 'METER', 2 FROM grid_meters m JOIN grid_transformers t ON t.transformer_id = m.transformer_id
                              WHERE t.substation_id = p_asset""",
+        "grid_coverage": """(p_resolution INT DEFAULT 7)
+            RETURNS TABLE (cell STRING, substation_count BIGINT, transformer_count BIGINT, meter_count BIGINT, total_capacity_kva DOUBLE)
+            RETURN SELECT c.cell, count_if(c.kind = 'SUBSTATION'), count_if(c.kind = 'TRANSFORMER'), count_if(c.kind = 'METER'), sum(c.kva)
+                   FROM grid_cells c WHERE c.resolution = p_resolution GROUP BY c.cell""",
+        "grid_coverage_gaps": """(p_least BIGINT DEFAULT 10)
+            RETURNS TABLE (cell STRING, center_lat DOUBLE, center_lon DOUBLE, meter_count BIGINT, nearest_substation_km DOUBLE, gap_type STRING)
+            RETURN SELECT d.cell, d.center_lat, d.center_lon, d.meter_count, d.nearest_substation_km, d.gap_type FROM grid_cell_distances d WHERE d.meter_count < p_least""",
     }
     for name, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
@@ -71,3 +97,36 @@ def process_documents(docs: DataFrame, key: str, text: str, size_col: str, max_b
     written = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     report = marked.select(key, "status").join(written, key, "left").select(key, "status", F.coalesce("n", F.lit(0)).alias("chunks_written"))
     return chunks, report
+
+
+def cascade_impact(g: GridTables, substation_id: str, radius_km: float = 12.0, include_secondary: bool = True) -> DataFrame:
+    """What one substation and those connected to it carry; only rows of these substations are read further."""
+    links = graph.connected_substations(g.substations, radius_km).where(F.col("source_substation_id") == substation_id)
+    near = links.select(F.col("connected_substation_id").alias("substation_id")).unionByName(g.substations.where(F.col("substation_id") == substation_id).select("substation_id")).distinct()
+    subs = g.substations.join(near, "substation_id", "left_semi")
+    out = graph.cascade_impact(subs, links, g.transformers.join(near, "substation_id", "left_semi"), g.meters, g.customers, include_secondary)
+    return out.where(F.col("substation_id") == substation_id)
+
+
+def load_shed(g: GridTables, circuits: DataFrame, substation_id: str, overload_mw: float, since: Column) -> DataFrame:
+    """Shedding sequence of one substation's circuits (with ``priority_class``)."""
+    own = circuits.where(F.col("substation_id") == substation_id)
+    return graph.load_shed(graph.feeder_loads(own, g.meters, g.customers, g.readings, since), overload_mw)
+
+
+def propagation_risk(g: GridTables, transformer_id: str, as_of: str) -> DataFrame:
+    """Siblings, customers and risk of one transformer; its substation's rows only."""
+    home = g.transformers.where(F.col("transformer_id") == transformer_id).select("substation_id")
+    around = g.transformers.join(home, "substation_id", "left_semi")
+    return graph.propagation_risk(around, g.meters, as_of).where(F.col("transformer_id") == transformer_id)
+
+
+def validate_chunk(g: GridTables, runs: DataFrame, run_id: str, chunk_id: int) -> tuple[DataFrame, DataFrame]:
+    """Judge a logged chunk (run_id, chunk_id, from_ts, to_ts, meter_sample) and return (verdict row, runs with the verdict on the chunk's row)."""
+    own = (F.col("run_id") == run_id) & (F.col("chunk_id") == chunk_id)
+    chunk = runs.where(own).first()
+    if chunk is None:
+        raise ValueError(f"no chunk {chunk_id} in run {run_id}")
+    verdict = Q.validate_chunk(g.readings, g.meters, g.transformers, str(chunk["from_ts"]), str(chunk["to_ts"]), chunk["meter_sample"] * 96)
+    kept = verdict.select(F.to_json(F.struct("verdict", "reason", "details"))).first()[0]
+    return verdict, runs.withColumn("validation_json", F.when(own, F.lit(kept)).otherwise(F.col("validation_json")))
