@@ -3,8 +3,9 @@
 No piece has white space after its first other character, so a text falls into chunks (white space, then the rest of a word) that are
 merged independently. A chunk starts as its characters; an agenda holds the adjacent pairs that form a piece, best score first and
 leftmost among equals, and each merge puts the pairs with its new neighbours on the agenda. What is no piece at the end becomes byte
-pieces. Every chunk that a task meets for the first time is compared with the sentencepiece library, a batch of them at a time; if they
-ever differ, the library's ids are used and the row's ``agrees`` is false.
+pieces. The new chunks of a batch share their steps: they are rows of a matrix of symbols, the agenda is a matrix of the pairs' ranks, and
+a step merges every row's best pair. Long chunks have a heap each. Every chunk that a task meets for the first time is compared with the
+sentencepiece library, a batch of them at a time; if they ever differ, the library's ids are used and the row's ``agrees`` is false.
 
 Defined cases: a null text is an empty one and has no ids; equal texts get equal rows; other columns are ignored.
 """
@@ -24,6 +25,9 @@ SPACE = "▁"
 #: Chunks that a task remembers, and rows that it works on at a time.
 REMEMBERED = 500_000
 ROWS = 512
+#: Lengths of the chunks that share a matrix; longer ones have a heap.
+LENGTHS = (8, 16, 32, 64)
+_NONE = np.iinfo(np.int32).max
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -50,10 +54,89 @@ class Codec:
                 self.byte_ids[value], self.bytes_of[i] = i, bytes([value])
             elif lib.is_control(i):
                 self.bytes_of[i] = b""
+        self._tables()
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.again: set[str] = set()
         self.differing: set[str] = set()
 
+    def _tables(self) -> None:
+        """Symbols (pieces and the characters in them) by number, and for each pair of symbols that forms a piece its rank and the piece."""
+        symbols = list(dict.fromkeys([*self.ids, *{c for p in self.ids for c in p}]))
+        number = {p: i for i, p in enumerate(symbols)}
+        self.vocabulary = np.array([self.ids.get(p, -1) for p in symbols] + [-1], np.int64)
+        order = {x: i for i, x in enumerate(sorted({-x for x in self.scores.values()}))}
+        pairs = [(number[a] * (len(symbols) + 1) + number[b], order[-self.scores[p]], number[p]) for p in self.ids for i in range(1, len(p)) if (a := p[:i]) in number and (b := p[i:]) in number]
+        pairs.sort()
+        self.keys, self.ranks, self.made = (np.array(x, kind) for x, kind in zip(zip(*pairs), (np.int64, np.int32, np.int32)))
+        self.unknown = len(symbols)  # forms no pair
+        self.of_code = np.full(0x110000, self.unknown, np.int32)
+        for p, i in number.items():
+            if len(p) == 1:
+                self.of_code[ord(p)] = i
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of pairs of symbols; no piece has the last rank."""
+        key = left.astype(np.int64) * (self.unknown + 1) + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = self.keys[at] == key
+        return np.where(found, self.ranks[at], _NONE), self.made[at]
+
+    def _matrix(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge the rows of a matrix of symbols; ``sizes`` says how many a row has. Returns both as they are at the end."""
+        width = symbols.shape[1]
+        rank, _ = self._ranked(symbols[:, :-1], symbols[:, 1:])
+        rank[np.arange(width - 1)[None, :] >= (sizes - 1)[:, None]] = _NONE
+        done, out, out_sizes = np.arange(len(symbols)), symbols.copy(), sizes.copy()
+        places = np.arange(width)[None, :]
+        while len(done):
+            at = rank.argmin(1)  # the leftmost of equals
+            rows = np.arange(len(done))
+            open_ = rank[rows, at] != _NONE
+            if not open_.all():
+                out[done[~open_]], out_sizes[done[~open_]] = symbols[~open_], sizes[~open_]
+                done, symbols, sizes, rank, at = done[open_], symbols[open_], sizes[open_], rank[open_], at[open_]
+                rows = np.arange(len(done))
+                if not len(done):
+                    break
+            _, piece = self._ranked(symbols[rows, at], symbols[rows, at + 1])
+            # What stands right of the pair moves one place to the left.
+            moved = np.minimum(places + (places > at[:, None]), width - 1)
+            symbols, sizes = np.take_along_axis(symbols, moved, 1), sizes - 1
+            symbols[rows, at] = piece
+            moved = np.minimum(places[:, :-1] + (places[:, :-1] >= at[:, None]), width - 2)
+            rank = np.take_along_axis(rank, moved, 1)
+            rank[:, -1] = _NONE
+            right = at < sizes - 1
+            rank[rows[right], at[right]] = self._ranked(piece[right], symbols[rows[right], at[right] + 1])[0]
+            rank[rows[~right], np.minimum(at[~right], width - 2)] = _NONE
+            left = at > 0
+            rank[rows[left], at[left] - 1] = self._ranked(symbols[rows[left], at[left] - 1], piece[left])[0]
+        return out, out_sizes
+
+    def many(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of many chunks."""
+        out: list[list[int] | None] = [None] * len(chunks)
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        shortest = 0
+        for width in LENGTHS:
+            own = np.flatnonzero((lengths > shortest) & (lengths <= width))
+            shortest = width
+            if not len(own):
+                continue
+            codes = np.frombuffer("".join([chunks[i] for i in own]).encode("utf-32-le"), np.uint32)
+            sizes = lengths[own]
+            held = np.arange(width)[None, :] < sizes[:, None]
+            symbols = np.full((len(own), width), self.unknown, np.int32)
+            symbols[held] = self.of_code[codes]
+            symbols, sizes = self._matrix(symbols, sizes)
+            held = np.arange(width)[None, :] < sizes[:, None]
+            ids = np.where(held, self.vocabulary[symbols], 0)
+            odd = (ids < 0).any(1)
+            for i, row, n, alone in zip(own.tolist(), ids.tolist(), sizes.tolist(), odd.tolist()):
+                if not alone:
+                    out[i] = row[:n]
+        return [ids if ids is not None else self.chunk_ids(c) for ids, c in zip(out, chunks)]
+
     def merged(self, chunk: str) -> list[str]:
         """The pieces of a chunk: merge the best pair on the agenda until none is left."""
         scores, parts, n = self.scores, list(chunk), len(chunk)
@@ -119,8 +202,7 @@ class Codec:
         fresh = list(fresh)
         theirs = self.library.encode([w for w in fresh if w], num_threads=1) if fresh else []
         checked = iter(theirs)
-        for w in fresh:
-            ids = self.chunk_ids(SPACE + w.replace(" ", SPACE))
+        for w, ids in zip(fresh, self.many([SPACE + w.replace(" ", SPACE) for w in fresh])):
             expected = next(checked) if w else [self.library.piece_to_id(SPACE)]
             if ids != expected:
                 self.differing.add(w)
