@@ -86,5 +86,39 @@ def test_repeated_runs_inside_articles_go_and_copies_stay(spark, monkeypatch):
         assert all(got[50 + i] == own(500) for i in range(3))
 
 
+def test_names_inside_articles_are_whole_names(spark):
+    body = {
+        "discussion": '<section id="discussion"><p>We discuss the results</p></section>', "hyphen": '<p class="ad-hoc">An ad hoc group met</p>', "heading": '<h2 id="related-work">Related work</h2>',
+        "title": '<div class="entry-header"><h1>The title</h1></div>', "share": '<div class="share">Share this</div>', "letter": '<div class="box newsletter">Sign up</div>', "comments": '<div id="comments"><p>first!</p></div>',
+        "outside": "<p>x</p></article><div class=\"site-footer\">end</div><article>",
+    }
+    rows = [(i, f"http://{k}.example/", f"<article>{v}<p>Own text</p></article>") for i, (k, v) in enumerate(body.items())]
+    got = {r.page_id: r.text for r in page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    kept = ["We discuss the results\n", "An ad hoc group met\n", "Related work\n", "The title\n", "", "", "", "x\n"]
+    assert got == {i: k + "Own text" for i, k in enumerate(kept)}
+
+
+def test_main_blocks_equal_a_plain_count(spark, monkeypatch):
+    """A host of random articles from few paragraphs: what stays is what a count of voting contents leaves."""
+    import random
+
+    rng = random.Random(6)
+    common = [" ".join(f"c{k}w{j}" for j in range(rng.choice([4, 8, 12]))) for k in range(8)]
+    articles = [[" ".join(f"u{i}p{p}w{j}" for j in range(rng.choice([3, 15, 30]))) if rng.random() < 0.6 else rng.choice(common) for p in range(rng.randrange(1, 7))] for i in range(60)]
+    articles += articles[:10]
+    rows = [(i, "http://h.example/", "<nav>menu</nav><article>" + "".join(f"<p>{p}</p>" for p in a) + "</article>") for i, a in enumerate(articles)]
+    monkeypatch.setattr(page_text, "ROWS_A_PART", 40)
+    got = {r.page_id: r.text for r in page_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    contents = {tuple(a) for a in articles}
+    holders = {p: {a for a in contents if p in a} for a in contents for p in a if len(p.split()) >= page_text.RUN}
+
+    def votes(a):
+        size = sum(len(p.split()) for p in a)
+        return 2 * sum(len(p.split()) for p in a if len(holders.get(p, ())) < 2) >= size
+
+    gone = {p for p, own in holders.items() if len(own) > 1 and sum(map(votes, own)) >= page_text.MAIN_VOTES}
+    assert gone and got == {i: "\n".join(p for p in a if p not in gone) for i, a in enumerate(articles)}
+
+
 def test_no_pages(spark):
     assert page_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

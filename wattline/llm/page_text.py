@@ -2,14 +2,17 @@
 
 Each page is cut into blocks of text. Blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments are furniture;
 blocks in an ``article`` (or else ``main``) element are the page's main blocks; the rest is open. All blocks of a page are its token
-stream: the frame (furniture and open blocks) in order, then the main blocks. The streams of a host's pages are searched for runs of
-``RUN`` tokens that are in at least two distinct contents of the host (exact copies of a page count once): suffixes are range-partitioned
-by host and leading tokens with sampled splitters, sorted, and compared with their neighbours, also across partitions.
-
-Markup is a hint for how much a run must show. On pages without main blocks, open tokens in repeated runs are boilerplate. Main tokens are
-boilerplate if ``MAIN_VOTES`` distinct contents vote for their run; a page votes if at least half of its own words are in no repeated run,
-so near copies of an article, which repeat nearly all of it, do not erase each other. The rest of the main (or else open) blocks stays.
-Equal suffixes are ordered by content and page, so a host or a run of any number of pages spreads over partitions.
+stream: the frame (furniture and open blocks) in order, then the main blocks. The streams of a host's pages are searched for runs that
+are in at least two distinct contents of the host (exact copies of a page count once): suffixes are range-partitioned by host and leading
+tokens with sampled splitters, sorted, and compared with their neighbours, also across partitions. In the frame a run is any ``RUN``
+tokens in a row. A main block is one run, from its first token to its last, if it has ``RUN`` tokens: text inside a paragraph is a
+page's own, so main blocks go whole or stay whole, and the sort has one row for each of them.
+
+Markup is a hint for how much a run must show. On pages without main blocks, open tokens in repeated runs are boilerplate. A main block is
+boilerplate if ``MAIN_VOTES`` distinct contents vote for it; a page votes if at least half of its own words are in no repeated run, so
+near copies of an article, which repeat nearly all of it, do not erase each other. Inside an article, class names and ids count as
+furniture only where the whole name is one that pages use for it. The rest of the main (or else open) blocks stays. Equal suffixes are
+ordered by content and page, so a host or a run of any number of pages spreads over partitions.
 
 White space is that of HTML and the no-break space. Defined cases: a null or empty page has an empty text; broken markup is read as far as
 it goes (an unclosed tag ends with its parent); repeated rows are one page; a page without host shares one with others of that kind; other
@@ -52,6 +55,8 @@ NAMES = frozenset(
     "footer gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup "
     "promo promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Names that also head sections of an article's own text.
+IN_TEXT = frozenset("discussion header notice notices related replies reply respond search share".split())
 #: Start tags that end an open element of the same kind.
 SIBLINGS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -67,7 +72,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 KEPT, MAIN, OPEN, DROPPED = 0, 1, 2, 3
 
 
-def _named_furniture(attributes: str) -> bool:
+def _named_furniture(attributes: str, inside: bool = False) -> bool:
+    """Whether the attributes of a tag say furniture; ``inside`` an article only whole names do, and ids only if no section of text has them."""
     if not attributes or attributes.isspace():
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -78,7 +84,10 @@ def _named_furniture(attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(_NAME_PARTS.findall(_CAMEL.sub("-", value).lower())):
+        if inside:
+            if name == "class" and not NAMES.isdisjoint(value.lower().split()) or name == "id" and value.lower() in NAMES - IN_TEXT:
+                return True
+        elif name in ("class", "id") and not NAMES.isdisjoint(_NAME_PARTS.findall(_CAMEL.sub("-", value).lower())):
             return True
     return False
 
@@ -138,7 +147,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         new, only = zone, heading_only
         if zone != DROPPED:
-            if name in FURNITURE or _named_furniture(attributes):
+            if name in FURNITURE or _named_furniture(attributes, zone in (KEPT, MAIN)):
                 new = DROPPED
             elif name == "header":
                 new, only = (DROPPED, True) if zone in (KEPT, MAIN) else (DROPPED, False)
@@ -193,11 +202,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from (batch.slice(i, PAGES_AT_ONCE) for i in range(0, batch.num_rows, PAGES_AT_ONCE))
 
 
+SEEDS = ((0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD), (0xC2B2AE3D27D4EB4F, 0xC4CEB9FE1A85EC53))
+
+
 def _window_keys(host: int, tokens: np.ndarray) -> np.ndarray:
     """128-bit hashes, as two columns, of the host and each RUN tokens in a row."""
     n = max(0, len(tokens) - RUN + 1)
     out = np.empty((n, 2), np.uint64)
-    for column, (seed, factor) in enumerate(((0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD), (0xC2B2AE3D27D4EB4F, 0xC4CEB9FE1A85EC53))):
+    for column, (seed, factor) in enumerate(SEEDS):
         h = np.full(n, host ^ seed, np.uint64)
         for k in range(RUN):
             h = (h ^ tokens[k : k + n]) * np.uint64(factor)
@@ -207,25 +219,27 @@ def _window_keys(host: int, tokens: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes of each page's stream by hashes of host and RUN tokens, with content and place; none goes from the frame into the main blocks."""
+    """Hashes of host and run for the frame's suffixes and for whole main blocks, with content and place."""
     for batch in _slices(batches):
         known: dict[str, int] = {}
         keys, contents, pages, places = [], [], [], []
         for page, host, stream, frame, content, main in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "stream", "frame", "content", "main"))):
-            base, found = 0, []
-            for part in (stream[:frame], stream[frame:]):
-                words = [w for t in part for w in t.split()]
-                for w in set(words).difference(known):
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-                found.append((base, _window_keys(int.from_bytes(host, "big"), np.array([known[w] for w in words], np.uint64))))
-                base += len(words)
-            # A run in the frame and in the main blocks of a page is in one content.
-            own = (np.isin(found[0][1][:, 0], found[1][1][:, 0]), np.ones(len(found[1][1]), bool))
-            for (start, key), in_main in zip(found, own):
-                keys.append(key)
-                contents.append(np.where(in_main, np.int64(main), np.int64(content)))
-                pages.append(np.full(len(key), page, np.int64))
-                places.append(np.arange(start, start + len(key), dtype=np.int32))
+            words = [w for t in stream[:frame] for w in t.split()]
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh3_64_intdigest(w)
+            windows = _window_keys(int.from_bytes(host, "big"), np.array([known[w] for w in words], np.uint64))
+            whole, starts, base = [], [], len(words)
+            for t in stream[frame:]:
+                size = t.count(" ") + 1
+                if size >= RUN:
+                    digest = xxhash.xxh3_128_intdigest(host + t.encode())
+                    whole.append((digest >> 64, digest & (1 << 64) - 1))
+                    starts.append(base)
+                base += size
+            keys += [windows, np.array(whole, np.uint64).reshape(-1, 2)]
+            contents += [np.full(len(windows), content, np.int64), np.full(len(whole), main, np.int64)]
+            pages.append(np.full(len(windows) + len(whole), page, np.int64))
+            places += [np.arange(len(windows), dtype=np.int32), np.array(starts, np.int32)]
         if keys:
             both = np.concatenate(keys).view(np.int64)
             columns = [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), *(np.concatenate(x) for x in (contents, pages, places))]
@@ -272,12 +286,20 @@ def _starts(runs: DataFrame, name: str) -> DataFrame:
     return runs.groupBy("page").agg(F.collect_set("place").alias(name))
 
 
-def _free(words: list[list[str]], starts: list[int] | None) -> np.ndarray:
-    """Which tokens of a stream are in none of the runs."""
+def _free(words: list[list[str]], frame: int, starts: list[int] | None) -> np.ndarray:
+    """Which tokens of a stream are in none of the runs: RUN tokens each in the frame, whole blocks after it."""
     edge = np.zeros(sum(map(len, words)) + 1, np.int64)
     at = np.array(starts or [], np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + RUN, -1)
+    base = sum(map(len, words[:frame]))
+    in_frame = at[at < base]
+    np.add.at(edge, in_frame, 1)
+    np.add.at(edge, in_frame + RUN, -1)
+    repeated = set(at[at >= base].tolist())
+    for block in words[frame:]:
+        if base in repeated:
+            edge[base] += 1
+            edge[base + len(block)] -= 1
+        base += len(block)
     return np.cumsum(edge)[:-1] == 0
 
 
@@ -285,10 +307,10 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pages of which at least half of the own words are in no repeated run."""
     for batch in _slices(batches):
         pages = []
-        for page, stream, own, starts in zip(*(batch.column(c).to_pylist() for c in ("page", "stream", "own", "twice"))):
+        for page, stream, own, frame, starts in zip(*(batch.column(c).to_pylist() for c in ("page", "stream", "own", "frame", "twice"))):
             words = [t.split() for t in stream]
             mine = np.repeat(np.array(own, bool), [len(w) for w in words])
-            if mine.any() and 2 * _free(words, starts)[mine].sum() >= mine.sum():
+            if mine.any() and 2 * _free(words, frame, starts)[mine].sum() >= mine.sum():
                 pages.append(page)
         yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64())], names=["page"])
 
@@ -298,7 +320,7 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for stream, owned, frame, twice, voted in zip(*(batch.column(c).to_pylist() for c in ("stream", "own", "frame", "twice", "voted"))):
             words = [t.split() for t in stream]
-            free, kept, base = _free(words, voted if any(owned[frame:]) else twice), [], 0
+            free, kept, base = _free(words, frame, voted if any(owned[frame:]) else twice), [], 0
             for block, is_own in zip(words, owned):
                 own = free[base : base + len(block)]
                 base += len(block)
@@ -320,7 +342,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     runs = stored(repeated_runs(parsed), "repeated-runs")
     twice = stored(_starts(runs, "twice"), "repeated-places")
     # Pages without repeats vote for nothing, so only the others are looked at.
-    votes = stored(parsed.select("page", "stream", "own").join(twice, "page").mapInArrow(_votes, "page long").distinct(), "voting-pages")
+    votes = stored(parsed.select("page", "stream", "own", "frame").join(twice, "page").mapInArrow(_votes, "page long").distinct(), "voting-pages")
     sure = runs.join(votes, "page").groupBy("k1", "k2", "content").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("one").alias("n")).where(F.col("n") >= MAIN_VOTES)
     sure = stored(sure.select("k1", "k2"), "voted-runs").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     voted = _starts(runs.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(sure, ["k1", "k2", "salt"]), "voted")
