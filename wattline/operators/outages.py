@@ -8,6 +8,7 @@ from wattline.functions import rules
 from wattline.functions.calendar import NTZ, minutes_between, slot, trunc, ts
 from wattline.functions.hashing import uniform_int
 from wattline.operators.anchors import anchor, recent, topk
+from wattline.operators.moments import merged_moments, moments
 
 
 def outage_searchable(outages: DataFrame) -> DataFrame:
@@ -198,13 +199,16 @@ def load_outages(raw: DataFrame, transformers: DataFrame, meters: DataFrame, lo:
 
 
 def outage_features(readings: DataFrame, meters: DataFrame, outages: DataFrame, hours: int = 4) -> DataFrame:
-    """Per circuit and hour: reporting rate, voltage state, past outages, and the label of an outage soon after."""
-    keyed = readings.join(meters.select("meter_id", "circuit_id"), "meter_id")
-    state = keyed.groupBy("circuit_id", trunc("HOUR", F.col("reading_ts")).alias("feature_hour")).agg(
-        F.countDistinct("meter_id").alias("meters_reporting"),
-        F.avg("voltage_v").alias("avg_voltage"),
-        F.stddev_samp("voltage_v").alias("voltage_stddev"),
-        F.countDistinct(F.when(F.col("voltage_v") < 114, F.col("meter_id"))).alias("low_voltage_meters"),
+    """Per circuit and hour: reporting rate, voltage state, past outages, and the label of an outage soon after.
+
+    Readings are combined per meter and hour first, so that meters are counted as rows and only those rows meet the circuits.
+    """
+    per_meter = readings.groupBy("meter_id", trunc("HOUR", F.col("reading_ts")).alias("feature_hour")).agg(
+        *moments("voltage_v"), F.max(F.when(F.col("voltage_v") < 114, 1).otherwise(0)).alias("_low")
+    )
+    mean, deviation = merged_moments()
+    state = per_meter.join(meters.select("meter_id", "circuit_id"), "meter_id").groupBy("circuit_id", "feature_hour").agg(
+        F.count(F.lit(1)).alias("meters_reporting"), mean.alias("avg_voltage"), deviation.alias("voltage_stddev"), F.sum("_low").alias("low_voltage_meters")
     )
     sizes = meters.groupBy("circuit_id").agg(F.count(F.lit(1)).alias("meter_count"))
     # Outages are first combined per circuit and hour; the look-back is then a sum over at most 90*24 such rows.

@@ -8,6 +8,7 @@ from wattline.functions import rules
 from wattline.functions.calendar import day_of_week, trunc, ts
 from wattline.functions.hashing import uniform_int
 from wattline.operators.anchors import recent, share, topk
+from wattline.operators.moments import merged_moments, moments
 from wattline.operators.quantiles import exact_percentiles
 
 SLOTS_PER_DAY = 96
@@ -393,18 +394,17 @@ def shared_ami_stats(readings: DataFrame, power_factor_digits: int = 2) -> DataF
 
 
 def zscore_anomaly(readings: DataFrame, meters: DataFrame, z: float = 3.0, n: int = 100, days: int = 1) -> DataFrame:
-    """Recent readings far from the mean of their transformer."""
-    keyed = readings.join(meters.select("meter_id", "transformer_id"), "meter_id")
-    stats = keyed.groupBy("transformer_id").agg(
-        F.avg("usage_kwh").alias("mean_kwh"), F.stddev_samp("usage_kwh").alias("stddev_kwh")
-    )
-    last = recent(readings, "reading_ts", f"{days} days").join(meters.select("meter_id", "transformer_id"), "meter_id")
+    """Recent readings far from the mean of their transformer.
+
+    Readings are combined per meter before they meet the meters; the recent ones meet a table with one row per meter.
+    """
+    keyed = meters.select("meter_id", "transformer_id")
+    per_meter = readings.groupBy("meter_id").agg(*moments("usage_kwh"))
+    mean, deviation = merged_moments()
+    stats = per_meter.join(keyed, "meter_id").groupBy("transformer_id").agg(mean.alias("mean_kwh"), deviation.alias("stddev_kwh"))
+    last = recent(readings, "reading_ts", f"{days} days").join(keyed.join(stats, "transformer_id"), "meter_id")
     score = (F.col("usage_kwh") - F.col("mean_kwh")) / F.nullif(F.col("stddev_kwh"), F.lit(0.0))
-    hits = (
-        last.join(stats, "transformer_id")
-        .select("meter_id", "transformer_id", "reading_ts", "usage_kwh", "mean_kwh", score.alias("z_score"))
-        .where(F.abs("z_score") > z)
-    )
+    hits = last.select("meter_id", "transformer_id", "reading_ts", "usage_kwh", "mean_kwh", score.alias("z_score")).where(F.abs("z_score") > z)
     return topk(hits, [F.col("z_score").desc_nulls_last(), F.col("meter_id").asc(), F.col("reading_ts").asc()], n)
 
 

@@ -29,7 +29,7 @@ def save_table(g):
     IO.save(first, name, "overwrite", path=scratch_path(g.spark, "saved"))
     more = g.meters.groupBy("county").agg(F.count(F.lit(1)).alias("n")).withColumn("segment", F.lit("ALL"))
     IO.save(more, name, "append")
-    return g.spark.table(name)
+    return IO.released(g.spark, name)
 
 
 @register("swap_tables", "SELECT 'live' AS which, count(*) AS n FROM meters UNION ALL SELECT 'backup', count(*) FROM customers WHERE account_status='ACTIVE'")
@@ -39,7 +39,7 @@ def swap_tables(g):
     IO.save(g.customers.where("account_status = 'ACTIVE'").select("meter_id"), live, "overwrite", path=scratch_path(g.spark, "live"))
     IO.save(g.meters.select("meter_id"), fresh, "overwrite", path=scratch_path(g.spark, "fresh"))
     T.swap_tables(g.spark, live, fresh, backup)
-    parts = [g.spark.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("which"), "n") for n, t in (("live", live), ("backup", backup))]
+    parts = [IO.released(g.spark, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("which"), "n") for n, t in (("live", live), ("backup", backup))]
     return parts[0].unionByName(parts[1])
 
 

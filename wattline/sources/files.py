@@ -115,6 +115,17 @@ def save(df: DataFrame, name: str, mode: str = "append", path: str | None = None
         (writer.option("path", path) if path else writer).saveAsTable(name)
 
 
+def released(spark: SparkSession, name: str) -> DataFrame:
+    """The rows of a table that was saved with a path, read from there; the catalog forgets the table and the files stay."""
+    table = spark.table(name)
+    facts = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    if facts.get("Type") != "EXTERNAL":
+        raise ValueError(f"{name} keeps its own files; dropping it would lose them")
+    rows = spark.read.schema(table.schema).format(facts["Provider"]).load(facts["Location"])
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
 def build_manifest(tables: dict[str, DataFrame], folder: str) -> DataFrame:
     """One JSON row: tables in the given order with file and row count."""
     spark = next(iter(tables.values())).sparkSession
