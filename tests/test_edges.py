@@ -498,11 +498,9 @@ def test_backfill_over_the_readings_fails_on_overload(spark):
     assert [(r.day, r.passed) for r in chunked_backfill_span(g).collect()] == [("2024-01-08", False)]
 
 
-def test_batch_scoring_takes_the_newest_day(spark, monkeypatch):
-    from wattline.plans import model_queries as Q
-
+def test_scoring_takes_the_newest_day_or_the_newest_rows(spark):
     rows = spark.createDataFrame([(f"T{i}", dt.date(2024, 1, 1 + i % 3), 50.0, 0.5 + i / 100, 1.0) for i in range(12)], "transformer_id string, pair_date date, morning_load_pct double, risk_probability double, prediction double")
-    monkeypatch.setattr(Q, "_fitted", lambda g: (None, None))
-    monkeypatch.setattr(Q, "pairs", lambda g: rows)
-    monkeypatch.setattr(Q.M, "score", lambda model, pairs: pairs)
-    assert [r.transformer_id for r in Q.batch_scoring(None).collect()] == ["T11", "T8", "T5", "T2"]
+    assert [r.transformer_id for r in learning.latest_high_risk(rows).collect()] == ["T11", "T8", "T5", "T2"]
+    older = rows.withColumn("pair_date", F.date_sub("pair_date", 1))
+    newest = learning.newest_pairs(rows.unionByName(older)).select("transformer_id", "pair_date").collect()
+    assert sorted(map(tuple, newest)) == sorted((f"T{i}", dt.date(2024, 1, 1 + i % 3)) for i in range(12))
