@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wattline.llm.common import stored
+from wattline.llm.common import FILTER_BUCKETS, stored
 
 RUN = 8
 #: So many distinct contents of a host, each with enough words of its own, make a run inside main blocks boilerplate.
@@ -180,7 +180,7 @@ def _digest(texts: list[str]) -> int:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        out: dict[str, list] = {c: [] for c in ("host", "stream", "own", "frame", "content", "main", "words")}
+        out: dict[str, list] = {c: [] for c in ("host", "stream", "sizes", "own", "frame", "content", "main", "words")}
         for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
             found = blocks(page or "")
             zones = {z for z, _ in found}
@@ -188,12 +188,13 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             frame, main = [x for x in found if x[0] in (OPEN, DROPPED)], [x for x in found if x[0] in (KEPT, MAIN)]
             out["host"].append(xxhash.xxh3_64_digest(host_of(url).encode()))
             out["stream"].append([t for _, t in frame + main])
+            out["sizes"].append([t.count(" ") + 1 for _, t in frame + main])
             out["own"].append([z == emitted for z, _ in frame + main])
             out["frame"].append(len(frame))
             out["content"].append(_digest([t for _, t in found]))
             out["main"].append(_digest([t for _, t in main]))
             out["words"].append(sum(t.count(" ") + 1 for _, t in found))
-        kinds = [pa.binary(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "page")), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], names=["page_id", "url", "page", *out])
 
 
@@ -219,35 +220,37 @@ def _window_keys(host: int, tokens: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of host and run for the frame's suffixes and for whole main blocks, with content and place."""
+    """Hashes of host and run for the frame's suffixes and for whole main blocks, with content and place; ``own``: the page emits this part."""
     for batch in _slices(batches):
         known: dict[str, int] = {}
-        keys, contents, pages, places = [], [], [], []
-        for page, host, stream, frame, content, main in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "stream", "frame", "content", "main"))):
+        keys, contents, pages, places, owned = [], [], [], [], []
+        for page, host, stream, own, frame, content, main in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "stream", "own", "frame", "content", "main"))):
             words = [w for t in stream[:frame] for w in t.split()]
             for w in set(words).difference(known):
                 known[w] = xxhash.xxh3_64_intdigest(w)
             windows = _window_keys(int.from_bytes(host, "big"), np.array([known[w] for w in words], np.uint64))
-            whole, starts, base = [], [], len(words)
-            for t in stream[frame:]:
+            whole, starts, emitted, base = [], [], [], len(words)
+            for t, is_own in zip(stream[frame:], own[frame:]):
                 size = t.count(" ") + 1
                 if size >= RUN:
                     digest = xxhash.xxh3_128_intdigest(host + t.encode())
                     whole.append((digest >> 64, digest & (1 << 64) - 1))
                     starts.append(base)
+                    emitted.append(is_own)
                 base += size
             keys += [windows, np.array(whole, np.uint64).reshape(-1, 2)]
             contents += [np.full(len(windows), content, np.int64), np.full(len(whole), main, np.int64)]
             pages.append(np.full(len(windows) + len(whole), page, np.int64))
             places += [np.arange(len(windows), dtype=np.int32), np.array(starts, np.int32)]
+            owned += [np.full(len(windows), any(own[:frame])), np.array(emitted, bool)]
         if keys:
             both = np.concatenate(keys).view(np.int64)
-            columns = [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), *(np.concatenate(x) for x in (contents, pages, places))]
-            yield from pa.table(dict(zip(("k1", "k2", "content", "page", "place"), columns))).to_batches(max_chunksize=65536)
+            columns = [np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), *(np.concatenate(x) for x in (contents, pages, places, owned))]
+            yield from pa.table(dict(zip(("k1", "k2", "content", "page", "place", "own"), columns))).to_batches(max_chunksize=65536)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a sorted partition whose key is in several contents, with their number; those of its first and last key in any case."""
+    """Own rows of a sorted partition whose key is in several contents, with their number; all of its first and last key in any case."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -261,16 +264,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     contents = np.bincount(group, weights=new_content).astype(np.int64)[group]
     # Rows with the first or last key of the partition may go on in the next one.
     edge = (group == 0) | (group == group[-1])
-    keep = np.flatnonzero((contents > 1) | edge)
+    keep = np.flatnonzero((contents > 1) & table["own"].to_numpy() | edge)
     out = table.take(pa.array(keep)).append_column("contents", pa.array(contents[keep])).append_column("edge", pa.array(edge[keep])).append_column("part", pa.repeat(pa.scalar(part, pa.int32()), len(keep)))
     yield from out.combine_chunks().to_batches(max_chunksize=16384)
 
 
 def repeated_runs(parsed: DataFrame) -> DataFrame:
-    """(k1, k2, content, page, place) of the runs of a page's stream that another content of its host has too."""
-    kinds = "k1 long, k2 long, content long, page long, place int"
+    """(k1, k2, content, page, place) of the runs in what a page emits that another content of its host has too, in any part."""
+    kinds = "k1 long, k2 long, content long, page long, place int, own boolean"
     words = parsed.agg(F.sum("words")).first()[0] or 0
-    rows = parsed.select("page", "host", "stream", "frame", "content", "main").mapInArrow(_suffixes, kinds)
+    rows = parsed.select("page", "host", "stream", "own", "frame", "content", "main").mapInArrow(_suffixes, kinds)
     ranged = rows.repartitionByRange(words // ROWS_A_PART + 1, "k1", "k2", "content", "page").sortWithinPartitions("k1", "k2", "content")
     done = stored(ranged.mapInArrow(_neighbours, f"{kinds}, contents long, edge boolean, part int"), "sorted-host-suffixes")
     # Two keys for each partition; a content that goes on from one partition to the next counts once.
@@ -279,27 +282,27 @@ def repeated_runs(parsed: DataFrame) -> DataFrame:
     again = F.coalesce((F.col("first") == F.lag("last").over(by_key.orderBy("part"))).cast("long"), F.lit(0))
     ends = ends.withColumn("n", F.col("n") - again).withColumn("n", F.sum("n").over(by_key)).where("n > 1").select("k1", "k2", "part")
     out = ["k1", "k2", "content", "page", "place"]
-    return done.where("NOT edge").select(*out).unionByName(done.where("edge").join(F.broadcast(ends), ["k1", "k2", "part"]).select(*out))
+    return done.where("NOT edge").select(*out).unionByName(done.where("edge AND own").join(F.broadcast(ends), ["k1", "k2", "part"]).select(*out))
 
 
 def _starts(runs: DataFrame, name: str) -> DataFrame:
     return runs.groupBy("page").agg(F.collect_set("place").alias(name))
 
 
-def _free(words: list[list[str]], frame: int, starts: list[int] | None) -> np.ndarray:
+def _free(sizes: list[int], frame: int, starts: list[int] | None) -> np.ndarray:
     """Which tokens of a stream are in none of the runs: RUN tokens each in the frame, whole blocks after it."""
-    edge = np.zeros(sum(map(len, words)) + 1, np.int64)
+    edge = np.zeros(sum(sizes) + 1, np.int64)
     at = np.array(starts or [], np.int64)
-    base = sum(map(len, words[:frame]))
+    base = sum(sizes[:frame])
     in_frame = at[at < base]
     np.add.at(edge, in_frame, 1)
     np.add.at(edge, in_frame + RUN, -1)
     repeated = set(at[at >= base].tolist())
-    for block in words[frame:]:
+    for size in sizes[frame:]:
         if base in repeated:
             edge[base] += 1
-            edge[base + len(block)] -= 1
-        base += len(block)
+            edge[base + size] -= 1
+        base += size
     return np.cumsum(edge)[:-1] == 0
 
 
@@ -307,10 +310,9 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pages of which at least half of the own words are in no repeated run."""
     for batch in _slices(batches):
         pages = []
-        for page, stream, own, frame, starts in zip(*(batch.column(c).to_pylist() for c in ("page", "stream", "own", "frame", "twice"))):
-            words = [t.split() for t in stream]
-            mine = np.repeat(np.array(own, bool), [len(w) for w in words])
-            if mine.any() and 2 * _free(words, frame, starts)[mine].sum() >= mine.sum():
+        for page, sizes, own, frame, starts in zip(*(batch.column(c).to_pylist() for c in ("page", "sizes", "own", "frame", "twice"))):
+            mine = np.repeat(np.array(own, bool), sizes)
+            if mine.any() and 2 * _free(sizes, frame, starts)[mine].sum() >= mine.sum():
                 pages.append(page)
         yield pa.RecordBatch.from_arrays([pa.array(pages, pa.int64())], names=["page"])
 
@@ -320,7 +322,7 @@ def _unique_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for stream, owned, frame, twice, voted in zip(*(batch.column(c).to_pylist() for c in ("stream", "own", "frame", "twice", "voted"))):
             words = [t.split() for t in stream]
-            free, kept, base = _free(words, frame, voted if any(owned[frame:]) else twice), [], 0
+            free, kept, base = _free([len(w) for w in words], frame, voted if any(owned[frame:]) else twice), [], 0
             for block, is_own in zip(words, owned):
                 own = free[base : base + len(block)]
                 base += len(block)
@@ -338,14 +340,22 @@ def main_texts(pages: DataFrame) -> DataFrame:
     kinds = dict(pages.dtypes)
     ids = f"page_id {kinds['page_id']}, url {kinds['url']}"
     rows = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html", F.length("html")).alias("page"), "html")
-    parsed = stored(rows.mapInArrow(_parsed, f"{ids}, page long, host binary, stream array<string>, own array<boolean>, frame int, content long, main long, words long"), "parsed-pages")
+    parsed = stored(rows.mapInArrow(_parsed, f"{ids}, page long, host binary, stream array<string>, sizes array<int>, own array<boolean>, frame int, content long, main long, words long"), "parsed-pages")
     runs = stored(repeated_runs(parsed), "repeated-runs")
     twice = stored(_starts(runs, "twice"), "repeated-places")
     # Pages without repeats vote for nothing, so only the others are looked at.
-    votes = stored(parsed.select("page", "stream", "own", "frame").join(twice, "page").mapInArrow(_votes, "page long").distinct(), "voting-pages")
+    votes = stored(parsed.select("page", "sizes", "own", "frame").join(twice, "page").mapInArrow(_votes, "page long").distinct(), "voting-pages")
     sure = runs.join(votes, "page").groupBy("k1", "k2", "content").agg(F.lit(1).alias("one")).groupBy("k1", "k2").agg(F.count("one").alias("n")).where(F.col("n") >= MAIN_VOTES)
     sure = stored(sure.select("k1", "k2"), "voted-runs").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     voted = _starts(runs.withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int")).join(sure, ["k1", "k2", "salt"]), "voted")
-    found = parsed.select("page_id", "url", "page", "stream", "own", "frame").join(twice, "page", "left").join(voted, "page", "left")
-    out = found.select("page_id", "url", "stream", "own", "frame", "twice", "voted").mapInArrow(_unique_runs, f"{ids}, text string")
+    marks = stored(twice.join(voted, "page", "left"), "marked-pages")
+    # Texts of pages without marks are not shuffled.
+    rows = parsed.select("page_id", "url", "page", "stream", "own", "frame")
+    bucket = F.pmod(F.xxhash64("page"), F.lit(FILTER_BUCKETS))
+    marked = stored(marks.select(bucket.alias("bucket")).distinct(), "marked-buckets")
+    split = rows.withColumn("bucket", bucket).join(F.broadcast(marked.withColumn("marked", F.lit(True))), "bucket", "left")
+    alone = split.where("marked IS NULL").withColumns({c: F.lit(None).cast("array<int>") for c in ("twice", "voted")})
+    columns = ["page_id", "url", "stream", "own", "frame", "twice", "voted"]
+    found = alone.select(*columns).unionByName(split.where("marked").join(marks, "page", "left").select(*columns))
+    out = found.mapInArrow(_unique_runs, f"{ids}, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
