@@ -354,8 +354,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     bucket = F.pmod(F.xxhash64("page"), F.lit(FILTER_BUCKETS))
     marked = stored(marks.select(bucket.alias("bucket")).distinct(), "marked-buckets")
     split = rows.withColumn("bucket", bucket).join(F.broadcast(marked.withColumn("marked", F.lit(True))), "bucket", "left")
-    alone = split.where("marked IS NULL").withColumns({c: F.lit(None).cast("array<int>") for c in ("twice", "voted")})
-    columns = ["page_id", "url", "stream", "own", "frame", "twice", "voted"]
-    found = alone.select(*columns).unionByName(split.where("marked").join(marks, "page", "left").select(*columns))
-    out = found.mapInArrow(_unique_runs, f"{ids}, text string")
+    own = F.transform(F.filter(F.arrays_zip("stream", "own"), lambda x: x["own"]), lambda x: x["stream"])
+    whole = split.where("marked IS NULL").select("page_id", "url", F.array_join(own, "\n").alias("text"))
+    marks = split.where("marked").join(marks, "page", "left").select("page_id", "url", "stream", "own", "frame", "twice", "voted")
+    out = whole.unionByName(marks.mapInArrow(_unique_runs, f"{ids}, text string"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
