@@ -275,7 +275,7 @@ def repeated_runs(parsed: DataFrame) -> DataFrame:
     words = parsed.agg(F.sum("words")).first()[0] or 0
     rows = parsed.select("page", "host", "stream", "own", "frame", "content", "main").mapInArrow(_suffixes, kinds)
     ranged = rows.repartitionByRange(words // ROWS_A_PART + 1, "k1", "k2", "content", "page").sortWithinPartitions("k1", "k2", "content")
-    done = stored(ranged.mapInArrow(_neighbours, f"{kinds}, contents long, edge boolean, part int"), "sorted-host-suffixes")
+    done = stored(ranged.mapInArrow(_neighbours, f"{kinds}, contents long, edge boolean, part int"), "sorted-host-suffixes", compression="zstd")
     # Two keys for each partition; a content that goes on from one partition to the next counts once.
     ends = done.where("edge").groupBy("k1", "k2", "part").agg(F.max("contents").alias("n"), F.min("content").alias("first"), F.max("content").alias("last"))
     by_key = Window.partitionBy("k1", "k2")
@@ -340,7 +340,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     kinds = dict(pages.dtypes)
     ids = f"page_id {kinds['page_id']}, url {kinds['url']}"
     rows = pages.select("page_id", "url", F.xxhash64("page_id", "url", "html", F.length("html")).alias("page"), "html")
-    parsed = stored(rows.mapInArrow(_parsed, f"{ids}, page long, host binary, stream array<string>, sizes array<int>, own array<boolean>, frame int, content long, main long, words long"), "parsed-pages")
+    parsed = stored(rows.mapInArrow(_parsed, f"{ids}, page long, host binary, stream array<string>, sizes array<int>, own array<boolean>, frame int, content long, main long, words long"), "parsed-pages", compression="zstd")
     runs = stored(repeated_runs(parsed), "repeated-runs")
     twice = stored(_starts(runs, "twice"), "repeated-places")
     # Pages without repeats vote for nothing, so only the others are looked at.
