@@ -118,3 +118,18 @@ def test_ranking_the_nearest_lists_few_pairs(spark):
     b = [(f"b{i}", *spot(rng, "town")) for i in range(10_000)]
     met = pyramid.candidates(frame(spark, a, "a_id"), frame(spark, b, "b_id"), "a_id", "b_id", k=10)
     assert met.count() <= 300 * 30 * pyramid.LEAF / 2  # of 3,000,000
+
+
+def test_dense_points_and_targets_list_pairs_in_proportion(spark, monkeypatch):
+    """Both sides dense: no round lists all small target cells as far around a cell of points as it is wide."""
+    rng = random.Random(10)
+    met, closest = [], pyramid._closest
+
+    def counted(pairs, *args):
+        met.append(pairs.count())
+        return closest(pairs, *args)
+
+    monkeypatch.setattr(pyramid, "_closest", counted)
+    a, b = ([(f"{p}{i}", 29.7 + rng.uniform(0, 0.02), -95.4 + rng.uniform(0, 0.02)) for i in range(6000)] for p in "ab")
+    pyramid.candidates(frame(spark, a, "a_id"), frame(spark, b, "b_id"), "a_id", "b_id").count()
+    assert max(met) <= 30 * 6000
