@@ -504,3 +504,26 @@ def test_scoring_takes_the_newest_day_or_the_newest_rows(spark):
     older = rows.withColumn("pair_date", F.date_sub("pair_date", 1))
     newest = learning.newest_pairs(rows.unionByName(older)).select("transformer_id", "pair_date").collect()
     assert sorted(map(tuple, newest)) == sorted((f"T{i}", dt.date(2024, 1, 1 + i % 3)) for i in range(12))
+
+
+def test_long_expansions_are_dealt_over_all_tasks(spark):
+    """Few meters in one partition become many rows: all tasks get some."""
+    from wattline.operators import modelling
+    from wattline.sources.spines import time_spine
+
+    meters = spark.range(400).select(F.concat(F.lit("M"), "id").alias("meter_id"), F.lit("RESIDENTIAL").alias("meter_type")).coalesce(1)
+    rows = modelling.simple_load(meters, time_spine(spark, "2024-01-06 00:00:00", "2024-01-06 23:45:00"))
+    counts = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(counts) == 400 * 96 and max(counts) < 400 * 96 / 4
+
+
+def test_an_outage_is_written_out_a_few_times(spark):
+    outs = spark.sql("SELECT 'T' AS transformer_id, timestamp_ntz'2024-01-01 05:59:00' AS start_ts, timestamp_ntz'2024-01-01 16:00:00' AS end_ts, 'X' AS cause")
+    parts = [str(r["_part"]) for r in outages.part_spans(outs, ["transformer_id", "cause"]).orderBy("_part").collect()]
+    assert parts == ["2024-01-01 00:00:00", "2024-01-01 06:00:00", "2024-01-01 12:00:00"]
+
+
+def test_only_outages_of_a_day_are_written_out(spark):
+    spans = [("a", "2023-12-31 23:00:00", "2024-01-01 00:00:00"), ("b", "2024-01-01 23:50:00", "2024-01-05 00:00:00"), ("c", "2024-01-02 00:00:00", "2024-01-02 01:00:00"), ("d", None, None)]
+    outs = spark.createDataFrame(spans, "transformer_id string, start_ts string, end_ts string").selectExpr("transformer_id", "cast(start_ts as timestamp_ntz) AS start_ts", "cast(end_ts as timestamp_ntz) AS end_ts")
+    assert sorted(r[0] for r in outages.touching(outs, "2024-01-01").collect()) == ["a", "b"]
