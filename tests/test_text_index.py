@@ -94,3 +94,15 @@ def test_the_index_of_a_table_is_built_once(spark, tmp_path):
     spark.createDataFrame([(2, "valve")], "id int, text string").write.mode("append").parquet(str(tmp_path / "t"))
     second = text_index.index_of(spark.read.parquet(str(tmp_path / "t")), "id", "text", [])
     assert second is not first and [r["id"] for r in second.search("valve").collect()] == [2]
+
+
+def test_lanes_hold_all_postings(spark, corpus, tmp_path, monkeypatch):
+    """A small lane size: common terms lie in several lanes of their bucket, and each block knows its term's numbers."""
+    monkeypatch.setattr(text_index, "LANE", 200)
+    df = spark.createDataFrame(corpus, "id int, text string, term string").repartition(3)
+    index = text_index.build(df, "id", "text", ["term"], str(tmp_path / "lanes"), buckets=4)
+    for first in (False, True):
+        got = [(r["id"], round(r["score"], 8)) for r in index.search("w0 w1 w59", n=20, look_first=first).collect()]
+        assert sorted(got, key=lambda x: (-x[1], x[0])) == plain(corpus, "w0 w1 w59", 20)
+    rows = index.blocks.groupBy("term").agg(F.sum(F.size("entries")).alias("n"), F.max("most").alias("most"), F.min("best").alias("best"), F.count_distinct("weight").alias("weights")).collect()
+    assert all(r["most"] == r["best"] and r["weights"] == 1 for r in rows) and sum(r["n"] for r in rows) == index.postings

@@ -3,7 +3,8 @@
 The index is written once. Its rows are blocks of at most ``BLOCK`` postings of one term, best first, in folders by hash bucket of the
 term and sorted by it inside, so that a question opens the folders of its terms and the file statistics drop the row groups of others.
 A posting is a document number, its key, its columns and its impact: the part of the score that depends on the document. A block also has
-its term's weight and its best impact. The blocks of a common term lie in many files.
+its term's weight and its best impact. A bucket has lanes, more with more postings; the blocks of a common term lie in all of them, best first
+in each.
 
 With a large index a question reads the best block of each term first. The n-th best sum over those is a score that every result must
 reach, and blocks whose best impact can't reach it, even with the best of all other terms, are not read.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wattline.operators.anchors import topk
 from wattline.session import scratch_path
@@ -22,6 +23,8 @@ K1 = 1.2
 B = 0.75
 BLOCK = 1 << 7
 BUCKETS = 32
+#: Postings that a lane, a part of a bucket, has room for; a term with a quarter of them is dealt over all lanes.
+LANE = 500_000
 #: Postings above which a question looks at the best blocks first.
 LARGE = 20_000_000
 
@@ -43,26 +46,41 @@ def build(docs: DataFrame, key: str, text: str, columns: list[str], path: str, b
     """Write an index of ``docs`` below ``path``. Every row is a document of its own; a null text has no words and no part in the mean length."""
     spark = docs.sparkSession
     kept = [key, *[c for c in dict.fromkeys(columns) if c != key]]
-    rows = docs.select(F.struct(*kept).alias("doc"), tokens(F.col(text)).alias("words"))
+    rows = docs.select(F.struct(*kept).alias("doc"), F.sort_array(tokens(F.col(text))).alias("words"))
     rows.withColumn("no", F.monotonically_increasing_id()).write.parquet(f"{path}/documents")  # numbers stay what they are
     rows = spark.read.parquet(f"{path}/documents")
     total, mean = rows.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
-    words = rows.select("no", "doc", F.size("words").alias("length"), F.explode("words").alias("term"))
-    counted = words.groupBy("term", "no", "doc", "length").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    # Words of a document are sorted, so equal ones end where the next one differs: they are counted in their row and nothing is shuffled.
+    last = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == F.size("words") - 1) | (F.get("words", i) != F.get("words", i + 1)))
+    ends = rows.where(F.size("words") > 0).select("no", "doc", "words", F.size("words").alias("length"), last.alias("ends"))
+    runs = F.transform("ends", lambda e, j: F.struct(F.get("words", e).alias("term"), (e - F.coalesce(F.get("ends", j - 1), F.lit(-1))).cast("double").alias("tf")))
+    counted = ends.select("no", "doc", "length", F.inline(runs))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / (mean or 1.0)))
-    ordered = counted.select("term", "no", "doc", impact.alias("impact")).repartitionByRange("term", F.desc("impact"), "no").sortWithinPartitions("term", F.desc("impact"), "no")
+    postings = counted.select("term", "no", "doc", impact.alias("impact"))
+    postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("impact").alias("best")).write.parquet(f"{path}/terms")
+    of_term = spark.read.parquet(f"{path}/terms")
+    lanes = max(1, -(-(of_term.agg(F.sum("df")).first()[0] or 0) // (buckets * LANE)))
+    # A posting moves once: to its bucket and lane. The few terms with many postings are spread over all lanes of their bucket.
+    common = of_term.where(F.col("df") > LANE // 4).select("term", F.lit(True).alias("_common"))
+    lane = F.pmod(F.when(F.col("_common"), F.xxhash64("no")).otherwise(F.xxhash64("term", F.lit("lane"))), F.lit(lanes)).cast("int")
+    place = ["bucket", "lane"]
+    placed = postings.join(F.broadcast(common), "term", "left").select(_bucket(F.col("term"), buckets).alias("bucket"), lane.alias("lane"), "term", "no", "doc", "impact")
+    # The terms' own numbers come along as a row in every lane that has postings of the term, so blocks need no join and stay where they are.
+    weight = F.log(F.lit(1.0) + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    every = F.when(F.col("df") > LANE // 4, F.sequence(F.lit(0), F.lit(lanes - 1))).otherwise(F.array(F.pmod(F.xxhash64("term", F.lit("lane")), F.lit(lanes)).cast("int")))
+    known = of_term.select(_bucket(F.col("term"), buckets).alias("bucket"), F.explode(every).alias("lane"), "term", weight.alias("weight"), "best")
+    ordered = placed.unionByName(known, allowMissingColumns=True).repartition(*place).sortWithinPartitions(*place, "term", F.desc_nulls_first("impact"), "no")
     # Rows of a sorted partition are numbered one after the other, so every BLOCK of them hold the best postings left of one term or few.
     numbered = ordered.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
-    entry = F.struct(F.col("impact"), "no", "doc")
-    blocks = numbered.groupBy("term", "block").agg(F.sort_array(F.collect_list(entry), asc=False).alias("entries")).withColumn("most", F.col("entries")[0]["impact"])
-    blocks.write.parquet(f"{path}/unweighted")
-    blocks = spark.read.parquet(f"{path}/unweighted")
-    of_term = blocks.groupBy("term").agg(F.sum(F.size("entries")).alias("df"), F.max("most").alias("best"))
-    weight = F.log(F.lit(1.0) + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    final = blocks.join(of_term, "term").select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "block", weight.alias("weight"), "most", "best", "entries")
-    final.repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    entry = F.when(F.col("no").isNotNull(), F.struct(F.col("impact"), "no", "doc"))
+    numbers = [F.max(c).alias(c) for c in ("weight", "best")]
+    blocks = numbered.groupBy(*place, "term", "block").agg(F.sort_array(F.collect_list(entry), asc=False).alias("entries"), *numbers)
+    of_all = Window.partitionBy(*place, "term")
+    final = blocks.withColumns({c: F.max(c).over(of_all) for c in ("weight", "best")}).where(F.size("entries") > 0)
+    final = final.select("bucket", "term", "block", "weight", F.col("entries")[0]["impact"].alias("most"), "best", "entries")
+    final.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
     about = spark.createDataFrame([(key, kept[1:], buckets, total)], "key string, columns array<string>, buckets int, documents long")
-    about.withColumn("postings", blocks.agg(F.sum(F.size("entries"))).scalar()).write.parquet(f"{path}/about")
+    about.withColumn("postings", of_term.agg(F.sum("df")).scalar()).write.parquet(f"{path}/about")
     return TextIndex(spark, path)
 
 
