@@ -93,8 +93,8 @@ def downstream(substations: DataFrame, transformers: DataFrame, meters: DataFram
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions, no loops, no repeats."""
-    e = edges.select("src", "dst")
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.where("src <> dst").select(F.inline(F.array(there, back))).distinct()
 
 
 def by_node(edges: DataFrame) -> DataFrame:
@@ -134,9 +134,33 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 5) -> DataFrame:
     return out
 
 
+def _degrees(links: DataFrame) -> DataFrame:
+    return links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+
+
+def cyclic(links: DataFrame, degree: DataFrame, rounds: int = 16) -> DataFrame:
+    """The links among the nodes that stay when nodes with one link are taken away, round after round: all links of cycles, few others.
+
+    A round moves the links of the nodes it takes. It is the last one when it takes less than a hundredth of what is there; branches
+    longer than the rounds stay in part.
+    """
+    left, n = degree, degree.count()
+    for _ in range(rounds):
+        ends = left.where("degree < 2").select(F.col("node").alias("src"))
+        lost = links.join(ends, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("lost"))
+        left = cut(left.where("degree > 1").join(lost, "node", "left").select("node", (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree")))
+        before, n = n, left.count()
+        if n > 0.99 * before or not n:
+            break
+    return cut(links.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+
+
 def degree_reach(edges: DataFrame, heavy: int = 1000, lg_k: int | None = None) -> DataFrame:
     """Degree, number of nodes at distance two, reach and its ratio, normalised degree.
 
+    A path of two steps that is not on a cycle leads to a node that no other such path and no edge joins with its start: these paths are
+    counted from the degrees. Pairs of nodes are listed for the paths inside the part with cycles only (``cyclic``), none in a tree.
+
     Going through a hub would emit all pairs of its neighbours.  Hubs (degree above ``heavy``) are therefore not
     expanded; only paths through light nodes, at most ``heavy`` per edge, are listed.  What lies behind the hubs of a node
     is taken once for every distinct set of hubs:
@@ -146,49 +170,92 @@ def degree_reach(edges: DataFrame, heavy: int = 1000, lg_k: int | None = None) -
       fixed, and a node's reach has a relative standard error of 1.04 / sqrt(2^lg_k).  Nodes without a hub beside them stay exact;
       ``estimated`` says which are not.
     """
+    return degree_reaches(edges, (heavy, lg_k))[0]
+
+
+def degree_reaches(edges: DataFrame, *ways: tuple[int, int | None]) -> list[DataFrame]:
+    """``degree_reach`` for each (heavy, lg_k); the links are placed and the paths counted once for all."""
     links = by_node(edges)
-    degree = cut(links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
-    hubs = degree.where(F.col("degree") > heavy).select(F.col("node").alias("hub"))
-    light = degree.where(F.col("degree") <= heavy).select(F.col("node").alias("mid"))
+    degree = cut(_degrees(links))
+    core = cyclic(links, degree)
+    # paths inside the core count as the pairs that they join, which each way lists
+    inside = _paths(core, _degrees(core)).select("node", F.col("n2").alias("inside"))
+    nodes = cut(_paths(links, degree).join(inside, "node", "left").select("node", "degree", (F.col("n2") - F.coalesce("inside", F.lit(0))).alias("n2")))
+    try:
+        return [_reach(links, core, nodes, heavy, lg_k) for heavy, lg_k in ways]
+    finally:
+        links.unpersist()
 
-    # distance-two candidates through light middle nodes
-    into = links.select(F.col("src").alias("mid"), F.col("dst").alias("node")).join(light, "mid")
-    onward = links.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-    listed = into.join(onward, "mid").where("node <> far").select("node", "far")
-    near = links.select(F.col("src").alias("node"), F.col("dst").alias("far"))
-    if hubs.isEmpty():
-        two = _unlinked(listed, near).groupBy("node").agg(F.count(F.lit(1)).alias("n2")).withColumn("estimated", F.lit(False))
+
+def _reach(links: DataFrame, core: DataFrame, nodes: DataFrame, heavy: int, lg_k: int | None) -> DataFrame:
+    hubs = nodes.where(F.col("degree") > heavy).select(F.col("node").alias("hub"))
+    if lg_k is None or hubs.isEmpty():
+        more = _pairs(core, heavy).withColumn("estimated", F.lit(False))
     else:
-        beside = cut(links.join(hubs, F.col("dst") == F.col("hub")).select(F.col("src").alias("node"), "hub"))
-        # nodes with the same hubs beside them share a fingerprint; one of them stands for the set
-        marks = beside.groupBy("node").agg(
-            F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("hub")).alias("_x"), F.bit_xor(F.xxhash64("hub", F.lit("second"))).alias("_y")
-        )
-        sets = cut(marks.withColumn("set_id", F.concat_ws(":", "_c", "_x", "_y")).select("node", "set_id"))
-        members = sets.groupBy("set_id").agg(F.min("node").alias("node")).join(beside, "node").select("set_id", "hub")
-        if lg_k is None:
-            two = _through_hubs(_unlinked(listed, near), near, degree, sets, members, links)
-        else:
-            two = _sketched(listed, near, degree, sets, members, links, hubs, lg_k)
-    two = cut(two)
-    links.unpersist()
-    total = degree.agg(F.count(F.lit(1)).alias("n")).scalar()
-    out = degree.join(two, "node", "left").select(
-        "node", "degree", F.col("degree").alias("neighbors_1hop"), F.coalesce("n2", F.lit(0)).alias("neighbors_2hop"),
-        (F.col("degree") + F.coalesce("n2", F.lit(0))).alias("total_reach"),
-        (F.coalesce("n2", F.lit(0)) / F.col("degree")).alias("reach_expansion_ratio"),
+        sets, members = _hub_sets(links, hubs)
+        # no hub is beside the other nodes, so their paths through light nodes are all
+        apart = _onward(_into(core).join(sets.select("node"), "node", "left_anti"), core)
+        pairs = _unlinked(apart, _near(core)).groupBy("node").agg(F.count(F.lit(1)).alias("more")).withColumn("estimated", F.lit(False))
+        more = pairs.unionByName(_sketched(links, nodes, sets, members, hubs, heavy, lg_k))
+    n2 = F.when(F.col("estimated"), F.col("more")).otherwise(F.col("n2") + F.coalesce("more", F.lit(0)))
+    two = nodes.join(cut(more), "node", "left").withColumn("n2", n2)
+    total = nodes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    out = two.select(
+        "node", "degree", F.col("degree").alias("neighbors_1hop"), F.col("n2").alias("neighbors_2hop"), (F.col("degree") + F.col("n2")).alias("total_reach"),
+        (F.col("n2") / F.col("degree")).alias("reach_expansion_ratio"),
         (F.col("degree") / F.nullif(total - 1, F.lit(0))).alias("normalized_degree"), F.coalesce("estimated", F.lit(False)).alias("estimated"),
     )
     return out.drop("estimated") if lg_k is None else out
 
 
+def _near(links: DataFrame) -> DataFrame:
+    return links.select(F.col("src").alias("node"), F.col("dst").alias("far"))
+
+
+def _into(links: DataFrame) -> DataFrame:
+    return links.select(F.col("src").alias("mid"), F.col("dst").alias("node"))
+
+
+def _onward(into: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, far) at the ends of the paths that begin with the steps (mid, node); a pair may come several times."""
+    return into.join(links.select(F.col("src").alias("mid"), F.col("dst").alias("far")), "mid").where("node <> far").select("node", "far")
+
+
+def _paths(links: DataFrame, degree: DataFrame) -> DataFrame:
+    """(node, degree, n2): how many paths of one step and of two begin at a node."""
+    onward = degree.select(F.col("node").alias("src"), (F.col("degree") - 1).alias("onward"))
+    return links.join(onward, "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.sum("onward").alias("n2"))
+
+
+def _hub_sets(links: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, set_id) of the nodes beside hubs and (set_id, hub): nodes with the same hubs beside them share a set."""
+    beside = cut(links.join(hubs, F.col("dst") == F.col("hub")).select(F.col("src").alias("node"), "hub"))
+    # such nodes share a fingerprint; one of them stands for the set
+    marks = beside.groupBy("node").agg(
+        F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("hub")).alias("_x"), F.bit_xor(F.xxhash64("hub", F.lit("second"))).alias("_y")
+    )
+    sets = cut(marks.withColumn("set_id", F.concat_ws(":", "_c", "_x", "_y")).select("node", "set_id"))
+    return sets, sets.groupBy("set_id").agg(F.min("node").alias("node")).join(beside, "node").select("set_id", "hub")
+
+
+def _pairs(links: DataFrame, heavy: int) -> DataFrame:
+    """(node, more): the nodes at distance two, counted from listed pairs and from the lists of what sets of hubs reach."""
+    degree = cut(_degrees(links))
+    hubs = degree.where(F.col("degree") > heavy).select(F.col("node").alias("hub"))
+    light = degree.where(F.col("degree") <= heavy).select(F.col("node").alias("mid"))
+    paths = _unlinked(_onward(_into(links).join(light, "mid"), links), _near(links))
+    if hubs.isEmpty():
+        return paths.groupBy("node").agg(F.count(F.lit(1)).alias("more"))
+    return _through_hubs(paths, _near(links), degree, *_hub_sets(links, hubs), links)
+
+
 def _unlinked(listed: DataFrame, near: DataFrame) -> DataFrame:
     """Distinct pairs (node, far) that no edge joins."""
     return listed.distinct().join(near, ["node", "far"], "left_anti")
 
 
 def _through_hubs(paths: DataFrame, near: DataFrame, degree: DataFrame, sets: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, n2): the list of what each set of hubs reaches, and of the light paths those that lead elsewhere."""
+    """(node, more): the list of what each set of hubs reaches, and of the light paths those that lead elsewhere."""
     covered = cut(members.join(links.select(F.col("src").alias("hub"), F.col("dst").alias("far")), "hub").select("set_id", "far").distinct())
     cover_size = covered.groupBy("set_id").agg(F.count(F.lit(1)).alias("cover"))
     # from the cover of a node remove itself and its direct neighbours
@@ -197,21 +264,23 @@ def _through_hubs(paths: DataFrame, near: DataFrame, degree: DataFrame, sets: Da
     extra = paths.join(sets.select("node", "set_id"), "node", "left").join(covered.withColumn("_c", F.lit(True)), ["set_id", "far"], "left").where("_c IS NULL")
     via_light = extra.groupBy("node").agg(F.count(F.lit(1)).alias("n2l"))
     return degree.select("node").join(via_hub, "node", "left").join(via_light, "node", "left").select(
-        "node", (F.coalesce("n2h", F.lit(0)) + F.coalesce("n2l", F.lit(0))).alias("n2"), F.lit(False).alias("estimated")
+        "node", (F.coalesce("n2h", F.lit(0)) + F.coalesce("n2l", F.lit(0))).alias("more")
     )
 
 
-def _sketched(listed: DataFrame, near: DataFrame, degree: DataFrame, sets: DataFrame, members: DataFrame, links: DataFrame, hubs: DataFrame, lg_k: int) -> DataFrame:
-    """(node, n2, estimated): exact away from hubs; beside them the merged sketch of all nodes within two steps, less the node and its neighbours."""
+def _sketched(links: DataFrame, nodes: DataFrame, sets: DataFrame, members: DataFrame, hubs: DataFrame, heavy: int, lg_k: int) -> DataFrame:
+    """(node, more, estimated) beside hubs: the merged sketch of all nodes within two steps, less the node and its neighbours."""
     beside = sets.select("node")
-    exact = _unlinked(listed.join(beside, "node", "left_anti"), near).groupBy("node").agg(F.count(F.lit(1)).alias("n2")).withColumn("estimated", F.lit(False))
+    light = nodes.where(F.col("degree") <= heavy).select(F.col("node").alias("mid"))
     of_hub = links.join(hubs, F.col("src") == F.col("hub")).groupBy("hub").agg(F.hll_sketch_agg("dst", lg_k).alias("sketch"))
     cover = members.join(cut(of_hub), "hub").groupBy("set_id").agg(F.hll_union_agg("sketch").alias("cover"))
     itself = beside.select("node", F.col("node").alias("far"))
-    own = listed.unionByName(near).join(beside, "node", "left_semi").unionByName(itself).groupBy("node").agg(F.hll_sketch_agg("far", lg_k).alias("own"))
+    listed = _onward(_into(links).join(light, "mid").join(beside, "node", "left_semi"), links)
+    near = _near(links).join(beside, "node", "left_semi")
+    own = listed.unionByName(near).unionByName(itself).groupBy("node").agg(F.hll_sketch_agg("far", lg_k).alias("own"))
     ball = F.hll_sketch_estimate(F.hll_union("own", "cover"))
-    merged = sets.join(cover, "set_id").join(own, "node").join(degree, "node")
-    return exact.unionByName(merged.select("node", F.greatest(F.lit(0), ball - 1 - F.col("degree")).cast("bigint").alias("n2"), F.lit(True).alias("estimated")))
+    merged = sets.join(cover, "set_id").join(own, "node").join(nodes, "node")
+    return merged.select("node", F.greatest(F.lit(0), ball - 1 - F.col("degree")).cast("bigint").alias("more"), F.lit(True).alias("estimated"))
 
 
 def pagerank(edges: DataFrame, iterations: int = 10, damping: float = 0.85) -> DataFrame:

@@ -344,8 +344,8 @@ n AS (SELECT x.src AS node, max(d.degree)>30 AS beside_hub FROM b x JOIN d ON d.
 SELECT d.node, d.degree, coalesce(beside_hub, false) AS estimated, true AS within_bound FROM d LEFT JOIN n ON n.node=d.node""")
 def degree_reach_sketched(g):
     """Reach past hubs from merged sketches, held against the exact reach: within four standard errors of the nodes two steps around."""
-    sketched = graph.degree_reach(_edges(g), heavy=30, lg_k=12)
-    exact = graph.degree_reach(_edges(g)).select("node", F.col("total_reach").alias("exact"))
+    sketched, exact = graph.degree_reaches(_edges(g), (30, 12), (1000, None))
+    exact = exact.select("node", F.col("total_reach").alias("exact"))
     off = F.abs(F.col("total_reach") - F.col("exact")) <= F.when(F.col("estimated"), 4 * 1.04 / 64 * (F.col("exact") + 1) + 1).otherwise(0)
     return sketched.join(exact, "node").select("node", "degree", "estimated", off.alias("within_bound"))
 
