@@ -25,7 +25,7 @@ def some_pairs(n=300):
     return out
 
 
-@pytest.mark.parametrize("query", ["boosted_classifier"])
+@pytest.mark.parametrize("query", ["boosted_classifier", "batch_scoring"])
 def test_pairs_are_built_once_for_the_fit_and_all_that_is_scored(spark, tmp_path, monkeypatch, query):
     seen = tmp_path / "built"
     seen.mkdir()
